@@ -1,0 +1 @@
+"""Operators of the engine; see README.md for the map."""

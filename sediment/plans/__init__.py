@@ -1,0 +1 @@
+"""Plans of the engine; see README.md for the map."""

@@ -1,0 +1 @@
+"""Streaming of the engine; see README.md for the map."""
