@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sediment.llm import line_dedup
+from sediment.llm import line_dedup, packing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,5 +41,20 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
 FROM marked GROUP BY doc_id
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op7_line_dedup": op7_line_dedup}
+
+def vocabulary(name: str = "word_bpe_49k.json") -> str:
+    """The place of a public vocabulary file; the folder is a package of the Python environment."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), vocabulary(), max_tokens=2048, end_id=0)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_best_fit_packing": op4_best_fit_packing,
+    "op7_line_dedup": op7_line_dedup,
+}
 ORACLE_SQL: dict[str, str] = {"op7_line_dedup": OP7_SQL}
