@@ -39,7 +39,7 @@ UNKNOWN, START = 0, 1
 #: A byte that UTF-8 never uses stands for a special token.
 SPECIAL = 0xFF
 #: Cells of the transition table (five bytes each) at which it is emptied.
-TABLE_CELLS = 16_000_000
+TABLE_CELLS = 32_000_000
 #: Fixed values of the vocabulary's split pattern.
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 
@@ -120,9 +120,9 @@ class Transducer:
         self.number = {s: n for n, s in enumerate(self.states)}
         self.column = np.zeros(256, "i4")
         self.bytes_seen: list[int] = []
-        self.width = 32
-        self.next = np.full((1024, self.width), -1, "i4")
-        self.emit = np.zeros((1024, self.width), "i1")
+        self.width = 64
+        self.next = np.full((4096, self.width), -1, "i4")
+        self.emit = np.zeros((4096, self.width), "i1")
 
     # the piece so far ------------------------------------------------------------------------
     def _token(self, suffix: bytes, chain: tuple, last: bool) -> tuple[bytes, int]:
@@ -215,8 +215,9 @@ class Transducer:
             self.number[after] = len(self.states)
             self.states.append(after)
             if len(self.states) > len(self.next):
-                self.next = np.concatenate([self.next, np.full_like(self.next, -1)])
-                self.emit = np.concatenate([self.emit, np.zeros_like(self.emit)])
+                more = len(self.next) // 2
+                self.next = np.concatenate([self.next, np.full((more, self.width), -1, "i4")])
+                self.emit = np.concatenate([self.emit, np.zeros((more, self.width), "i1")])
         self.next[state, self.column[byte]] = self.number[after]
         self.emit[state, self.column[byte]] = count
 
@@ -224,9 +225,9 @@ class Transducer:
         for byte in np.flatnonzero(np.bincount(data, minlength=256)).tolist():
             if byte not in self.bytes_seen:
                 if len(self.bytes_seen) == self.width:
-                    self.next = np.concatenate([self.next, np.full_like(self.next, -1)], axis=1)
-                    self.emit = np.concatenate([self.emit, np.zeros_like(self.emit)], axis=1)
-                    self.width *= 2
+                    self.next = np.concatenate([self.next, np.full((len(self.next), 16), -1, "i4")], axis=1)
+                    self.emit = np.concatenate([self.emit, np.zeros((len(self.emit), 16), "i1")], axis=1)
+                    self.width += 16
                 self.column[byte] = len(self.bytes_seen)
                 self.bytes_seen.append(byte)
         return self.column.astype("u1")[data]
@@ -257,7 +258,7 @@ class Transducer:
         """Tokens of each text, given as normalised bytes."""
         if not texts:
             return np.zeros(0, "i8")
-        if self.next.size > TABLE_CELLS:
+        if len(self.states) * self.width > TABLE_CELLS:
             self.reset()
         flat = np.frombuffer(b" ".join(texts) + b" ", "u1")
         wide = int(np.clip(len(flat) // 256, 1, 8192))
