@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sediment.llm import line_dedup, packing, token_counts
+from sediment.llm import line_dedup, packing, token_counts, toxicity
+from sediment.llm.common import crc_remainder
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,7 +59,17 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(docs, vocabulary(), limit=2048).drop("text")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _table(spark, sf_dir, "labels").where(crc_remainder("doc_id", 5) != 0).select("doc_id", "toxic")
+    model = toxicity.fit(docs, labels)
+    scored = toxicity.score_toxicity(docs, model).drop("text")
+    held_out = (crc_remainder("doc_id", 5) == 0).alias("held_out")
+    return scored.select("doc_id", held_out, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "toxic_spans")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op7_line_dedup": op7_line_dedup,
     "op8_token_counts": op8_token_counts,
