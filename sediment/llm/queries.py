@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sediment.llm import line_dedup, packing, token_counts, toxicity
+from sediment.llm import line_dedup, ngram_join, packing, token_counts, toxicity
 from sediment.llm.common import crc_remainder
 
 
@@ -15,6 +15,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(_table(spark, sf_dir, "documents").select("doc_id", "text"), size=4, num=85, den=100)
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.drop_repeated_lines(_table(spark, sf_dir, "documents"), min_chars=40, min_docs=5)
     digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
@@ -70,6 +74,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op3_ngram_join": op3_ngram_join,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op7_line_dedup": op7_line_dedup,
     "op8_token_counts": op8_token_counts,
