@@ -9,6 +9,7 @@ from __future__ import annotations
 import functools
 import os
 import re
+from array import array
 
 import numpy as np
 
@@ -16,11 +17,18 @@ import numpy as np
 SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 #: str.split() also splits at these, which the tokenizer does not.
 _MORE = re.compile("[\x1c-\x1f]")
-#: Chunks kept per worker; when there are more, the store is emptied and filled anew.
-KEPT_CHUNKS = 400_000
+#: A comma or full stop between a letter and white space is a piece of its own, so a space may go before it.
+_STOP = re.compile(r"(?<=[^\W\d_])([.,])(?=[ \n])")
+#: A special token of the vocabulary, which no chunk of the joined ones holds.
+MARK = "<|startoftext|>"
+#: Chunks of each of the two generations that a worker keeps.
+KEPT_CHUNKS = 500_000
 
 
 def chunks_of(text: str) -> list[str]:
+    if "<|" not in text and text.isascii():  # special tokens are told apart by case
+        text = text.lower()
+    text = _STOP.sub(r" \1", text)
     return [x for x in SPACE.split(text) if x] if _MORE.search(text) else text.split()
 
 
@@ -33,20 +41,33 @@ def library(path: str):
 
 
 class ChunkEncoder:
-    """Little-endian unsigned 32-bit ids of texts."""
+    """Little-endian unsigned 32-bit ids of texts. Chunks not met for a generation are forgotten."""
 
     def __init__(self, path: str):
-        self.tokenizer, self.known = library(path), {}
+        self.tokenizer, self.known, self.older = library(path), {}, {}
+        self.mark = self.tokenizer.token_to_id(MARK)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         split = [chunks_of(x) if x else [] for x in texts]
         if len(self.known) > KEPT_CHUNKS:
-            self.known = {}
-        new = list(set().union(*split).difference(self.known)) if split else []
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for chunk, got in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                self.known[chunk] = np.array(got.ids, "<u4").tobytes()
+            self.known, self.older = {}, self.known
+        new = set().union(*split).difference(self.known)
+        again = new.intersection(self.older)
+        self.known.update((x, self.older[x]) for x in again)
+        new = list(new - again)
+        if odd := [x for x in new if "<|" in x]:
+            for chunk, got in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False), strict=True):
+                self.known[chunk] = array("I", got.ids).tobytes()
+            new = [x for x in new if "<|" not in x]
+        # Many chunks at once, with a special token between them.
+        parts = [new[at : at + 200] for at in range(0, len(new), 200)]
+        for part, got in zip(parts, self.tokenizer.encode_batch_fast([MARK.join(x) for x in parts], add_special_tokens=False), strict=True):
+            ids = np.array(got.ids, "<u4")
+            ends = [*np.flatnonzero(ids == self.mark).tolist(), len(ids)]
+            flat, at = ids.tobytes(), 0
+            for chunk, end in zip(part, ends, strict=True):
+                self.known[chunk] = flat[4 * at : 4 * end]
+                at = end + 1
         of = self.known.__getitem__
         return [b"".join(map(of, x)) for x in split]
 
