@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sediment.llm import line_dedup, ngram_join, packing, token_counts, toxicity
+from sediment.llm import decontaminate, line_dedup, ngram_join, packing, token_counts, toxicity
 from sediment.llm.common import crc_remainder
 
 
@@ -19,6 +19,11 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(_table(spark, sf_dir, "documents").select("doc_id", "text"), size=4, num=85, den=100)
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.find_matches(docs, _table(spark, sf_dir, "benchmark"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.drop_repeated_lines(_table(spark, sf_dir, "documents"), min_chars=40, min_docs=5)
     digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
@@ -76,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op3_ngram_join": op3_ngram_join,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op6_decontamination": op6_decontamination,
     "op7_line_dedup": op7_line_dedup,
     "op8_token_counts": op8_token_counts,
 }
