@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sediment.llm import decontaminate, line_dedup, ngram_join, packing, token_counts, toxicity
+from sediment.llm import decontaminate, language_id, line_dedup, ngram_join, packing, quality, token_counts, toxicity
 from sediment.llm.common import crc_remainder
 
 
@@ -15,10 +15,25 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = language_id.fit(docs.where(crc_remainder("doc_id", 4) != 2).select("doc_id", "text", "lang"))
+    found = language_id.predict(docs.select("doc_id", "text"), model, reject=False)
+    return found.select("doc_id", (crc_remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(_table(spark, sf_dir, "documents").select("doc_id", "text"), size=4, num=85, den=100)
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _table(spark, sf_dir, "labels").where(crc_remainder("doc_id", 4) != 2).select("doc_id", "quality")
+    found = quality.score_quality(docs, quality.fit(docs, labels))
+    held_out = (crc_remainder("doc_id", 4) == 2).alias("held_out")
+    return found.select("doc_id", held_out, "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.find_matches(docs, _table(spark, sf_dir, "benchmark"))
@@ -79,8 +94,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_language_id": op2_language_id,
     "op3_ngram_join": op3_ngram_join,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_quality": op5_quality,
     "op6_decontamination": op6_decontamination,
     "op7_line_dedup": op7_line_dedup,
     "op8_token_counts": op8_token_counts,
