@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sediment.llm import decontaminate, language_id, line_dedup, ngram_join, packing, quality, token_counts, toxicity
+from sediment.llm import decontaminate, embedding_dedup, language_id, line_dedup, ngram_join, packing, quality, token_counts, toxicity
 from sediment.llm.common import crc_remainder
 
 
@@ -92,6 +92,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "toxic_spans")
 
 
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), least=0.95)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_language_id": op2_language_id,
@@ -100,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality": op5_quality,
     "op6_decontamination": op6_decontamination,
     "op7_line_dedup": op7_line_dedup,
+    "op10_embedding_dedup": op10_embedding_dedup,
     "op8_token_counts": op8_token_counts,
 }
 ORACLE_SQL: dict[str, str] = {"op7_line_dedup": OP7_SQL}
