@@ -1 +1 @@
-"""Sources of the engine; see README.md for the map."""
+"""Sources and sinks: text, logs, metrics, repositories, Office files, exports, embeddings."""
