@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +32,13 @@ def materialize(df: DataFrame, folder: str, name: str, partition_by: str | None
     return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
 
 
+def sliced(parts: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of few rows: a whole batch of texts as Python values would fill a worker's memory."""
+    for part in parts:
+        for at in range(0, part.num_rows, rows):
+            yield part.slice(at, rows)
+
+
 def crc_remainder(column: str, modulus: int) -> F.Column:
     """crc32 of the id as text, modulo modulus; null ids give null."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sediment.llm.common import materialize, work_folder
+from sediment.llm.common import materialize, sliced, work_folder
 
 WORD = re.compile(r"[^\W_]+")
 STEP = 10  # words between two passages
@@ -104,7 +104,7 @@ def term_numbers(docs: DataFrame, terms: dict[str, int], text_col: str = "text",
 
     def number(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = _Chunks(broad.value).__getitem__
-        for part in parts:
+        for part in sliced(parts):
             out = [b"".join(map(of, t.split())) if t else b"" for t in part.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.binary())], names=["doc_id", "words"])
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sediment.llm.common import materialize, plain_name, work_folder
+from sediment.llm.common import materialize, plain_name, sliced, work_folder
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _BLANK = b" \t\n\x0b\x0c\r"
@@ -45,7 +45,7 @@ def document_keys(docs: DataFrame, min_chars: int = 40, batches: int = 4, id_col
     """(h1, h2, doc, batch): the distinct long line keys of each row."""
 
     def keys(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in sliced(parts):
             ids, digests = [], []
             for doc, text in zip(part.column("doc").to_pylist(), _bytes_of(part, "text"), strict=True):
                 own = {k for k in (line_key(x, min_chars) for x in (text or b"").split(b"\n")) if k}
@@ -127,7 +127,7 @@ def drop_repeated_lines(
     joined = base.join(gone, F.col(id_col).cast("long") == F.col("_gone_id"), "left").drop("_gone_id")
 
     def rewrite(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in sliced(parts):
             texts, lines, dropped = [], [], []
             for text, gone in zip(_bytes_of(part, text_col), part.column("_gone").to_pylist(), strict=True):
                 all_lines = (text or b"").split(b"\n")

@@ -22,7 +22,7 @@ _STOP = re.compile(r"(?<=[^\W\d_])([.,])(?=[ \n])")
 #: A special token of the vocabulary, which no chunk of the joined ones holds.
 MARK = "<|startoftext|>"
 #: Chunks of each of the two generations that a worker keeps.
-KEPT_CHUNKS = 500_000
+KEPT_CHUNKS = 250_000
 
 
 def chunks_of(text: str) -> list[str]:

@@ -222,8 +222,8 @@ def score_toxicity(docs: DataFrame, model: Field, text_col: str = "text", span_a
     def tag(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = broad.value
         for whole in parts:
-            for at in range(0, whole.num_rows, 4000):
-                part = whole.slice(at, 4000)
+            for at in range(0, whole.num_rows, 1500):
+                part = whole.slice(at, 1500)
                 texts = part.column(text_col).to_pylist()
                 buckets, sizes = _flat(texts, m.odds)
                 starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype("i8") if len(sizes) else sizes
