@@ -223,7 +223,8 @@ def repeated_ranges(docs: DataFrame, length: int, folder: str, shard_contexts: i
                     block, held = [], 0
 
     listed = materialize(texts.mapInArrow(list_anchors, "uid long, h long, a int, lo int, hi int"), folder, "anchors")
-    often = listed.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h")
+    # Stored, as the counts of keys below: a join with a table of keys can be split where one key has many rows.
+    often = materialize(listed.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h"), folder, "often")
     cand = listed.join(often, "h").groupBy("uid").agg(F.collect_set(F.struct("a", "lo", "hi")).alias("rows"), F.count("*").alias("k"))
     cand = materialize(cand.drop("k"), folder, "candidates")
 
@@ -244,7 +245,7 @@ def repeated_ranges(docs: DataFrame, length: int, folder: str, shard_contexts: i
 
     # Keys with several contexts; large ones are salted.
     mixed = unique.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-    mixed = mixed.withColumn("salts", F.ceil(F.col("m") / shard_contexts).cast("int")).select("key", "salts")
+    mixed = materialize(mixed.withColumn("salts", F.ceil(F.col("m") / shard_contexts).cast("int")).select("key", "salts"), folder, "salts")
     chosen = materialize(unique.join(mixed, "key"), folder, "mixed")
     total = chosen.count()
     shards = max(48, -(-total // (4 * shard_contexts)))
