@@ -120,7 +120,8 @@ def drop_repeated_lines(
     store = LineRuns(spark, folder)
     for n in range(batches):
         store.add(staged.where(F.col("batch") == n).select("h1", "h2", "doc"))
-    often = store.totals().where(F.col("n_docs") >= min_docs).select("h1", "h2", "last_doc")
+    # Stored: a join with a table of keys can be split where one line stands in very many documents.
+    often = materialize(store.totals().where(F.col("n_docs") >= min_docs).select("h1", "h2", "last_doc"), folder, "often")
     gone = staged.select("h1", "h2", "doc").join(often, ["h1", "h2"]).where("doc < last_doc")
     gone = gone.groupBy(F.col("doc").alias("_gone_id")).agg(F.collect_set(F.struct("h1", "h2")).alias("_gone"))
     base = plain_name(docs, ["n_lines", "n_dropped"])
