@@ -48,8 +48,11 @@ def sample_per_value(docs: DataFrame, values: DataFrame, column: str, each: int,
 
     values has doc_id and column; the chosen ids are few, so they are broadcast to the texts.
     """
-    rank = F.row_number().over(Window.partitionBy("value").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(64))  # ranked in parts first, so that no task gets all rows of a value
+    rank = F.row_number().over(Window.partitionBy("value").orderBy(*order))
     ids = values.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).alias("value")).where("doc_id is not null and value is not null")
+    ids = ids.withColumn("first", F.row_number().over(Window.partitionBy("value", part).orderBy(*order))).where(F.col("first") <= each)
     ids = ids.withColumn("rank", rank).where(F.col("rank") <= each).groupBy("doc_id").agg(F.max("value").alias("value"))
     texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return materialize(texts.join(F.broadcast(ids), "doc_id"), folder, f"sample-{column}")
