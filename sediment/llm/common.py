@@ -65,8 +65,9 @@ def connected_components(edges: DataFrame, folder: str, rounds: int = 40) -> Dat
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         current = materialize(small.unionByName(low.withColumnRenamed("m", "v")).distinct(), folder, f"cc-{n}")
+        # Settled: separate stars, in which no child is a parent and none has two parents.
         parents = current.select(F.col("v").alias("u")).distinct()
-        if current.join(parents, "u", "left_semi").isEmpty():
+        if current.groupBy("u").count().where("count > 1").isEmpty() and current.join(parents, "u", "left_semi").isEmpty():
             break
     else:
         raise RuntimeError(f"components not settled after {rounds} rounds")

@@ -120,3 +120,28 @@ def test_components(spark, tmp_path):
     edges = spark.createDataFrame([(2, 1), (3, 2), (4, 3), (9, 8), (8, 7), (5, 5), (20, 10), (10, 30)], "u long, v long")
     got = {r["node"]: r["component"] for r in common.connected_components(edges, f"file://{tmp_path}/cc").collect()}
     assert got == {1: 1, 2: 1, 3: 1, 4: 1, 7: 7, 8: 7, 9: 7, 10: 10, 20: 10, 30: 10}
+
+
+def test_components_of_paths_and_trees(spark, tmp_path):
+    """Against union-find; a node has one row. The first path once stopped with two roots."""
+    rng = np.random.default_rng(5)
+    graphs, at = [[[(2, 3), (3, 4), (4, 5), (5, 1)]], []], 10
+    for n in range(120):
+        size = int(rng.integers(4, 14))
+        ids = (at + rng.permutation(size)).tolist()
+        graphs[1].append([(ids[k], ids[k - 1 if n % 2 else int(rng.integers(k))]) for k in range(1, size)])
+        at += size
+    for k, groups in enumerate(graphs):
+        edges = [e for own in groups for e in own]
+        root = {x: x for e in edges for x in e}
+
+        def find(x, root=root):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for u, v in edges:
+            a, b = sorted((find(u), find(v)))
+            root[b] = a
+        got = common.connected_components(spark.createDataFrame(edges, "u long, v long"), f"file://{tmp_path}/cc{k}").collect()
+        assert sorted((r["node"], r["component"]) for r in got) == sorted((x, find(x)) for x in root)
