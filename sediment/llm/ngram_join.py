@@ -7,8 +7,9 @@ the shared ones. l is chosen for each document by estimated cost: the rows that
 against the candidates that its tokens bring, divided by the l matches that are then required.
 
 1. Documents with equal sets are one class; the smallest id stands for it.
-2. Prefix tokens that no other class has in its prefix are dropped. A class left with fewer than l
-   tokens has no partner.
+2. Prefix tokens that no other class has in its prefix are dropped. A class left with none has no
+   partner. (Of l shared tokens in one prefix, those beyond the end of the partner's do not count: of
+   the two prefixes, only the one that ends first holds its l in both.)
 3. Every token's classes are compared with one pivot, the class with the fewest lone tokens. A pair
    must share so many prefix tokens that, with all that lies beyond the prefixes, it could reach the
    similarity; it is then verified on the whole sets, and links are united. In a large group of near
@@ -194,14 +195,20 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 80, den: int =
     rare = rare.withColumn("k", F.count("*").over(Window.partitionBy("token"))).where("k > 1").drop("k")
     matched = rare.unionByName(held.select(F.explode("often").alias("token"), "rep"))
     matched = materialize(matched, folder, "matched")
-    slim = classes.select("rep", "n", "need", (F.col("n") - F.ceil(F.col("n") * num / den) + F.col("need")).alias("p"))
-    shares = matched.groupBy("rep").agg(F.count("*").alias("v")).join(slim, "rep").where("v >= need").drop("need")
-
-    # No partner can share more than v + n - p tokens, so none is larger than `high` or smaller than `low`;
-    # and the smaller class of a pair must be `strong`: able to have a partner of its own size.
-    low = F.ceil(F.col("n") * num / den)
-    high = F.least(F.floor(F.col("n") * den / num), F.floor((F.col("v") + F.col("n") - F.col("p")) * (den / num + 1) + 1e-6) - F.col("n"))
-    strong = high >= F.col("n")
+    slim = classes.select("rep", "n", (F.col("n") - F.ceil(F.col("n") * num / den) + F.col("need")).alias("p"))
+    shares = matched.groupBy("rep").agg(F.count("*").alias("v")).join(slim, "rep")
+
+    # Partners have from `low` to `most` tokens. Beyond the prefix that ends first lies at most the larger of both n - p.
+    # So a class of which a partner can hold v prefix tokens has none between near(v), where its own rest counts, and
+    # far(v), where the larger partner's, under m * num / den of m tokens, does.
+    low, most = F.ceil(F.col("n") * num / den), F.floor(F.col("n") * den / num)
+
+    def near(v: Column) -> Column:
+        return F.least(most, F.floor((v + F.col("n") - F.col("p")) * (den / num + 1) + 1e-6) - F.col("n"))
+
+    def far(v: Column) -> Column:
+        return F.floor((F.col("n") * (num / (num + den)) - v) / (num / den - num / (num + den)) - 1e-6)
+
     posts = materialize(matched.join(shares, "rep"), folder, "posts")
 
     def pruned(posts: DataFrame, tokens: DataFrame, name: str) -> DataFrame:
@@ -218,21 +225,22 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 80, den: int =
         kept = [c for c in posts.columns if c != "token"]
         return materialize(out.select("token", *kept, (F.col("w") - F.col("at")).alias("left")), folder, name)
 
-    of_token = [F.count("*").alias("k"), F.max(F.col("n") - F.col("p")).alias("g"), F.min(F.when(strong, F.col("n"))).alias("smallest")]
-    usable = posts.groupBy("token").agg(*of_token).where("k > 1 and smallest is not null")
+    of_token = [F.count("*").alias("k"), F.max(F.col("n") - F.col("p")).alias("g"), F.min("n").alias("smallest")]
+    usable = posts.groupBy("token").agg(*of_token).where("k > 1")
     posts = materialize(posts.join(usable.select("token"), "token", "left_semi"), folder, "usable")
     held = materialize(posts.groupBy("rep").agg(F.collect_list("token").alias("tokens"), F.first("n").alias("n"), F.first("p").alias("p")), folder, "held")
 
-    # Round 1: each token's classes against its pivot.
+    # Round 1: each token's classes against its pivot, one that can have a partner of its own size if there is any.
     first = pruned(posts, usable, "first")
-    best = F.min(F.struct((~strong).alias("weak"), (F.col("p") - F.col("v")).alias("lone"), "rep", "n", low.alias("low"), high.alias("high")))
-    pivots = first.groupBy("token").agg(best.alias("pivot"), F.count("*").alias("k")).where("k > 1 and not pivot.weak")
-    pairs = first.select("token", "rep", "n", low.alias("low"), high.alias("high")).join(pivots.select("token", "pivot"), "token")
-    pairs = pairs.where("rep <> pivot.rep and pivot.n between low and high and n between pivot.low and pivot.high")
+    best = F.min(F.struct((near(F.col("v")) < F.col("n")).alias("weak"), (F.col("p") - F.col("v")).alias("lone"), "rep", "n", "p", "v"))
+    pivots = first.groupBy("token").agg(best.alias("pivot"), F.count("*").alias("k")).where("k > 1")
+    pairs = first.select("token", "rep", "n", "p", "v", low.alias("low"), most.alias("most")).join(pivots.select("token", "pivot"), "token")
+    fit = F.least("v", "pivot.v") + F.greatest(F.col("n") - F.col("p"), F.col("pivot.n") - F.col("pivot.p")) >= F.ceil((F.col("n") + F.col("pivot.n")) * num / (num + den))
+    pairs = pairs.where("rep <> pivot.rep and pivot.n between low and most").where(fit)
     pairs = pairs.select(F.least("rep", "pivot.rep").alias("u"), F.greatest("rep", "pivot.rep").alias("v")).distinct()
 
     def plausible(pairs: DataFrame) -> DataFrame:
-        """The pairs that share enough prefix tokens: all that they can share beyond the prefixes is n - p."""
+        """The pairs that share enough prefix tokens: all that they can share beyond the prefixes is the larger n - p."""
         for side in ("u", "v"):
             pairs = pairs.join(held.select(F.col("rep").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("tokens", "n", "p"))), side)
         common = F.size(F.array_intersect("tokens_u", "tokens_v")) + F.greatest(F.col("n_u") - F.col("p_u"), F.col("n_v") - F.col("p_v"))
@@ -246,20 +254,21 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 80, den: int =
     # Round 2: pairs of different components; they can share only tokens that several components have.
     label = united.select(F.col("node").alias("rep"), F.col("component").alias("comp"))
     labelled = materialize(posts.join(label, "rep", "left").withColumn("comp", F.coalesce("comp", "rep")), folder, "labelled")
-    mixed = labelled.groupBy("token").agg(*of_token, F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b and smallest is not null")
+    mixed = labelled.groupBy("token").agg(*of_token, F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b")
     second = pruned(labelled, mixed.select("token", "k", "g", "smallest"), "second")
 
     def band(c: Column) -> Column:
         return F.floor(F.log(F.greatest(c, F.lit(1)).cast("double")) * 64)
 
-    # The smaller class of each pair, strong, looks for larger ones of up to `high` tokens.
-    rest = F.col("n") - F.col("p")
-    one = second.where(strong).select("token", F.col("rep").alias("x"), F.col("n").alias("xn"), high.alias("xhigh"), rest.alias("xrest"), F.col("left").alias("xleft"), F.col("comp").alias("xc"), F.explode(F.sequence(band(F.col("n")), band(high))).alias("band"))
-    two = second.select("token", F.col("rep").alias("y"), F.col("n").alias("yn"), low.alias("ylow"), high.alias("yhigh"), rest.alias("yrest"), F.col("left").alias("yleft"), F.col("comp").alias("yc"), band(F.col("n")).alias("band"))
+    # The smaller class of each pair looks for larger ones of up to `most` tokens, in the bands that the tokens left allow.
+    rest, ahead = F.col("n") - F.col("p"), F.col("left") + 1
+    bands = F.filter(F.sequence(band(F.col("n")), band(most)), lambda b: (b <= band(near(ahead))) | (b >= band(far(ahead))))
+    one = second.select("token", F.col("rep").alias("x"), F.col("n").alias("xn"), most.alias("xmost"), rest.alias("xrest"), F.col("left").alias("xleft"), F.col("comp").alias("xc"), F.explode(bands).alias("band"))
+    two = second.select("token", F.col("rep").alias("y"), F.col("n").alias("yn"), rest.alias("yrest"), F.col("left").alias("yleft"), F.col("comp").alias("yc"), band(F.col("n")).alias("band"))
     # At the first token that a pair shares, enough tokens must be left on both sides.
     enough = F.least("xleft", "yleft") + 1 + F.greatest("xrest", "yrest") >= F.ceil((F.col("xn") + F.col("yn")) * num / (num + den))
-    met = one.join(two, ["token", "band"]).where(enough).where("xc <> yc and yn between xn and xhigh and xn between ylow and yhigh")
-    met = met.where("xn < yn or x < y or yhigh < yn")  # two strong classes of one size meet once
+    met = one.join(two, ["token", "band"]).where(enough).where("xc <> yc and yn between xn and xmost")
+    met = met.where("xn < yn or x < y")  # two classes of one size meet once
     met = met.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
     met = materialize(met, folder, "met-all")
     met = materialize(plausible(met).join(pairs, ["u", "v"], "left_anti"), folder, "met")

@@ -77,3 +77,19 @@ def test_null_ids_and_empty_table(spark):
     assert out[2] == (4, 2, 4) and {r[2] for r in out[:2]} == {None}
     assert ngram_join.jaccard_components(docs.limit(0)).collect() == []
     assert ngram_join.drop_near_copies(docs).count() == 3
+
+
+def test_pairs_of_which_one_has_more_words(spark):
+    """Lone pairs and threes, x and x with 5 to 17 % more words: what x shares can lie beyond the prefix of the larger one."""
+    rng = random.Random(8)
+    rows = []
+    for n in range(600):
+        words = [f"w{rng.randrange(10**9)}" for _ in range(rng.choice([20, 60, 103, 140, 250]))]
+        rows.append((len(rows), " ".join(words)))
+        for _ in range(1 + n % 2):
+            more = [f"m{rng.randrange(10**9)}" for _ in range(round(len(words) * rng.choice([0.05, 0.1, 0.14, 0.16, 0.17])))]
+            rows.append((len(rows), " ".join(words + more if n % 3 else more + words)))
+    want = brute(rows, 4, 85, 100)
+    assert sum(r[0] != r[2] for r in want) > 500
+    assert got(spark, rows, 4, 85, 100) == want
+    assert got(spark, rows, 5, 80, 100) == brute(rows, 5, 80, 100)
