@@ -5,8 +5,9 @@ are stored; all later passes read those. Document frequencies are counted over a
 corpus. A distributed randomised SVD of the TF-IDF passages (each task sums its share of A'A times a
 random matrix; the sums have one row per benchmark term) gives the latent space. Passages of all
 texts, in overlapping windows of two lengths, are compared with all items by cosine in it; a passage
-over the threshold that also holds a fair part of the item's latent mass is a candidate. Terms that
-very many passages hold are left out of the space, unless they are among an item's rarest. Around a candidate the longest common subsequence of words with
+over the threshold that also holds a fair part of the item's latent mass is a candidate. Items longer
+than a window are also compared piece by piece, in overlapping pieces of one window. Terms that very
+many passages hold are left out of the space, unless they are among a piece's rarest. Around a candidate the longest common subsequence of words with
 the item is taken, and the share of the item's rarest words ("answer") that stand there. A long
 common subsequence, or a fair one with the answer, is a match, so that light paraphrases are caught.
 
@@ -31,6 +32,8 @@ from sediment.llm.common import materialize, sliced, work_folder
 WORD = re.compile(r"[^\W_]+")
 STEP = 10  # words between two passages
 WINDOWS = (2, 4)  # passage lengths in steps
+PIECE = WINDOWS[-1] * STEP  # words of a piece of an item
+CELLS = 16_000_000  # cosines held at once
 MATCH = "doc_id long, item_id long, first_word long, cosine double, common double, answer double"
 
 
@@ -38,13 +41,13 @@ MATCH = "doc_id long, item_id long, first_word long, cosine double, common doubl
 class Settings:
     rank: int = 64
     cosine: float = 0.5
-    contained: float = 0.35  # of an item's latent mass, in a passage
+    contained: float = 0.35  # of a piece's latent mass, in a passage
     common_term: float = 0.002  # of the passages; more common terms are left out of the space
     common: float = 0.75  # of an item's words, in order
     common_with_answer: float = 0.6
     answer: float = 0.75
     answer_words: int = 6
-    block_items: int = 20_000  # items of one scan
+    block_items: int = 20_000  # items, or pieces of longer ones, of one scan
 
 
 @dataclass
@@ -72,6 +75,12 @@ def read_items(rows: list[tuple[int, str | None]]) -> Items:
     return Items([i for i, _ in kept], terms, words, masks)
 
 
+def pieces_of(length: int) -> list[tuple[int, int]]:
+    """(begin, end) of the whole item and, if it is longer than a window, of overlapping pieces of one window."""
+    begins = [*range(0, length - PIECE, PIECE // 2), length - PIECE] if length > PIECE else []
+    return [(0, length), *((b, b + PIECE) for b in begins)]
+
+
 def common_words(mask: dict[int, int], length: int, region: list[int]) -> int:
     """Length of the longest common subsequence, bit by bit in one integer."""
     full = (1 << length) - 1
@@ -196,15 +205,23 @@ def latent_space(numbered: DataFrame, idf: np.ndarray, items: Items, rank: int,
 def find_matches(docs: DataFrame, benchmark: DataFrame, settings: Settings | None = None) -> DataFrame:
     """(doc_id, item_id, first_word, cosine, common, answer): the best passage of each document and item that match.
 
-    The benchmark is read in blocks of block_items items; the corpus is searched once for each block.
+    The benchmark is read in blocks of block_items pieces; the corpus is searched once for each block.
     """
     s, folder = settings or Settings(), work_folder(docs.sparkSession)
     rows = [(r[0], r[1]) for r in benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).toLocalIterator()]
     rows = sorted({r for r in rows if r[0] is not None and r[1]})
+    blocks, room = [], 0
+    for row in rows:
+        pieces = len(pieces_of(len(WORD.findall(row[1].lower()))))
+        if not blocks or pieces > room:
+            blocks.append([])
+            room = s.block_items
+        blocks[-1].append(row)
+        room -= pieces
     out = docs.sparkSession.createDataFrame([], MATCH)
-    for at in range(0, len(rows), s.block_items):
-        found = _search(docs, read_items(rows[at : at + s.block_items]), s, f"{folder}/{at}")
-        out = found if out is None or at == 0 else out.unionByName(found)
+    for n, block in enumerate(blocks):
+        found = _search(docs, read_items(block), s, f"{folder}/{n}")
+        out = found if n == 0 else out.unionByName(found)
     return out
 
 
@@ -214,22 +231,25 @@ def _search(docs: DataFrame, items: Items, s: Settings, folder: str) -> DataFram
     numbered = materialize(term_numbers(docs.where("doc_id is not null"), items.terms), folder, "numbered")
     held, passages = passage_counts(numbered, len(items.terms))
     idf = np.log((passages + 1) / (held + 1)) + 0.1
-    # An item's answer: its rarest words.
+    # An item's answer: its rarest words. Those of each piece are kept, too, so that every piece can be found.
     live = held <= s.common_term * passages
-    for own in items.words:
-        distinct = sorted(set(own.tolist()), key=lambda w: (-idf[w], w))
-        items.answers.append(frozenset(distinct[: s.answer_words]))
-        live[distinct[: s.answer_words]] = True
+    pieces, item_of = [], []
+    for i, own in enumerate(items.words):
+        for begin, end in pieces_of(len(own)):
+            rarest = sorted(set(own[begin:end].tolist()), key=lambda w: (-idf[w], w))[: s.answer_words]
+            if begin == 0 and end == len(own):
+                items.answers.append(frozenset(rarest))
+            live[rarest] = True
+            pieces.append(own[begin:end])
+            item_of.append(i)
     idf = np.where(live, idf, 0)
     space = latent_space(numbered, idf, items, s.rank, passages)
     by_term = (space * idf[:, None]).astype("f4")
-    sizes = np.array([len(w) for w in items.words])
-    starts = np.cumsum(sizes) - sizes
-    targets = np.add.reduceat(by_term[np.concatenate(items.words)], starts, axis=0)
-    broad = docs.sparkSession.sparkContext.broadcast((items, by_term, live, targets))
+    targets = np.stack([by_term[w].sum(axis=0) for w in pieces])
+    broad = docs.sparkSession.sparkContext.broadcast((items, by_term, live, targets, np.array(item_of)))
 
     def search(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, by_term, live, targets = broad.value
+        items, by_term, live, targets, item_of = broad.value
         live = np.append(live, False)  # the last: other words
         for whole in parts:
             for at in range(0, whole.num_rows, 1000):
@@ -243,7 +263,7 @@ def _search(docs: DataFrame, items: Items, s: Settings, folder: str) -> DataFram
                     sums, inside = np.zeros((len(owner), by_term.shape[1]), "f4"), np.zeros(len(owner), "i4")
                     sums[step[hit][begins]] = np.add.reduceat(by_term[words[hit]], begins, axis=0)
                     inside[step[hit][begins]] = np.diff(np.append(begins, len(hit)))
-                    _verify(found, texts, sums, inside, owner, items, targets, s)
+                    _verify(found, texts, sums, inside, owner, items, targets, item_of, s)
                 docs_at = part.column("doc_id").to_pylist()
                 rows = [(docs_at[d], items.ids[i], *v) for (d, i), v in sorted(found.items())]
                 cols = list(zip(*rows, strict=True)) or [()] * 6
@@ -255,8 +275,8 @@ def _search(docs: DataFrame, items: Items, s: Settings, folder: str) -> DataFram
     return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.*")
 
 
-def _verify(found: dict, texts: list[bytes], sums: np.ndarray, inside: np.ndarray, owner: np.ndarray, items: Items, targets: np.ndarray, s: Settings) -> None:
-    """Candidate passages by cosine, then common subsequence and answer; the best place of each (text, item) goes to found."""
+def _verify(found: dict, texts: list[bytes], sums: np.ndarray, inside: np.ndarray, owner: np.ndarray, items: Items, targets: np.ndarray, item_of: np.ndarray, s: Settings) -> None:
+    """Candidate passages by cosine with a piece, then common subsequence with its whole item and answer; the best place of each (text, item) goes to found."""
     first_step = np.searchsorted(owner, np.arange(len(texts)))
     looked: set[tuple[int, int, int]] = set()
     size = np.maximum(np.linalg.norm(targets, axis=1), 1e-9)
@@ -271,12 +291,13 @@ def _verify(found: dict, texts: list[bytes], sums: np.ndarray, inside: np.ndarra
                 x[:-k] += np.where(same, sums[k:], 0)
                 n[:-k] += np.where(same[:, 0], inside[k:], 0)
         use = np.flatnonzero(n >= least)
-        for at in range(0, len(use), 20_000):
-            own = use[at : at + 20_000]
+        most = min(20_000, max(1, CELLS // len(targets)))
+        for at in range(0, len(use), most):
+            own = use[at : at + most]
             along = x[own] @ towards
             cos = along / np.maximum(np.linalg.norm(x[own], axis=1, keepdims=True), 1e-9)
-            for r, i in zip(*np.nonzero((cos >= s.cosine) & (along >= s.contained * size)), strict=True):
-                step, i = int(own[r]), int(i)
+            for r, piece in zip(*np.nonzero((cos >= s.cosine) & (along >= s.contained * size)), strict=True):
+                step, i = int(own[r]), int(item_of[piece])
                 d, length = int(owner[step]), len(items.words[i])
                 key = (d, i, step // 2)
                 if key in looked:
@@ -295,7 +316,7 @@ def _verify(found: dict, texts: list[bytes], sums: np.ndarray, inside: np.ndarra
                     continue
                 answer = len(items.answers[i].intersection(near)) / len(items.answers[i])
                 if common >= s.common or answer >= s.answer:
-                    got = (begin, float(cos[r, i]), common, answer)
+                    got = (begin, float(cos[r, piece]), common, answer)
                     if (d, i) not in found or (common, answer, got[1]) > (found[d, i][2], found[d, i][3], found[d, i][1]):
                         found[d, i] = got
 

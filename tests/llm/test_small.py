@@ -145,3 +145,20 @@ def test_components_of_paths_and_trees(spark, tmp_path):
             root[b] = a
         got = common.connected_components(spark.createDataFrame(edges, "u long, v long"), f"file://{tmp_path}/cc{k}").collect()
         assert sorted((r["node"], r["component"]) for r in got) == sorted((x, find(x)) for x in root)
+
+
+def test_decontamination_of_long_items(spark, docs):
+    """Passages of 15 to 340 words cut from documents, and copies with every eighth word replaced."""
+    texts = [(r["doc_id"], decontaminate.WORD.findall(r["text"].lower())) for r in docs.where("text is not null").orderBy("doc_id").collect()]
+    long = [(d, w) for d, w in texts if len(w) >= 360][:12]
+    items, near = [], []
+    for n, (d, w) in enumerate(long):
+        for size in (15, 50, 150, 300, 340):
+            own = w[n : n + size]
+            items.append((len(items), " ".join(own), d))
+            near.append((10**9 + items[-1][0], " ".join(f"zz{k}" if k % 8 == 5 else x for k, x in enumerate(own))))
+    corpus = docs.select("doc_id", "text").unionByName(spark.createDataFrame(near, "doc_id long, text string"))
+    found = decontaminate.find_matches(corpus, spark.createDataFrame(items, "item_id long, text string, doc_id long"))
+    got = {(r["doc_id"], r["item_id"]) for r in found.collect()}
+    assert len(long) == 12
+    assert {(d, i) for i, _, d in items} | {(d, d - 10**9) for d, _ in near} <= got
