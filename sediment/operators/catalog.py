@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sediment.functions import formats as fm
+
 
 def orphans(chunks: DataFrame, files: DataFrame, key: str, file_key: str, scoped: Column | None = None) -> DataFrame:
     """Chunks whose document is gone; chunks of a conversation (scoped) have none to lose."""
@@ -52,3 +54,28 @@ def reuse_vectors(new: DataFrame, known: DataFrame, hash_col: str, vector_col: s
     """new chunks with the vector of the first known chunk of equal hash, null where one must be computed."""
     first = known.where(F.size(vector_col) > 0).groupBy(hash_col).agg(F.min_by(vector_col, F.struct(*order)).alias(vector_col))
     return new.join(first, hash_col, "left")
+
+
+def match_models(asked: DataFrame, offered: DataFrame) -> DataFrame:
+    """(id, best, priority): for each row of asked (id, name), the smallest id of offered (id, name) of the best match_priority.
+
+    Names, keys and key prefixes of offered are brought to one row each before they meet asked by equality.
+    """
+
+    def starts(c: str) -> Column:
+        return F.explode(F.transform(F.sequence(F.lit(0), F.length(c)), lambda n: F.substring(F.col(c), F.lit(1), n))).alias("at")
+
+    def met(a: DataFrame, b: DataFrame, priority: int) -> DataFrame:
+        return a.join(b.groupBy("at").agg(F.min("best").alias("best")), "at").select("name", F.lit(priority).alias("priority"), "best")
+
+    names = asked.select("name").distinct().withColumn("key", fm.model_key(F.col("name")))
+    by_name = offered.groupBy(F.col("name").alias("at")).agg(F.min("id").alias("best"))
+    by_key = by_name.groupBy(fm.model_key(F.col("at")).alias("key")).agg(F.min("best").alias("best"))
+    exact = met(names.select("name", F.col("name").alias("at")), by_name, 1)
+    own, key = names.select("name", F.col("key").alias("at")), by_key.select(F.col("key").alias("at"), "best")
+    equal = met(own, key, 2)
+    longer = met(own, by_key.select(starts("key"), "best"), 3)
+    shorter = met(names.select("name", starts("key")), key, 3)
+    every = exact.unionByName(equal).unionByName(longer).unionByName(shorter)
+    best = every.groupBy("name").agg(F.min(F.struct("priority", "best")).alias("m"))
+    return asked.select("id", "name").join(best, "name").select("id", "m.best", "m.priority")

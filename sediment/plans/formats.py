@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sediment.functions import formats as fm
 from sediment.functions import text as tx
-from sediment.operators import blocks, context, evaluation
+from sediment.operators import blocks, catalog, context, evaluation
 from sediment.plans.registry import query
 
 
@@ -51,6 +51,13 @@ def model_match(spark, table):
     return best.select("p_partkey", "m.best", "m.priority")
 
 
+@query()
+def model_match_all(spark, table):
+    """model_match over the whole part table: the SQL of that query is fixed to p_partkey < 200."""
+    part = table("part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
+    return catalog.match_models(part.withColumn("name", F.upper("name")), part).withColumnRenamed("id", "p_partkey")
+
+
 @query("SELECT conv_id, count(*) FILTER (WHERE contains(lower(text), 'the ')) AS hits, bool_or(length(trim(text)) BETWEEN 8 AND 400) AS valid FROM conversations GROUP BY conv_id")
 def memory_candidates(spark, table):
     rows = table("conversations")

@@ -1,7 +1,8 @@
 from pyspark.sql import functions as F
 
 from sediment.functions import formats as fm
-from sediment.operators import context
+from sediment.operators import catalog, context
+from sediment.plans import registry
 
 
 def one(spark, f, *values):
@@ -50,3 +51,20 @@ def test_fallback(spark):
     ctx = spark.createDataFrame([(1, [5])], "question_id long, sources array<long>")
     chunks = spark.createDataFrame([(1, 9, 0, "x"), (2, 7, 0, "a" * 35), (2, 8, 1, "b" * 35)], "question_id long, chunk_id long, chunk_index int, content string")
     assert [r["chunk_id"] for r in context.with_fallback(ctx, chunks, 15).collect()] == [7]
+
+
+def test_match_models_equals_all_pairs(spark):
+    names = ["org/Big-Model", "big_model", "big-model-7b", "BIG", "b", "bi g", "other", "x/other", "o-t-h-e-r 2", "", "--", None, "other", "alone9", "Big-Model"]
+    offered = spark.createDataFrame(list(enumerate(names)), "id long, name string")
+    asked = spark.createDataFrame([(100 + n, x) for n, x in enumerate([*names, "BIGM", "zzz", "other"])], "id long, name string")
+    for some in (offered, offered.where("length(name) > 2")):
+        pairs = asked.crossJoin(some.select(F.col("id").alias("best"), F.col("name").alias("o")))
+        pairs = pairs.withColumn("priority", fm.match_priority(F.col("name"), F.col("o"))).where("priority is not null")
+        want = pairs.groupBy("id").agg(F.min(F.struct("priority", "best")).alias("m")).select("id", "m.best", "m.priority")
+        assert sorted(map(tuple, catalog.match_models(asked, some).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_model_match_covers_all_parts(spark):
+    sf = "/root/testdata/sf0.01"
+    got = {r["p_partkey"]: (r["best"], r["priority"]) for r in registry.QUERIES["model_match_all"](spark, sf).collect()}
+    assert len(got) == spark.read.parquet(f"{sf}/part.parquet").where("p_name is not null").count()
