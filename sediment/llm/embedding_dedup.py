@@ -2,8 +2,8 @@
 
 Equal vectors are one class. Classes are dealt to shards by hash; each shard's graph is built in a
 task and stored. Every class is then searched for in every shard, in blocks. In each block a few
-queries are also compared with the whole shard; while the graph found less than `recall` of their
-links, the beam is doubled, up to the shard's size. Cosines are of double precision. A block gives
+queries are also compared with the whole shard; while the graph found less than `recall` of the links
+of any of them, itself left out, the beam is doubled, up to the shard's size. Cosines are of double precision. A block gives
 the number of links of each query and the edges of a spanning forest of the links it found, so a
 large group of near copies gives no row per pair; the forests are united over Spark.
 
@@ -56,12 +56,11 @@ def _search_block(queries: pd.DataFrame, graph: pd.DataFrame, least: float, beam
     rep = queries["rep"].to_numpy("i8")
     q = np.frombuffer(b"".join(queries["v"]), "f8").reshape(len(rep), -1)
     checked = np.random.default_rng(1).permutation(len(rep))[:audits]
-    truth = [np.flatnonzero(own.vectors @ q[i] >= least) for i in checked]
+    truth = [near[ids[near] != rep[i]] for i in checked for near in [np.flatnonzero(own.vectors @ q[i] >= least)]]
     while True:
         found = own.within(q, least, beam)
-        wanted = sum(map(len, truth))
-        hit = sum(len(np.intersect1d(t, found[i])) for i, t in zip(checked, truth, strict=True))
-        if hit >= recall * wanted or beam >= len(ids):
+        hits = [len(np.intersect1d(t, found[i])) for i, t in zip(checked, truth, strict=True)]
+        if all(hit >= recall * len(t) for hit, t in zip(hits, truth, strict=True)) or beam >= len(ids):
             break
         beam *= 2
     root: dict[int, int] = {}

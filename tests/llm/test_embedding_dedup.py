@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 
 from sediment.llm import embedding_dedup
 
@@ -40,3 +41,21 @@ def test_empty_and_repeated(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (1, [1.0, 0.0]), (None, [1.0, 0.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in embedding_dedup.near_duplicates(df).collect()] == [(1, 0, 1, True)]
     assert embedding_dedup.near_duplicates(df.limit(0)).collect() == []
+
+
+def test_audit_asks_each_query(monkeypatch):
+    """A group of 1000 must not outweigh a pair whose only link a narrow beam misses."""
+
+    class Narrow:
+        vectors = np.repeat(np.eye(2), [1000, 2], axis=0)
+
+        def within(self, q, least, beam):
+            near = [np.flatnonzero(self.vectors @ x >= least) for x in q]
+            return [n if beam > 50 or len(n) > 2 else np.array([1000 + i % 2]) for i, n in enumerate(near)]
+
+    monkeypatch.setattr(embedding_dedup.Graph, "from_bytes", lambda data: Narrow())
+    ids = np.arange(1002)
+    graph = pd.DataFrame([{"ids": ids.tobytes(), "many": np.ones(1002, "i8").tobytes(), "data": b""}])
+    queries = pd.DataFrame({"rep": ids[990:], "v": [x.tobytes() for x in Narrow.vectors[990:]]})
+    out = embedding_dedup._search_block(queries, graph, 0.95, 48, 0.99, 48)
+    assert {tuple(r) for r in out.to_numpy().tolist()} >= {(1000, 1000, 1), (1001, 1001, 1)}
