@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import public_tokenizers
@@ -44,3 +45,24 @@ def test_long_chunks_without_space_compose():
     machine = token_counts.Transducer(PATH)
     assert machine.counts([text.encode()] * 2).tolist() == library([text] * 2)
     assert np.array_equal(machine.counts([]), [])
+
+
+def test_maps_of_small_chunks(monkeypatch):
+    """Chunks and segments so short that most hold no settled symbol, and few rounds before only the true path goes on."""
+    rng = random.Random(7)
+    texts = ["".join(rng.choices(ODD, k=rng.randint(1, 80))) for _ in range(150)] + ["x" * 300, "漢字" * 90, "'" * 70, "".join(rng.choices("acgt", k=400)), "".join(rng.choices("漢字語學生", k=200))]
+    want = library(texts)
+    for chunk, segment, rounds in ((8, 64, 2), (16, 10_000, 1), (5, 10_000, 40), (64, 128, 40)):
+        for name, value in (("CHUNK", chunk), ("SEGMENT", segment), ("ROUNDS", rounds), ("WARM", min(4, chunk))):
+            monkeypatch.setattr(token_counts, name, value)
+        assert counts(texts) == want
+
+
+def test_a_megabyte_without_spaces_in_seconds():
+    rng = random.Random(1)
+    texts = ["".join(chr(rng.randint(0x4E00, 0x9FA5)) for _ in range(333_333)), "漢字" * 166_666]
+    machine = token_counts.Transducer(PATH)
+    began = time.process_time()
+    got = machine.counts([t.encode() for t in texts])
+    assert time.process_time() - began < 10
+    assert got.tolist() == library(texts)
