@@ -14,10 +14,13 @@ from pyspark.sql import functions as F
 def work_folder(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which all executors share.
 
-    Only where that setting is absent (tests, a laptop) a local folder is made and set.
+    Only where that setting is absent and Spark runs in one process (tests, a laptop) a local folder is
+    made and set; on a cluster its absence is an error, as executors would not see each other's files.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: it names the folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="sediment-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/sediment-{uuid.uuid4().hex}"
@@ -53,21 +56,24 @@ def connected_components(edges: DataFrame, folder: str, rounds: int = 40) -> Dat
     """(node, component): the smallest node reachable over edges (u, v), by alternating large and small stars.
 
     Only nodes that have an edge are returned. Each round is written to the work folder, so the
-    plan stays short and a lost executor costs one round. Minima are aggregated before the shuffle;
-    hubs meet their minimum in a sort-merge join, which Spark can split when it is skewed.
+    plan stays short and a lost executor costs one round. Minima are aggregated before the shuffle
+    and stored: Spark splits the join of a hub with its minimum only where both sides come
+    straight from a shuffle.
     """
     current = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct()
     current = materialize(current, folder, "cc-start")
     for n in range(rounds):
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
+        low = materialize(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), folder, f"cc-{n}-low")
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = materialize(large, folder, f"cc-{n}-large")
+        low = materialize(large.groupBy("u").agg(F.min("v").alias("m")), folder, f"cc-{n}-least")
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         current = materialize(small.unionByName(low.withColumnRenamed("m", "v")).distinct(), folder, f"cc-{n}")
         # Settled: separate stars, in which no child is a parent and none has two parents.
-        parents = current.select(F.col("v").alias("u")).distinct()
-        if current.groupBy("u").count().where("count > 1").isEmpty() and current.join(parents, "u", "left_semi").isEmpty():
+        ends = current.select(F.col("u").alias("node"), F.lit(1).alias("child")).unionByName(current.select(F.col("v").alias("node"), F.lit(0).alias("child")))
+        met = ends.groupBy("node").agg(F.sum("child").alias("parents"), F.min("child").alias("alone"))
+        if met.where("parents > 1 or (parents = 1 and alone = 0)").isEmpty():
             break
     else:
         raise RuntimeError(f"components not settled after {rounds} rounds")
