@@ -1,15 +1,18 @@
 """Embedding near-duplicates: a navigable small-world graph per shard, queried by every vector.
 
 Equal vectors are one class. Classes are dealt to shards by hash; each shard's graph is built in a
-task and stored. Every class is then searched for in every shard, in blocks. In each block a few
-queries are also compared with the whole shard; while the graph found less than `recall` of the links
-of any of them, itself left out, the beam is doubled, up to the shard's size. Cosines are of double precision. A block gives
-the number of links of each query and the edges of a spanning forest of the links it found, so a
-large group of near copies gives no row per pair; the forests are united over Spark.
+task and stored. Every class is then searched for in every shard, by tasks that hold one graph and
+read queries as they come. Audits set the beam, which is doubled up to the shard's size: at first
+vectors just above the threshold from known nodes must find them; then a few queries of each block
+are compared with the whole shard, and each must have found the share `recall` of its links, itself
+left out. Cosines are of double precision. A block gives the number of links of each query and the
+edges of a spanning forest of the links it found, so a large group of near copies gives no row per
+pair; the forests are united over Spark. `audited_recall` tells what the audits saw.
 
 Defined results: a vector that is null, zero, of another length than most, or that holds a null or
 non-finite component links with nothing; rows with a null id are left out; repeated ids are taken
-once (the smallest vector by its bytes); an empty table gives none.
+once (the smallest vector by its bytes); a cosine equal to the threshold is a link; an empty table
+gives none.
 """
 
 from __future__ import annotations
@@ -19,12 +22,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sediment.llm.common import connected_components, materialize, work_folder
 from sediment.llm.hnsw import Graph
 
+#: A stored graph is cut into rows of this size.
+PIECE_BYTES = 4_000_000
+
 
 def unit_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(vec_id, dims, v): unit vectors as bytes of doubles; v is null for vectors that link with nothing."""
@@ -48,82 +55,162 @@ def unit_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.mapInArrow(clean, "vec_id long, dims int, v binary")
 
 
-def _search_block(queries: pd.DataFrame, graph: pd.DataFrame, least: float, beam: int, recall: float, audits: int) -> pd.DataFrame:
-    if not len(queries) or not len(graph):
-        return pd.DataFrame({"u": [], "v": [], "n": []}, dtype="i8")
-    own = Graph.from_bytes(graph["data"].iloc[0])
-    ids, many = (np.frombuffer(graph[c].iloc[0], "i8") for c in ("ids", "many"))
-    rep = queries["rep"].to_numpy("i8")
-    q = np.frombuffer(b"".join(queries["v"]), "f8").reshape(len(rep), -1)
-    checked = np.random.default_rng(1).permutation(len(rep))[:audits]
-    truth = [near[ids[near] != rep[i]] for i in checked for near in [np.flatnonzero(own.vectors @ q[i] >= least)]]
-    while True:
-        found = own.within(q, least, beam)
-        hits = [len(np.intersect1d(t, found[i])) for i, t in zip(checked, truth, strict=True)]
-        if all(hit >= recall * len(t) for hit, t in zip(hits, truth, strict=True)) or beam >= len(ids):
-            break
-        beam *= 2
-    root: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while (up := root.setdefault(x, x)) != x:
-            root[x] = root[up]
-            x = up
-        return x
-
-    rows = []
-    for one, near in zip(rep.tolist(), found, strict=True):
-        others = ids[near]
-        total = int(many[near].sum()) - int(many[near][others == one].sum())
-        if total:
-            rows.append((one, one, total))
-            for other in others.tolist():
-                a, b = find(one), find(other)
-                if a != b:
-                    root[max(a, b)] = min(a, b)
-                    rows.append((one, other, 0))
-    return pd.DataFrame(rows, columns=["u", "v", "n"], dtype="i8")
-
-
-def near_duplicates(
-    vectors: DataFrame, least: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = 100_000,
-    least_shards: int = 6, block_rows: int = 2048, beam: int = 48, recall: float = 0.99, audits: int = 48,
+class Searcher:
+    """A shard's graph with the beam that its audits ask for."""
+
+    def __init__(self, ids: np.ndarray, many: np.ndarray, graph: Graph, least: float, beam: int, recall: float, audits: int):
+        self.ids, self.many, self.graph, self.least, self.beam, self.recall, self.audits = ids, many, graph, least, beam, recall, audits
+        self.wanted = self.hits = 0
+        self._probe()
+
+    def _probe(self) -> None:
+        """Widen the beam until vectors just above the threshold from known nodes find them."""
+        n, dims = self.graph.vectors.shape
+        if dims < 2:
+            self.beam = n
+            return
+        rng = np.random.default_rng(1)
+        nodes = rng.permutation(n)[: self.audits]
+        own = self.graph.vectors[nodes]
+        away = rng.standard_normal(own.shape)
+        away -= (away * own).sum(axis=1, keepdims=True) * own
+        away /= np.maximum(np.linalg.norm(away, axis=1, keepdims=True), 1e-12)
+        cos = min(1.0, self.least + 1e-3)
+        probes = cos * own + np.sqrt(1 - cos * cos) * away
+        while self.beam < n:
+            found = self.graph.within(probes, self.least, self.beam)
+            if sum(node in near for node, near in zip(nodes.tolist(), found, strict=True)) >= self.recall * len(nodes):
+                return
+            self.beam *= 2
+
+    def audit(self, rep: np.ndarray, q: np.ndarray) -> None:
+        """Compare some queries with the whole shard; widen the beam while any of them lacks links, itself left out."""
+        checked = np.random.default_rng(len(rep)).permutation(len(rep))[: self.audits]
+        if not len(checked):
+            return
+        cos = q[checked] @ self.graph.vectors.T
+        truth = [near[self.ids[near] != rep[i]] for i, near in zip(checked, (np.flatnonzero(c >= self.least) for c in cos), strict=True)]
+        some = [k for k, t in enumerate(truth) if len(t)]
+        checked, truth = checked[some], [truth[k] for k in some]
+        while len(checked):
+            found = self.graph.within(q[checked], self.least, self.beam)
+            hits = [len(np.intersect1d(t, f)) for t, f in zip(truth, found, strict=True)]
+            if self.beam >= len(self.ids) or all(hit >= self.recall * len(t) for hit, t in zip(hits, truth, strict=True)):
+                self.wanted, self.hits = self.wanted + sum(map(len, truth)), self.hits + sum(hits)
+                return
+            self.beam *= 2
+
+    def links(self, rep: np.ndarray, q: np.ndarray) -> list[tuple[int, int, int]]:
+        """(query, query, links) of each query that has any, and (query, other, 0) of a spanning forest of the links."""
+        self.audit(rep, q)
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (up := root.setdefault(x, x)) != x:
+                root[x] = root[up]
+                x = up
+            return x
+
+        rows = []
+        for at in range(0, len(rep), 256):  # links of few queries at a time: those of a large group are many
+            for one, near in zip(rep[at : at + 256].tolist(), self.graph.within(q[at : at + 256], self.least, self.beam), strict=True):
+                others = self.ids[near]
+                total = int(self.many[near].sum()) - int(self.many[near][others == one].sum())
+                if total:
+                    rows.append((one, one, total))
+                    for other in others.tolist():
+                        a, b = find(one), find(other)
+                        if a != b:
+                            root[max(a, b)] = min(a, b)
+                            rows.append((one, other, 0))
+        return rows
+
+
+def found_links(
+    classes: DataFrame, folder: str, least: float, shard_rows: int, least_shards: int, task_rows: int, beam: int, recall: float, audits: int
 ) -> DataFrame:
-    """(vec_id, n_links, component_id, kept), one row per vector id."""
-    spark, folder = vectors.sparkSession, work_folder(vectors.sparkSession)
-    units = unit_vectors(vectors, id_col, vector_col).groupBy("vec_id").agg(F.min(F.struct("dims", "v")).alias("x"))
-    units = materialize(units.select("vec_id", "x.dims", "x.v"), folder, "units")
-    usual = units.where("v is not null").groupBy("dims").count().orderBy(F.desc("count"), "dims").limit(1).select("dims").collect()
-    usual = usual[0]["dims"] if usual else -1
-    whole = units.where((F.col("dims") == usual) & F.col("v").isNotNull())
-    classes = materialize(whole.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("many")), folder, "classes")
+    """(u, v, n), stored: links n of each class u = v, edges u, v with n = 0, and the audits of each task.
+
+    An audit's row has no u: v links were wanted by the audited queries and n of them were found.
+    A task holds one shard's graph, whose pieces come first, and reads its queries as they come; so
+    what is moved is the queries once for each shard, and a graph for each `task_rows` of them.
+    """
+    spark = classes.sparkSession
     n = classes.count()
-    shards, blocks = max(least_shards, -(-n // shard_rows)), max(1, -(-n // block_rows))
+    shards = max(least_shards, -(-n // shard_rows))
+    parts = max(1, -(-n // task_rows), -(-spark.sparkContext.defaultParallelism // shards))
     dealt = classes.withColumn("shard", F.pmod(F.xxhash64("rep"), F.lit(shards)).cast("int"))
 
     def build(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("rep").sample(frac=1, random_state=2)
         x = np.frombuffer(b"".join(part["v"]), "f8").reshape(len(part), -1)
-        row = {"shard": part["shard"].iloc[0], "ids": part["rep"].to_numpy("i8").tobytes(), "many": part["many"].to_numpy("i8").tobytes(), "data": Graph(x).build().to_bytes()}
-        return pd.DataFrame([row])
+        data = Graph(x).build().to_bytes(ids=part["rep"].to_numpy("i8"), many=part["many"].to_numpy("i8"))
+        pieces = [data[at : at + PIECE_BYTES] for at in range(0, len(data), PIECE_BYTES)]
+        return pd.DataFrame({"shard": part["shard"].iloc[0], "piece": range(len(pieces)), "v": pieces})
 
-    graphs = dealt.groupBy("shard").applyInPandas(build, "shard int, ids binary, many binary, data binary")
+    graphs = dealt.groupBy("shard").applyInPandas(build, "shard int, piece int, v binary")
     graphs = materialize(graphs, folder, "graphs")
-    numbers = F.sequence(F.lit(0), F.lit(blocks - 1))
-    graphs = graphs.withColumn("block", F.explode(numbers))
-    queries = classes.select("rep", "v", F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(blocks)).cast("int").alias("block"))
-    queries = queries.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    graphs = graphs.select("shard", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "piece", F.lit(None).cast("long").alias("rep"), "v")
+    part = F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(parts)).cast("int").alias("part")
+    queries = classes.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), part, F.lit(2**31 - 1).alias("piece"), "rep", "v")
+    both = graphs.unionByName(queries).repartitionById(shards * parts, F.col("shard") * parts + F.col("part")).sortWithinPartitions("piece")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces, searcher = [], None
+        kinds = [pa.int64()] * 3
+
+        def rows_of(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [()] * 3, kinds, strict=True)], names=["u", "v", "n"])
+
+        for whole in batches:
+            is_query = whole.column("rep").is_valid()
+            pieces += whole.filter(pa.compute.invert(is_query)).column("v").to_pylist()
+            whole = whole.filter(is_query)
+            if not whole.num_rows or not pieces:
+                continue
+            if searcher is None:
+                graph, more = Graph.from_bytes(b"".join(pieces))
+                pieces = [b""]
+                searcher = Searcher(more["ids"], more["many"], graph, least, beam, recall, audits)
+            for at in range(0, whole.num_rows, 4096):
+                own = whole.slice(at, 4096)
+                q = np.frombuffer(b"".join(own.column("v").to_pylist()), "f8").reshape(own.num_rows, -1)
+                yield rows_of(searcher.links(own.column("rep").to_numpy(), q))
+        if searcher is not None and searcher.wanted:
+            yield rows_of([(None, searcher.wanted, searcher.hits)])
+
+    return materialize(both.mapInArrow(search, "u long, v long, n long"), folder, "found")
+
+
+def audited_recall(found: DataFrame) -> DataFrame:
+    """One row: wanted and found links of all audited queries, and their ratio (null without any)."""
+    audits = found.where("u is null").agg(F.sum("v").alias("wanted"), F.sum("n").alias("found"))
+    return audits.withColumn("recall", F.col("found") / F.col("wanted"))
+
+
+def classes_of(vectors: DataFrame, folder: str, id_col: str = "vec_id", vector_col: str = "embedding") -> tuple[DataFrame, DataFrame]:
+    """Stored (vec_id, v) of all ids, and (v, rep, many) of the distinct unit vectors that can link."""
+    units = unit_vectors(vectors, id_col, vector_col).groupBy("vec_id").agg(F.min(F.struct("dims", "v")).alias("x"))
+    units = materialize(units.select("vec_id", "x.dims", "x.v"), folder, "units")
+    usual = units.where("v is not null").groupBy("dims").count().orderBy(F.desc("count"), "dims").limit(1).select("dims").collect()
+    usual = usual[0]["dims"] if usual else -1
+    whole = units.where((F.col("dims") == usual) & F.col("v").isNotNull())
+    return units, materialize(whole.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("many")), folder, "classes")
 
-    def search(_, one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
-        return _search_block(one, two, least, beam, recall, audits)
 
-    both = queries.groupBy("shard", "block").cogroup(graphs.groupBy("shard", "block"))
-    found = materialize(both.applyInPandas(search, "u long, v long, n long"), folder, "found")
+def near_duplicates(
+    vectors: DataFrame, least: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = 100_000,
+    least_shards: int = 6, task_rows: int = 1_000_000, beam: int = 48, recall: float = 0.99, audits: int = 48,
+) -> DataFrame:
+    """(vec_id, n_links, component_id, kept), one row per vector id."""
+    folder = work_folder(vectors.sparkSession)
+    units, classes = classes_of(vectors, folder, id_col, vector_col)
+    found = found_links(classes, folder, least, shard_rows, least_shards, task_rows, beam, recall, audits)
     united = connected_components(found.where("u <> v").select("u", "v"), folder)
     degree = found.where("u = v").groupBy("u").agg(F.sum("n").alias("n"))
     classes = classes.select("v", "rep", "many").join(degree.withColumnRenamed("u", "rep"), "rep", "left")
     classes = classes.join(united.withColumnRenamed("node", "rep"), "rep", "left")
     classes = classes.select("v", (F.coalesce("n", F.lit(0)) + F.col("many") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
-    out = units.join(classes, "v", "left")
+    out = units.select("vec_id", "v").join(classes, "v", "left")
     component = F.coalesce("component", "vec_id").alias("component_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component).withColumn("kept", F.expr("vec_id = component_id"))

@@ -6,6 +6,9 @@ import io
 
 import numpy as np
 
+#: Nodes in range beyond which a query is compared with all nodes.
+MANY = 256
+
 
 def _top(ids: np.ndarray, sims: np.ndarray, extra: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The keep best columns of each row."""
@@ -147,7 +150,10 @@ class Graph:
 
     # range search ----------------------------------------------------------------------------
     def within(self, queries: np.ndarray, least: float, beam: int) -> list[np.ndarray]:
-        """The nodes of cosine least or more that a beam finds, and all that are reached from them over such nodes."""
+        """The nodes of cosine least or more that a beam finds, and all that are reached from them over such nodes.
+
+        Where they are very many, all nodes are compared instead.
+        """
         out = []
         for at in range(0, len(queries), 512):
             part = queries[at : at + 512]
@@ -156,6 +162,9 @@ class Graph:
                 found = np.unique(own[cos >= least])
                 fresh = found
                 while len(fresh):
+                    if len(found) > MANY:
+                        found = np.flatnonzero(self.vectors @ q >= least)
+                        break
                     near = np.unique(self.links[0][fresh])
                     near = np.setdiff1d(near[near >= 0], found, assume_unique=True)
                     fresh = near[self.vectors[near] @ q >= least]
@@ -163,16 +172,19 @@ class Graph:
                 out.append(found.astype("i8"))
         return out
 
-    def to_bytes(self) -> bytes:
+    def to_bytes(self, **more: np.ndarray) -> bytes:
+        """The graph and more arrays, in one piece."""
         buffer = io.BytesIO()
-        np.savez(buffer, vectors=self.vectors, levels=self.levels, shape=np.array([self.width, self.beam]), **{f"links{k}": x for k, x in enumerate(self.links)})
+        links = {f"links{k}": x for k, x in enumerate(self.links)}
+        np.savez(buffer, vectors=self.vectors, levels=self.levels, shape=np.array([self.width, self.beam]), **links, **more)
         return buffer.getvalue()
 
     @classmethod
-    def from_bytes(cls, data: bytes) -> Graph:
-        got = np.load(io.BytesIO(data))
+    def from_bytes(cls, data: bytes) -> tuple[Graph, dict[str, np.ndarray]]:
+        with np.load(io.BytesIO(data)) as stored:
+            got = dict(stored)
         out = cls.__new__(cls)
-        out.vectors, out.levels = got["vectors"], got["levels"]
-        out.width, out.beam = (int(x) for x in got["shape"])
-        out.links = [got[f"links{k}"] for k in range(len(got.files) - 3)]
-        return out
+        out.vectors, out.levels = got.pop("vectors"), got.pop("levels")
+        out.width, out.beam = (int(x) for x in got.pop("shape"))
+        out.links = [got.pop(f"links{k}") for k in range(sum(name.startswith("links") for name in got))]
+        return out, got

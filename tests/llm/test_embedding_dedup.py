@@ -33,7 +33,7 @@ def test_against_brute_force(spark):
     rows += [(n + k, rows[0][1]) for k in range(4)] + [(n + 9, (2 * np.array(rows[3][1])).tolist())]
     rows += [(n + 10, None), (n + 11, [0.0] * 8), (n + 12, [float("nan")] + [1.0] * 7), (n + 13, [None] + [1.0] * 7), (n + 14, [1.0] * 3), (n + 15, [])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
-    out = embedding_dedup.near_duplicates(df, 0.95, block_rows=64)
+    out = embedding_dedup.near_duplicates(df, 0.95, task_rows=64)
     assert sorted(tuple(r) for r in out.collect()) == brute(rows, 0.95)
 
 
@@ -43,7 +43,7 @@ def test_empty_and_repeated(spark):
     assert embedding_dedup.near_duplicates(df.limit(0)).collect() == []
 
 
-def test_audit_asks_each_query(monkeypatch):
+def test_audit_asks_each_query():
     """A group of 1000 must not outweigh a pair whose only link a narrow beam misses."""
 
     class Narrow:
@@ -53,9 +53,32 @@ def test_audit_asks_each_query(monkeypatch):
             near = [np.flatnonzero(self.vectors @ x >= least) for x in q]
             return [n if beam > 50 or len(n) > 2 else np.array([1000 + i % 2]) for i, n in enumerate(near)]
 
-    monkeypatch.setattr(embedding_dedup.Graph, "from_bytes", lambda data: Narrow())
     ids = np.arange(1002)
-    graph = pd.DataFrame([{"ids": ids.tobytes(), "many": np.ones(1002, "i8").tobytes(), "data": b""}])
-    queries = pd.DataFrame({"rep": ids[990:], "v": [x.tobytes() for x in Narrow.vectors[990:]]})
-    out = embedding_dedup._search_block(queries, graph, 0.95, 48, 0.99, 48)
-    assert {tuple(r) for r in out.to_numpy().tolist()} >= {(1000, 1000, 1), (1001, 1001, 1)}
+    own = embedding_dedup.Searcher(ids, np.ones(1002, "i8"), Narrow(), 0.95, 48, 0.99, 48)
+    assert {(1000, 1000, 1), (1001, 1001, 1)} <= set(own.links(ids[990:], Narrow.vectors[990:])) and own.beam == 96
+
+
+def test_planted_pairs_and_a_large_group(spark, tmp_path):
+    """64 dimensions: 6000 vectors apart, 300 pairs at every cosine above the threshold, one group of 700."""
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((6000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    away = rng.standard_normal((300, 64))
+    away -= (away * x[:300]).sum(axis=1, keepdims=True) * x[:300]
+    away /= np.linalg.norm(away, axis=1, keepdims=True)
+    cos = np.linspace(0.9501, 0.9999, 300)[:, None]
+    group = x[301] + 0.02 * rng.standard_normal((700, 64))
+    x = np.concatenate([x, cos * x[:300] + np.sqrt(1 - cos**2) * away, group])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.95
+    np.fill_diagonal(near, False)
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": range(len(x)), "embedding": x.tolist(), "v": "clash", "rep": 1})).repartition(5)
+    got = embedding_dedup.near_duplicates(df, 0.95, least_shards=3).toPandas().sort_values("vec_id")
+    assert got["n_links"].sum() >= 0.99 * near.sum() and (got["n_links"].to_numpy() <= near.sum(axis=1)).all()
+    assert (got["n_links"].to_numpy()[:300] > 0).mean() >= 0.99
+    assert got["component_id"].iloc[-700:].nunique() == 1 and (got["kept"] == (got["vec_id"] == got["component_id"])).all()
+    folder = f"file://{tmp_path}"
+    classes = embedding_dedup.classes_of(df, folder)[1]
+    found = embedding_dedup.found_links(classes, folder, 0.95, 100_000, 3, 1_000_000, 48, 0.99, 48)
+    audit = embedding_dedup.audited_recall(found).first()
+    assert audit["wanted"] > 0 and audit["recall"] >= 0.99
