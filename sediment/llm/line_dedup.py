@@ -1,10 +1,11 @@
 """Line dedup: levelled sorted runs of line hashes, compacted periodically.
 
-Each batch of documents gives one run: its line keys with the number of documents and the largest
-document id. A new batch is merge-anti-joined with the stored runs, which tells keys never seen
-before from known ones, and is then added as a run of its own. When a level holds `fanout` runs
-they are compacted into one run of the next level. At the end the few remaining runs are merged
-once and tell which lines go.
+Each batch of documents gives its line keys with the number of documents and the largest document id.
+It is merge-anti-joined with the stored runs: keys never seen before become a run of their own, so each
+key stands in one run. When a level holds `fanout` runs they are compacted into one of the next level.
+The keys of the batch that some run holds are set aside, and only these are added up at the end, with
+their first counts; a key of one batch alone is never merged with anything, and goes or stays by the
+count that it has in its run.
 
 Defined results: a null or empty text is one empty line; a null text stays null; rows with a null
 id are returned unchanged and are not counted; a repeated row counts as the same document and gets
@@ -15,11 +16,12 @@ added n_lines and n_dropped replace columns of these names.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,6 +29,8 @@ from sediment.llm.common import materialize, plain_name, sliced, work_folder
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _BLANK = b" \t\n\x0b\x0c\r"
+#: Line keys of all documents for each bucket of a run.
+BUCKET_ROWS = 2_000_000
 
 
 def line_key(line: bytes, min_chars: int) -> bytes | None:
@@ -63,48 +67,82 @@ def document_keys(docs: DataFrame, min_chars: int = 40, batches: int = 4, id_col
 
 
 class LineRuns:
-    """Levelled sorted runs (h1, h2, n_docs, last_doc) in a work folder; levels[i] lists the runs of level i."""
+    """Levelled sorted runs of line hashes in a work folder; every key stands in one run.
 
-    def __init__(self, spark, folder: str, fanout: int = 3):
-        self.spark, self.folder, self.fanout, self.levels, self.made = spark, folder, fanout, [[]], 0
-
-    def _write(self, df: DataFrame) -> DataFrame:
-        self.made += 1
-        return materialize(df.sortWithinPartitions("h1", "h2"), self.folder, f"run-{self.made}")
+    Runs and batches are tables bucketed and sorted by key, with equal numbers of buckets. So a batch is
+    merge-anti-joined with the runs, and runs are merged, bucket by bucket without an exchange. What the
+    anti-joins leave, keys never seen before, is the batch's own run. The other keys of the batch go to
+    `again`; only they are ever added up.
+    """
 
-    def _merged(self, runs: list[DataFrame]) -> DataFrame:
-        out = runs[0]
-        for run in runs[1:]:
-            out = out.unionByName(run)
-        return out.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"), F.max("fresh").alias("fresh"))
+    def __init__(self, spark: SparkSession, folder: str, buckets: int):
+        self.spark, self.folder, self.buckets = spark, folder, buckets
+        self.levels: list[list[DataFrame]] = [[]]
+        self.again: DataFrame | None = None
+        self.tables: list[str] = []
+        self.prefix = f"line_runs_{uuid.uuid4().hex}"
+
+    def _stored(self, df: DataFrame) -> DataFrame:
+        """df as a bucketed and sorted table; df is dealt by key already, or by batch."""
+        name = f"{self.prefix}_{len(self.tables)}"
+        writer = df.write.format("parquet").option("path", f"{self.folder}/{name}").option("compression", "zstd")
+        writer.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").saveAsTable(name)
+        self.tables.append(name)
+        return self.spark.table(name)
 
     def runs(self) -> list[DataFrame]:
         return [run for level in self.levels for run in level]
 
+    def unseen(self, batch: DataFrame) -> DataFrame:
+        """The keys of a stored batch that no run holds."""
+        for run in self.runs():
+            batch = batch.join(run.select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti")
+        return batch
+
+    def merged(self, one: DataFrame, two: DataFrame) -> DataFrame:
+        """Two stored runs as one: counts are added, the larger last document stays."""
+        more = two.withColumnsRenamed({"n_docs": "n", "last_doc": "last"}).hint("merge")
+        n_docs = (F.coalesce("n_docs", F.lit(0)) + F.coalesce("n", F.lit(0))).alias("n_docs")
+        return one.join(more, ["h1", "h2"], "full").select("h1", "h2", n_docs, F.greatest("last_doc", "last").alias("last_doc"))
+
     def add(self, keys: DataFrame) -> None:
-        """Add a batch of (h1, h2, doc); fresh marks the keys that no stored run holds."""
-        run = keys.distinct().groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc").alias("last_doc"))
-        if stored := self.runs():
-            known = stored[0].select("h1", "h2")
-            for other in stored[1:]:
-                known = known.unionByName(other.select("h1", "h2"))
-            run = materialize(run, self.folder, f"batch-{self.made}")
-            new = run.join(known, ["h1", "h2"], "left_anti").withColumn("fresh", F.lit(True))
-            run = new.unionByName(run.join(known, ["h1", "h2"], "left_semi").withColumn("fresh", F.lit(False)))
-        else:
-            run = run.withColumn("fresh", F.lit(True))
-        self.levels[0].append(self._write(run))
+        """Add a batch of (h1, h2, doc); other batches must not hold its documents."""
+        batch = keys.distinct().groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc").alias("last_doc"))
+        batch = self._stored(batch.repartition(self.buckets, "h1", "h2"))
+        if self.runs():
+            fresh = self._stored(self.unseen(batch))
+            known = self._stored(batch.join(fresh.select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti"))
+            self.again = known if self.again is None else self._stored(self.merged(self.again, known))
+            batch = fresh
+        self.levels[0].append(batch)
         level = 0
-        while len(self.levels[level]) >= self.fanout:
-            merged = self._write(self._merged(self.levels[level]))
+        while len(self.levels[level]) >= 2:
+            whole = self._stored(self.merged(*self.levels[level]))
             self.levels[level] = []
             level += 1
             if level == len(self.levels):
                 self.levels.append([])
-            self.levels[level].append(merged)
+            self.levels[level].append(whole)
+
+    def frequent(self, least: int) -> DataFrame:
+        """(h1, h2, last_doc) of the keys of `least` documents or more."""
+        found = []
+        again = self.again
+        for run in self.runs():
+            if again is not None:
+                more = again.withColumnsRenamed({"n_docs": "n", "last_doc": "last"}).hint("merge")
+                run = run.join(more, ["h1", "h2"], "left")
+                run = run.select("h1", "h2", (F.col("n_docs") + F.coalesce("n", F.lit(0))).alias("n_docs"), F.greatest("last_doc", "last").alias("last_doc"))
+            found.append(run.where(F.col("n_docs") >= least).select("h1", "h2", "last_doc"))
+        out = found[0]
+        for run in found[1:]:
+            out = out.unionByName(run)
+        return out
 
-    def totals(self) -> DataFrame:
-        return self._merged(self.runs())
+    def drop(self) -> None:
+        """Forget the tables' names; the files go with the work folder."""
+        for name in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
 def drop_repeated_lines(
@@ -117,11 +155,12 @@ def drop_repeated_lines(
     """
     spark, folder = docs.sparkSession, work_folder(docs.sparkSession)
     staged = materialize(document_keys(docs, min_chars, batches, id_col, text_col), folder, "keys", "batch")
-    store = LineRuns(spark, folder)
+    store = LineRuns(spark, folder, max(8, -(-staged.count() // BUCKET_ROWS)))
     for n in range(batches):
         store.add(staged.where(F.col("batch") == n).select("h1", "h2", "doc"))
     # Stored: a join with a table of keys can be split where one line stands in very many documents.
-    often = materialize(store.totals().where(F.col("n_docs") >= min_docs).select("h1", "h2", "last_doc"), folder, "often")
+    often = materialize(store.frequent(min_docs), folder, "often")
+    store.drop()
     gone = staged.select("h1", "h2", "doc").join(often, ["h1", "h2"]).where("doc < last_doc")
     gone = gone.groupBy(F.col("doc").alias("_gone_id")).agg(F.collect_set(F.struct("h1", "h2")).alias("_gone"))
     base = plain_name(docs, ["n_lines", "n_dropped"])

@@ -116,6 +116,27 @@ def test_lines(spark):
     assert line_dedup.drop_repeated_lines(df.limit(0)).count() == 0
 
 
+def test_line_runs(spark, tmp_path):
+    """Each key stands in one run; joins and merges of stored runs need no exchange; counts equal a plain count."""
+    rng = np.random.default_rng(8)
+    docs = rng.integers(0, 400, 3000)
+    keys = rng.zipf(1.3, 3000) % 900
+    rows = [(int(k), int(k) * 7, int(d), int(d) % 5) for k, d in zip(keys, docs, strict=True)]
+    df = spark.createDataFrame(rows, "h1 long, h2 long, doc long, batch int")
+    store = line_dedup.LineRuns(spark, f"file://{tmp_path}/runs", 8)
+    for n in range(5):
+        store.add(df.where(F.col("batch") == n).select("h1", "h2", "doc"))
+    runs = [run.select("h1").collect() for run in store.runs()]
+    assert sum(map(len, runs)) == len({r["h1"] for run in runs for r in run}) == len(set(keys.tolist()))
+    assert len(runs) == 2  # five batches: a run of four and a run of one
+    for plan in (store.unseen(store.runs()[0]), store.merged(*store.runs())):
+        text = plan._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in text and "Bucketed: true" in text
+    want = df.groupBy("h1", "h2").agg(F.countDistinct("doc").alias("n"), F.max("doc").alias("last_doc")).where("n >= 5").select("h1", "h2", "last_doc")
+    assert sorted(map(tuple, store.frequent(5).collect())) == sorted(map(tuple, want.collect()))
+    store.drop()
+
+
 def test_components(spark, tmp_path):
     edges = spark.createDataFrame([(2, 1), (3, 2), (4, 3), (9, 8), (8, 7), (5, 5), (20, 10), (10, 30)], "u long, v long")
     got = {r["node"]: r["component"] for r in common.connected_components(edges, f"file://{tmp_path}/cc").collect()}
