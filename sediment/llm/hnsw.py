@@ -23,6 +23,7 @@ class Graph:
 
     def __init__(self, vectors: np.ndarray, width: int = 16, beam: int = 64, seed: int = 3):
         self.vectors, self.width, self.beam = np.ascontiguousarray(vectors, "f8"), width, beam
+        self.small = self.vectors.astype("f4")  # the way through the graph; links are told by doubles
         n = len(vectors)
         draw = np.random.default_rng(seed).random(n)
         self.levels = np.minimum((-np.log(np.maximum(draw, 1e-12)) / np.log(width)).astype("i4"), 6)
@@ -34,9 +35,9 @@ class Graph:
     def search(self, queries: np.ndarray, level: int, entry: np.ndarray, beam: int, step: int = 4) -> tuple[np.ndarray, np.ndarray]:
         """(ids, cosines) of the best nodes met on a level from the entries (queries, any number), best beam of each."""
         rows = np.arange(len(queries))
-        seen = np.zeros((len(queries), len(self.vectors)), bool)
+        seen = np.zeros((len(queries), len(self.small)), bool)
         seen[rows[:, None], np.maximum(entry, 0)] = True
-        sims = np.einsum("bed,bd->be", self.vectors[np.maximum(entry, 0)], queries)
+        sims = np.einsum("bed,bd->be", self.small[np.maximum(entry, 0)], queries)
         sims[entry < 0] = -np.inf
         ids, done = entry.copy(), entry < 0
         while len(active := rows[(~done).any(axis=1)]):
@@ -55,7 +56,7 @@ class Graph:
             seen[active[:, None], np.where(new, near, ids[active, :1].clip(0))] = True
             got = np.full(near.shape, -np.inf)
             r, c = np.nonzero(new)
-            got[r, c] = np.einsum("nd,nd->n", self.vectors[near[r, c]], queries[active[r]])
+            got[r, c] = np.einsum("nd,nd->n", self.small[near[r, c]], queries[active[r]])
             all_ids = np.hstack([ids[active], near])
             all_sims = np.hstack([sims[active], got])
             all_done = np.hstack([done[active], ~new])
@@ -89,8 +90,8 @@ class Graph:
             rows = np.flatnonzero(valid[:, c] & (count < width // 2))
             if not len(rows):
                 continue
-            near = self.vectors[np.maximum(chosen[rows, : width // 2], 0)]
-            to = np.einsum("bwd,bd->bw", near, self.vectors[ids[rows, c]])
+            near = self.small[np.maximum(chosen[rows, : width // 2], 0)]
+            to = np.einsum("bwd,bd->bw", near, self.small[ids[rows, c]])
             to[chosen[rows, : width // 2] < 0] = -np.inf
             rows = rows[to.max(axis=1) < sims[rows, c]]
             chosen[rows, count[rows]] = ids[rows, c]
@@ -122,24 +123,24 @@ class Graph:
             both = np.hstack([links[part], new])
             both = np.sort(both, axis=1)
             both[:, 1:][both[:, 1:] == both[:, :-1]] = -1
-            near = np.einsum("bcd,bd->bc", self.vectors[np.maximum(both, 0)], self.vectors[part])
+            near = np.einsum("bcd,bd->bc", self.small[np.maximum(both, 0)], self.small[part])
             near[both < 0] = -np.inf
             links[part] = self.choose(part, both, near, links.shape[1])
 
     def build(self) -> Graph:
-        n, done = len(self.vectors), 1
+        n, done = len(self.small), 1
         while done < n:
             nodes = np.arange(done, min(n, done + min(512, max(32, done))))
-            entry = self.descend(self.vectors[nodes], len(self.links) - 1)
+            entry = self.descend(self.small[nodes], len(self.links) - 1)
             for level in range(len(self.links) - 1, -1, -1):
                 if level < len(self.links) - 1:
                     entry = np.where(sims > -np.inf, ids, -1)[:, : self.beam].astype("i4")
-                ids, sims = self.search(self.vectors[nodes], level, entry, self.beam)
+                ids, sims = self.search(self.small[nodes], level, entry, self.beam)
                 mine = np.flatnonzero(self.levels[nodes] >= level)
                 if not len(mine):
                     continue
                 batch = nodes[mine]
-                with_batch = self.vectors[batch] @ self.vectors[batch].T
+                with_batch = self.small[batch] @ self.small[batch].T
                 np.fill_diagonal(with_batch, -np.inf)
                 all_ids = np.hstack([ids[mine], np.broadcast_to(batch, with_batch.shape).astype("i4")])
                 all_sims = np.hstack([sims[mine], with_batch])
@@ -154,12 +155,16 @@ class Graph:
 
         Where they are very many, all nodes are compared instead.
         """
-        out = []
+        none = np.zeros(0, "i8")
+        out = [none] * len(queries)
         for at in range(0, len(queries), 512):
             part = queries[at : at + 512]
-            ids, sims = self.search(part, 0, self.descend(part, 0), beam)
-            for q, own, cos in zip(part, ids, sims, strict=True):
-                found = np.unique(own[cos >= least])
+            quick = part.astype("f4")
+            ids, sims = self.search(quick, 0, self.descend(quick, 0), beam)
+            hopeful = sims >= least - 1e-4
+            for row in np.flatnonzero(hopeful.any(axis=1)).tolist():
+                q, found = part[row], np.unique(ids[row, hopeful[row]])
+                found = found[self.vectors[found] @ q >= least]
                 fresh = found
                 while len(fresh):
                     if len(found) > MANY:
@@ -169,7 +174,7 @@ class Graph:
                     near = np.setdiff1d(near[near >= 0], found, assume_unique=True)
                     fresh = near[self.vectors[near] @ q >= least]
                     found = np.union1d(found, fresh)
-                out.append(found.astype("i8"))
+                out[at + row] = found.astype("i8")
         return out
 
     def to_bytes(self, **more: np.ndarray) -> bytes:
@@ -185,6 +190,7 @@ class Graph:
             got = dict(stored)
         out = cls.__new__(cls)
         out.vectors, out.levels = got.pop("vectors"), got.pop("levels")
+        out.small = out.vectors.astype("f4")
         out.width, out.beam = (int(x) for x in got.pop("shape"))
         out.links = [got.pop(f"links{k}") for k in range(sum(name.startswith("links") for name in got))]
         return out, got
