@@ -10,15 +10,14 @@ one anchor, and starts with the same anchor are neighbours.
    the bytes to its left within half a string, and those that hold the right side. Each part has a key,
    the hash of what all of its strings share, and a context, the bytes from its first to its last
    string. Equal contexts of a key are one, with a count; they are counted before they are shuffled.
-   Two or more equal contexts repeat all of their strings.
-3. Keys with several different contexts go to shards. A shard sorts the suffixes of its contexts:
-   they are ranked by eight bytes and then refined as Larsson and Sadakane do, doubling the depth and
-   sorting only groups that are not single yet, up to exactly `length` bytes. Neighbours in that order
-   with a common prefix of `length` bytes are repeated.
+   Two or more equal contexts repeat all of their strings. (Contexts are equal by 128-bit digests.)
+3. Keys with several different contexts go to shards. A shard sorts the suffixes of its contexts as
+   Larsson and Sadakane do, doubling the depth and sorting only groups that are not single yet, and
+   Kasai's pass gives each string's common prefix with the one before it; `length` bytes or more are
+   a repeat.
 4. A key with more than `shard_contexts` contexts is dealt over several shards, and their strings are
-   merged: each shard gives its distinct strings' hashes, and those that several shards of the key
-   hold are repeated in each. (The merge is a sort-merge join over Spark; a binary search in whole
-   suffix arrays of other shards would have to ship those.)
+   merged: each shard gives its distinct strings, as 128-bit digests, and those that a binary search
+   finds in several shards are repeated in each.
 
 Defined results: a null text is an empty text and stays null; texts shorter than `length` keep all;
 repeated rows are texts of their own, so they repeat each other; null ids are texts like any other;
@@ -31,8 +30,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,11 +39,13 @@ from pyspark.sql import types as T
 from sediment.llm.common import materialize, plain_name, work_folder
 
 GRAM = 32
-BLOCK = 4_000_000  # bytes hashed at a time; a longer text is a block of its own
+BLOCK = 2_000_000  # bytes hashed at a time; a longer text is a block of its own
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 #: Ids that may be broadcast to pick the texts that are needed again.
 BROADCAST_IDS = 2_000_000
+#: Strings merged by a task.
+MERGED_STRINGS = 1_000_000
 
 
 class Hashes:
@@ -107,8 +108,8 @@ def anchors(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     return text, anchor - base, begin - base, last - base, grams[anchor].view("i8")
 
 
-def halves(text: bytes, rows: list, length: int) -> list[tuple[int, int, int, int]]:
-    """(key, context hash, first start, last start) of both parts of each (anchor, first, last)."""
+def halves(text: bytes, rows: list, length: int) -> list[tuple[int, int, int, int, int]]:
+    """(key, digest of the context in two parts, first start, last start) of both parts of each (anchor, first, last)."""
     h, half = Hashes(np.frombuffer(text, "u1")), (length - GRAM) // 2
     a, lo, hi = (np.array(x, "i8") for x in zip(*rows, strict=True))
     out = []
@@ -116,63 +117,96 @@ def halves(text: bytes, rows: list, length: int) -> list[tuple[int, int, int, in
     for first, last, start, end, side in ((lo, left, a - half, a + GRAM, 0), (right, hi, a, a + GRAM + half, 1)):
         use = np.flatnonzero(first <= last)
         key = h.of(start[use], end[use]) * np.uint64(2) + np.uint64(side)
+        spans = list(zip(first[use].tolist(), last[use].tolist(), a[use].tolist(), strict=True))
         # the place of the anchor in the context is part of what makes contexts equal
-        context = h.of(first[use], last[use] + length) + (a[use] - first[use]).astype("u8")
-        out += zip(key.view("i8").tolist(), context.view("i8").tolist(), first[use].tolist(), last[use].tolist(), strict=True)
+        digests = b"".join([xxhash.xxh3_128_digest(text[x : y + length], at - x) for x, y, at in spans])
+        c = np.frombuffer(digests, "<i8").reshape(-1, 2)
+        out += zip(key.view("i8").tolist(), c[:, 0].tolist(), c[:, 1].tolist(), first[use].tolist(), last[use].tolist(), strict=True)
     return out
 
 
-def equal_strings(data: np.ndarray, starts: np.ndarray, room: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts in suffix order and, for each, whether it has a common prefix of `length` bytes with its left neighbour.
+#: Symbols in a number: bytes, and one beyond them for the end of a context.
+PACKED = 7
 
-    room: how many bytes from each position of data to the end of its context. Larsson-Sadakane: rank
-    holds the number of a position's group at the present depth; only groups of two or more are sorted.
+
+def packed_symbols(data: np.ndarray, room: np.ndarray) -> np.ndarray:
+    """The next symbols from each position as one number; room: bytes to the end of the position's context."""
+    n, value = len(data), np.zeros(len(data), "i8")
+    for k in range(PACKED):
+        symbol = np.full(n, 256, "i8")
+        symbol[: n - k] = data[k:]
+        symbol[room <= k] = 256
+        value = (value << 9) | symbol
+    return value
+
+
+def suffix_order(value: np.ndarray, room: np.ndarray) -> np.ndarray:
+    """All positions in the order of their suffixes, by Larsson-Sadakane refinement.
+
+    rank holds the place of a position's group at the present depth; each round doubles the depth and
+    sorts only groups of two or more. A suffix ends with its context, by a symbol that is above all
+    bytes and, of two, smaller where it stands earlier; so in the end no two are equal.
     """
-    n, depth = len(data), 8
-    value = np.zeros(n, "u8")
-    for k in range(depth):
-        value[: n - k] = (value[: n - k] << np.uint64(8)) | data[k:] if k else data
-    # A position too near its context's end for the depth is a group of its own, after all others.
-    whole = np.flatnonzero(room >= depth)
-    order = whole[np.argsort(value[whole], kind="stable")]
-    rank = np.arange(n, 2 * n, dtype="i8")
-
-    def number(order: np.ndarray, same: np.ndarray, first: np.ndarray) -> None:
-        """Give each group the place of its first member."""
-        head = np.where(same, 0, first)
-        rank[order] = np.maximum.accumulate(head)
-
-    same = np.zeros(len(order), bool)
-    same[1:] = value[order[1:]] == value[order[:-1]]
-    place = np.arange(len(order))
-    number(order, same, place)
-    while depth < length:
-        step = min(depth, length - depth)
-        open_ = same.copy()
-        open_[:-1] |= same[1:]
-        at = np.flatnonzero(open_)
-        if not len(at):
-            break
+    n, depth = len(value), PACKED
+    order = np.argsort(value, kind="stable")
+    same = np.zeros(n, bool)
+    same[1:] = (value[order[1:]] == value[order[:-1]]) & (room[order[1:]] >= depth)
+    rank = np.empty(n, "i8")
+    place = np.arange(n)
+    rank[order] = np.maximum.accumulate(np.where(same, 0, place))
+    open_ = same.copy()
+    open_[:-1] |= same[1:]
+    at = np.flatnonzero(open_)
+    while len(at):
         members = order[at]
-        after = np.where(room[members] >= depth + step, rank[np.minimum(members + step, n - 1)], n + members)
+        inside = room[members] > depth
+        after = np.where(inside, rank[np.where(inside, members + depth, 0)], n + members)
         group = rank[members]
         resorted = np.lexsort((after, group))
         members, after, group = members[resorted], after[resorted], group[resorted]
         order[at] = members
-        same[at] = False
-        if len(at) > 1:
-            same[at[1:]] = (group[1:] == group[:-1]) & (after[1:] == after[:-1])
-        number(members, same[at], at)
-        depth += step
-    wanted = np.zeros(n, bool)
-    wanted[starts] = True
-    keep = wanted[order]
-    # a start's left neighbour is of the same group only if it is a start too: both have length bytes of room
-    return order[keep], same[keep]
-
-
-def shard_matches(contexts: list[bytes], counts: np.ndarray, windows: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(context, start, repeated) of all strings of the contexts; repeated if it is equal to another one here."""
+        same = np.zeros(len(at), bool)
+        same[1:] = (group[1:] == group[:-1]) & (after[1:] == after[:-1])
+        rank[members] = np.maximum.accumulate(np.where(same, 0, at))
+        open_ = same.copy()
+        open_[:-1] |= same[1:]
+        at = at[open_]
+        depth *= 2
+    return order
+
+
+def common_prefixes(value: np.ndarray, room: np.ndarray, before: np.ndarray, base: np.ndarray, windows: np.ndarray, most: int) -> np.ndarray:
+    """Kasai's pass over the starts of all contexts in step: the common prefix, up to `most`, with the suffix before.
+
+    before: the position before each one in suffix order, or -1; a context has its `windows` starts from
+    its base on. From one start to the next the common prefix gets shorter by one byte at most.
+    """
+    out = np.zeros(len(value), "i4")
+    order = np.argsort(-windows, kind="stable")
+    base, turn = base[order], -windows[order]
+    h = np.zeros(len(base), "i8")
+    for t in range(int(windows.max(initial=0))):
+        m = int(np.searchsorted(turn, -t))
+        i = base[:m] + t
+        j = before[i]
+        own = np.maximum(h[:m] - 1, 0)
+        own[j < 0] = 0
+        left = np.where(j < 0, 0, np.minimum(room[i], room[j]))
+        on = np.flatnonzero((own < most) & (own < left))
+        while len(on):
+            done = own[on]
+            differ = value[i[on] + done] ^ value[j[on] + done]
+            top = np.frexp((differ & ~(differ >> 1)).astype("f8"))[1]  # the place of the highest bit
+            more = np.minimum(np.where(differ == 0, PACKED, PACKED - 1 - (top - 1) // 9), left[on] - done)
+            own[on] = done + more
+            on = on[(more == PACKED) & (own[on] < most) & (own[on] < left[on])]
+        h[:m] = np.minimum(own, most)
+        out[i] = h[:m]
+    return out
+
+
+def shard_matches(contexts: list[bytes], counts: np.ndarray, windows: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(context, start, repeated, first) of all strings of the contexts: repeated if equal to another one here, first of its equals in suffix order."""
     sizes = np.array([len(c) for c in contexts], "i8")
     data = np.frombuffer(b"".join(contexts), "u1")
     ends = np.cumsum(sizes)
@@ -181,12 +215,21 @@ def shard_matches(contexts: list[bytes], counts: np.ndarray, windows: np.ndarray
     owner = np.repeat(np.arange(len(contexts)), windows)
     within = np.arange(int(windows.sum())) - np.repeat(np.cumsum(windows) - windows, windows)
     starts = base[owner] + within
-    order, same = equal_strings(data, starts, room, length)
-    twin = same.copy()
-    twin[:-1] |= same[1:]
+    value = packed_symbols(data, room)
+    order = suffix_order(value, room)
+    before = np.full(len(data), -1, "i8")
+    before[order[1:]] = order[:-1]
+    equal = common_prefixes(value, room, before, base, windows, length)[starts] >= length
     repeated = np.zeros(len(data), bool)
-    repeated[order] = twin
-    return owner, within, repeated[starts] | (counts[owner] > 1)
+    repeated[starts[equal]] = True
+    repeated[before[starts[equal]]] = True
+    return owner, within, repeated[starts] | (counts[owner] > 1), ~equal
+
+
+def held_by_several(digests: np.ndarray) -> np.ndarray:
+    """Which strings, given as 16-byte digests of the distinct strings of several shards, another shard has: by binary search in all, merged."""
+    merged = np.sort(digests)
+    return np.searchsorted(merged, digests, side="right") - np.searchsorted(merged, digests, side="left") > 1
 
 
 def _ranges(owner: np.ndarray, within: np.ndarray, repeated: np.ndarray) -> Iterator[tuple[int, int, int]]:
@@ -207,7 +250,7 @@ def _chosen(texts: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def repeated_ranges(docs: DataFrame, length: int, folder: str, shard_contexts: int) -> DataFrame:
-    """(uid, a, b): byte ranges [a, b) to remove; uid is the hash of a row's id and text. They may overlap."""
+    """(uid, a, b): byte ranges [a, b) to remove; uid is the number of a stored row. They may overlap."""
     texts = docs.select("uid", F.col("text").cast("binary").alias("text")).where(F.octet_length("text") >= length)
 
     def list_anchors(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,14 +276,14 @@ def repeated_ranges(docs: DataFrame, length: int, folder: str, shard_contexts: i
             rows = []
             for uid, text, own in zip(*(part.column(c).to_pylist() for c in ("uid", "text", "rows")), strict=True):
                 rows += [(uid, *x) for x in halves(text, [(r["a"], r["lo"], r["hi"]) for r in own], length)]
-            cols = list(zip(*rows, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["uid", "key", "c", "lo", "hi"])
+            cols = list(zip(*rows, strict=True)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["uid", "key", "c1", "c2", "lo", "hi"])
 
     wanted = _chosen(texts, cand.select("uid")).join(cand, "uid").select("uid", "text", "rows")
-    parts = materialize(wanted.mapInArrow(list_parts, "uid long, key long, c long, lo long, hi long"), folder, "parts")
-    unique = parts.groupBy("key", "c").agg(F.count("*").alias("n"), F.min(F.struct("uid", "lo", "hi")).alias("at"))
-    unique = materialize(unique.select("key", "c", "n", "at.*"), folder, "unique")
-    copies = parts.join(unique.where("n > 1").select("key", "c"), ["key", "c"])
+    parts = materialize(wanted.mapInArrow(list_parts, "uid long, key long, c1 long, c2 long, lo long, hi long"), folder, "parts")
+    unique = parts.groupBy("key", "c1", "c2").agg(F.count("*").alias("n"), F.min(F.struct("uid", "lo", "hi")).alias("at"))
+    unique = materialize(unique.select("key", "c1", "c2", "n", "at.*"), folder, "unique")
+    copies = parts.join(unique.where("n > 1").select("key", "c1", "c2"), ["key", "c1", "c2"])
     whole = copies.select("uid", F.col("lo").alias("a"), (F.col("hi") + length).alias("b")).distinct()
 
     # Keys with several contexts; large ones are salted.
@@ -248,14 +291,14 @@ def repeated_ranges(docs: DataFrame, length: int, folder: str, shard_contexts: i
     mixed = materialize(mixed.withColumn("salts", F.ceil(F.col("m") / shard_contexts).cast("int")).select("key", "salts"), folder, "salts")
     chosen = materialize(unique.join(mixed, "key"), folder, "mixed")
     total = chosen.count()
-    shards = max(48, -(-total // (4 * shard_contexts)))
-    lists = chosen.groupBy("uid").agg(F.collect_list(F.struct("key", "c", "n", "lo", "hi", "salts")).alias("rows"))
+    shards = max(48, -(-total // (2 * shard_contexts)))
+    lists = chosen.groupBy("uid").agg(F.collect_list(F.struct("key", "c1", "n", "lo", "hi", "salts")).alias("rows"))
     lists = materialize(lists, folder, "lists")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
             rows = [
-                (uid, r["key"], r["n"], r["lo"], r["hi"], r["salts"], r["c"] % r["salts"], text[r["lo"] : r["hi"] + length])
+                (uid, r["key"], r["n"], r["lo"], r["hi"], r["salts"], r["c1"] % r["salts"], text[r["lo"] : r["hi"] + length])
                 for uid, text, own in zip(*(part.column(c).to_pylist() for c in ("uid", "text", "rows")), strict=True)
                 for r in own
             ]
@@ -267,29 +310,42 @@ def repeated_ranges(docs: DataFrame, length: int, folder: str, shard_contexts: i
     cuts = cuts.mapInArrow(cut, "uid long, key long, n long, lo long, hi long, salts long, salt long, text binary")
     cuts = cuts.withColumn("shard", F.pmod(F.xxhash64("key", "salt"), F.lit(shards)).cast("int"))
 
-    def sort_shard(part: pd.DataFrame) -> pd.DataFrame:
+    def sort_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # All contexts of a shard are sorted together: strings that are equal have one key anyway.
-        sizes = np.array([len(t) for t in part["text"]], "i8")
-        uid, lo, key = (part[c].to_numpy("i8") for c in ("uid", "lo", "key"))
-        owner, within, repeated = shard_matches(list(part["text"]), part["n"].to_numpy("i8"), (part["hi"] - part["lo"]).to_numpy("i8") + 1, length)
-        out = [(uid[c], lo[c] + a, lo[c] + b + length, 0, 0) for c, a, b in _ranges(owner, within, repeated)]
-        pick = np.flatnonzero((part["salts"].to_numpy("i8") > 1)[owner])
-        if len(pick):  # strings of salted keys, for the merge; one row for each distinct string
-            start = (np.cumsum(sizes) - sizes)[owner[pick]] + within[pick]
-            code = Hashes(np.frombuffer(b"".join(part["text"]), "u1")).of(start, start + length).view("i8")
-            first = np.unique(np.stack([key[owner[pick]], code]), axis=1, return_index=True)[1]
-            for k in first.tolist():
-                c = owner[pick[k]]
-                out.append((uid[c], lo[c] + within[pick[k]], -1 if repeated[pick[k]] else -2, key[c], code[k]))
-        return pd.DataFrame({n: np.array([r[k] for r in out], "i8") for k, n in enumerate(("uid", "a", "b", "key", "code"))})
-
-    found = cuts.groupBy("shard").applyInPandas(sort_shard, "uid long, a long, b long, key long, code long")
-    found = materialize(found, folder, "found")
-    # The merge of the shards of a salted key: a string of several shards is repeated in each.
-    strings = found.where("b < 0")
-    spread = strings.groupBy("key", "code").agg(F.count("*").alias("k")).where("k > 1").select("key", "code")
-    single = strings.where("b = -2").join(spread, ["key", "code"]).select("uid", "a", (F.col("a") + length).alias("b"))
-    return found.where("b >= 0").select("uid", "a", "b").unionByName(whole).unionByName(single)
+        if not (held := [b for b in batches if b.num_rows]):
+            return
+        part = pa.Table.from_batches(held).combine_chunks()
+        texts = part.column("text").to_pylist()
+        sizes = np.array([len(t) for t in texts], "i8")
+        uid, n, lo, hi, salts, shard = (part.column(c).to_numpy() for c in ("uid", "n", "lo", "hi", "salts", "shard"))
+        owner, within, repeated, first = shard_matches(texts, n, hi - lo + 1, length)
+        ranges = np.array([(uid[c], lo[c] + a, lo[c] + b + length) for c, a, b in _ranges(owner, within, repeated)], "i8").reshape(-1, 3)
+        pick = np.flatnonzero((salts > 1)[owner] & first)  # distinct strings of salted keys, for the merge
+        start = (np.cumsum(sizes) - sizes)[owner[pick]] + within[pick]
+        flat = b"".join(texts)
+        digests = [None] * len(ranges) + [xxhash.xxh3_128_digest(flat[x : x + length]) for x in start.tolist()]
+        begin = lo[owner[pick]] + within[pick]
+        columns = [np.concatenate([ranges[:, 0], uid[owner[pick]]]), np.concatenate([ranges[:, 1], begin]), np.concatenate([ranges[:, 2], begin + length])]
+        alone = np.concatenate([np.zeros(len(ranges), bool), ~repeated[pick]])
+        yield pa.RecordBatch.from_arrays(
+            [*(pa.array(c) for c in columns), pa.array(alone), pa.array(digests, pa.binary())], names=["uid", "a", "b", "alone", "digest"]
+        )
+
+    by_shard = cuts.repartitionById(shards, F.col("shard"))  # tasks that are not put together again: each holds one shard
+    found = materialize(by_shard.mapInArrow(sort_shard, "uid long, a long, b long, alone boolean, digest binary"), folder, "found")
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if held := [b for b in batches if b.num_rows]:
+            part = pa.Table.from_batches(held).combine_chunks()
+            digests = np.frombuffer(b"".join(part.column("digest").to_pylist()), "S16")
+            new = held_by_several(digests) & part.column("alone").to_numpy()
+            yield from part.select(["uid", "a", "b"]).filter(pa.array(new)).to_batches()
+
+    # The merge of the shards of a salted key: a string of several shards is repeated in each. A shard gives a string once.
+    strings = found.where("digest is not null")
+    ways = max(1, -(-strings.count() // MERGED_STRINGS))
+    single = strings.repartitionById(ways, F.pmod(F.xxhash64("digest"), F.lit(ways)).cast("int")).mapInArrow(merge, "uid long, a long, b long")
+    return found.where("digest is null").select("uid", "a", "b").unionByName(whole).unionByName(single)
 
 
 def remove_repeats(
@@ -298,11 +354,10 @@ def remove_repeats(
     """docs with kept (the bytes left), n_bytes, n_removed and n_spans."""
     spark, folder = docs.sparkSession, work_folder(docs.sparkSession)
     base = plain_name(docs, ["kept", "n_bytes", "n_removed", "n_spans"]).withColumn(text_col, F.col(text_col).cast("string"))
-    uid = F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)).alias("uid")
-    ranges = repeated_ranges(base.select(uid, F.col(text_col).alias("text")), length, folder, shard_contexts)
+    keyed = materialize(base.withColumn("_uid", F.monotonically_increasing_id()), folder, "texts")
+    ranges = repeated_ranges(keyed.select(F.col("_uid").alias("uid"), F.col(text_col).alias("text")), length, folder, shard_contexts)
     ranges = ranges.groupBy("uid").agg(F.collect_set(F.struct("a", "b")).alias("_ranges"))
     ranges = materialize(ranges.withColumnRenamed("uid", "_range_uid"), folder, "ranges")
-    keyed = base.withColumn("_uid", F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)))
     ids = ranges.select(F.col("_range_uid").alias("_uid"))
     few = ids.count() <= BROADCAST_IDS
     ids = F.broadcast(ids) if few else ids

@@ -61,3 +61,33 @@ def test_repeated_rows_and_empty_table(spark):
     got = sorted((r["n_bytes"], r["n_removed"]) for r in substring_dedup.remove_repeats(docs).collect())
     assert got == [(0, 0), (301, 301), (301, 301)]
     assert substring_dedup.remove_repeats(docs.limit(0)).collect() == []
+
+
+def test_suffix_order_and_common_prefixes():
+    """Against sorted suffixes; a context ends with a symbol above all bytes, the earlier the smaller."""
+    rng = np.random.default_rng(6)
+    for letters in (1, 2, 4, 256):
+        contexts = [bytes(rng.integers(0, letters, int(n)).astype("u1")) for n in rng.integers(1, 60, 12)] * 2
+        sizes = np.array([len(c) for c in contexts])
+        data = np.frombuffer(b"".join(contexts), "u1")
+        ends = np.cumsum(sizes)
+        room = np.repeat(ends, sizes) - np.arange(len(data))
+        text = [int(b) for b in data]
+        keys = [[*text[i : i + r], 256 + i + r] for i, r in enumerate(room.tolist())]
+        value = substring_dedup.packed_symbols(data, room)
+        order = substring_dedup.suffix_order(value, room)
+        assert order.tolist() == sorted(range(len(data)), key=keys.__getitem__)
+        before = np.full(len(data), -1)
+        before[order[1:]] = order[:-1]
+        got = substring_dedup.common_prefixes(value, room, before, ends - sizes, sizes, 40)
+        for i, j in enumerate(before.tolist()):
+            n = 0
+            while j >= 0 and n < 40 and keys[i][n] == keys[j][n]:
+                n += 1
+            assert got[i] == n
+
+
+def test_extra_columns_with_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "q" * 450, 7, "x"), (2, "r" * 10, 8, None)], "doc_id long, text string, n_bytes long, uid string")
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["uid"]) for r in substring_dedup.remove_repeats(docs).collect()}
+    assert got == {1: (450, 450, "x"), 2: (10, 0, None)}
