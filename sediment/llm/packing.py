@@ -78,19 +78,22 @@ def plan_bins(lengths: dict[int, int], capacity: tuple[int, int, int], weights:
                 after = (room[fits] - need) / cap
                 score = -((after * after) @ w) if rule == "norm" else ((room[fits] / cap) * (need / cap)) @ w
                 at = int(fits[np.argmax(score)])
-                took = min(left, int(many[at]))
-                if took < many[at]:  # the others of the group stay as they are
-                    room, many = np.vstack([room, room[at]]), np.append(many, many[at] - took)
-                    held.append(list(held[at]))
-                    many[at] = took
+                bins = int(many[at])
             else:
-                took = left
-                room, many = np.vstack([room, cap]), np.append(many, took)
+                room, many, at, bins = np.vstack([room, cap]), np.append(many, 0), len(held), left
                 held.append([])
-                at = len(held) - 1
-            held[at].append((length, int(cap[0] - room[at, 0])))
-            room[at] -= need
-            left -= took
+            # Equal pieces go on into the sequence that took one while it is the best: by the norm until it
+            # is full, by the dot product only if no other one can take them.
+            copies = min(left, int((room[at] // need).min())) if rule == "norm" or not len(fits) else 1
+            took = min(bins, left // copies)
+            if took < many[at]:  # the others of the group stay as they are
+                room, many = np.vstack([room, room[at]]), np.append(many, many[at] - took)
+                held.append(list(held[at]))
+            many[at] = took
+            start = int(cap[0] - room[at, 0])
+            held[at] += [(length, start + k * length) for k in range(copies)]
+            room[at] -= copies * need
+            left -= took * copies
     out, first, ranks = [], 0, dict.fromkeys(lengths, 0)
     for own, n in zip(held, many.tolist(), strict=True):
         for length, offset in own:
@@ -105,21 +108,24 @@ def assign_sequences(
     max_tokens: int = 2048,
     max_docs: int | None = None,
     max_attention: int | None = None,
-    weights: tuple[float, float, float] = (1.0, 0.01, 0.01),
+    weights: tuple[float, float, float] = (1.0, 1.0, 1.0),
     rule: str = "norm",
     salt_rows: int = 200_000,
 ) -> DataFrame:
-    """pieces (a stored table) with sequence_id and offset. max_docs and max_attention bind only if given."""
+    """pieces (a stored table with a number _row of each) with sequence_id and offset, less _row.
+
+    max_docs and max_attention default to the values that max_tokens implies; smaller ones bind.
+    """
     lengths = {int(r["length"]): int(r["n"]) for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # max_tokens rows at most
     capacity = (max_tokens, max_docs or max_tokens, max_attention or max_tokens * max_tokens)
     plan = plan_bins(lengths, capacity, weights, rule)
     salts = max(64, -(-sum(lengths.values()) // salt_rows))
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
+    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("_row"), F.lit(salts)))
     before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     base = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n")).withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    rank = F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "ids_crc32")) - 1
-    ranked = salted.withColumn("_row", rank).join(base.drop("_n"), ["length", "_salt"])
-    ranked = ranked.withColumn("_rank", F.col("_row") + F.col("_base"))
+    rank = F.row_number().over(Window.partitionBy("length", "_salt").orderBy("_row")) - 1
+    ranked = salted.withColumn("_place", rank).join(base.drop("_n"), ["length", "_salt"])
+    ranked = ranked.withColumn("_rank", F.col("_place") + F.col("_base"))
     broad = pieces.sparkSession.sparkContext.broadcast(plan)  # a few slots for each length, whatever the corpus
 
     @F.pandas_udf("sequence_id long, offset long")
@@ -133,11 +139,18 @@ def assign_sequences(
         return pd.DataFrame({"sequence_id": got[:, 3] + rank.to_numpy("i8") - got[:, 1], "offset": got[:, 4]})
 
     found = ranked.withColumn("_at", look_up("length", "_rank"))
-    return found.select(*pieces.columns, "_at.sequence_id", "_at.offset")
+    return found.select(*(c for c in pieces.columns if c != "_row"), "_at.sequence_id", "_at.offset")
 
 
-def pack(docs: DataFrame, tokenizer: str, max_tokens: int = 2048, end_id: int = 0, with_ids: bool = False, **rules) -> DataFrame:
-    """Pieces of all documents with their sequence and place; with_ids adds the token ids of each piece."""
+def pack(
+    docs: DataFrame, tokenizer: str, max_tokens: int = 2048, end_id: int = 0, with_ids: bool = False, piece_tokens: int | None = None, **rules
+) -> DataFrame:
+    """Pieces of all documents with their sequence and place; with_ids adds the token ids of each piece.
+
+    Documents over piece_tokens (max_tokens if not given) are cut. An attention capacity can bind only
+    if pieces are shorter than sequences, as n tokens cost n * n at most.
+    """
     folder = work_folder(docs.sparkSession)
-    pieces = materialize(cut_documents(docs, tokenizer, max_tokens, end_id, with_ids), folder, "pieces")
+    pieces = cut_documents(docs, tokenizer, piece_tokens or max_tokens, end_id, with_ids).withColumn("_row", F.monotonically_increasing_id())
+    pieces = materialize(pieces, folder, "pieces")
     return assign_sequences(pieces, max_tokens, **rules)

@@ -1,9 +1,11 @@
+import random
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from sediment.llm import packing, tokens
@@ -71,7 +73,34 @@ def test_plan_keeps_every_capacity(rule):
         assert sum(x for _, x in own) <= 128 and len(own) <= 3 and sum(x * x for _, x in own) <= 10000
 
 
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+def test_equal_pieces_fill_sequences(rule):
+    plan = packing.plan_bins({600: 1000, 1: 5000}, (2048, 2048, 2048 * 2048), (1.0, 1.0, 1.0), rule)
+    assert (plan[:, 3] + plan[:, 2]).max() == 334 and (plan[plan[:, 0] == 1, 2]).sum() == 5000
+
+
 def test_few_sequences_on_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = packing.pack(docs, PATH).collect()
     assert check_bins(rows) <= 1.02 * -(-sum(r["length"] for r in rows) // 2048) + 1
+
+
+def test_chunk_encoder_on_random_texts():
+    rng = random.Random(3)
+    odd = ["'", "'s", "'re", "'ll", ".'", "É", "é", "ß", "İ", "Σ", "ﬁ", "\u0301", "\u0338", "×", "÷", "漢", "😀", "9", "12", "½", "<|endoftext|>", "<|", "|>", "\x1c", "\x85", "\xa0", "\u3000", " ", "\n", "a", "The", "QU", "$$", "!", ",", "-", "_", "(", "J", "\u030c", "<", ">"]
+    texts = ["".join(rng.choices(odd, k=rng.randint(1, 50))) for _ in range(3000)]
+    library = Tokenizer.from_file(PATH)
+    for text, ids in zip(texts, packing.encoder(PATH).encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
+def test_the_other_capacities_bind(spark):
+    """All documents in pieces of 512 tokens at most: at most 6 pieces and an attention cost of 600,000 in a sequence of 2048."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").withColumn("length", F.lit("clash"))
+    by = defaultdict(list)
+    for r in packing.pack(docs, PATH, piece_tokens=512, max_docs=6, max_attention=600_000).collect():
+        by[r["sequence_id"]].append(r["length"])
+    cost = [sum(x * x for x in own) for own in by.values()]
+    assert max(map(len, by.values())) == 6 and sum(map(len, by.values())) >= docs.count()
+    assert 580_000 < max(cost) <= 600_000 and max(map(sum, by.values())) <= 2048
+    assert len(by) <= 1.25 * max(sum(map(sum, by.values())) / 2048, sum(map(len, by.values())) / 6, sum(cost) / 600_000)
