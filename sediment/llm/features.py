@@ -38,21 +38,25 @@ def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
 
-def inverse_frequency(counts: np.ndarray) -> np.ndarray:
-    held = (counts > 0).sum(axis=0)
-    return (np.log((len(counts) + 1) / (held + 1)) + 0.3).astype("f4")
+def inverse_frequency(held: np.ndarray, texts: int) -> np.ndarray:
+    """Weights of n-grams that `held` of the texts hold."""
+    return (np.log((texts + 1) / (held + 1)) + 0.3).astype("f4")
 
 
 def sample_per_value(docs: DataFrame, values: DataFrame, column: str, each: int, folder: str) -> DataFrame:
-    """(doc_id, text, value): at most `each` documents of each value, those whose ids have the smallest hash.
+    """(doc_id, text, value), stored: at most `each` documents of each value, those whose ids have the smallest hash.
 
-    values has doc_id and column; the chosen ids are few, so they are broadcast to the texts.
+    values has doc_id and column. Of a value with many ids only hashes below a bound are ranked, under
+    which a few times `each` lie; so no task ranks all rows of a value. The chosen ids are few, so they
+    are broadcast to the texts. An id that stands in several rows gives one text, the smallest.
     """
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(64))  # ranked in parts first, so that no task gets all rows of a value
-    rank = F.row_number().over(Window.partitionBy("value").orderBy(*order))
     ids = values.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).alias("value")).where("doc_id is not null and value is not null")
-    ids = ids.withColumn("first", F.row_number().over(Window.partitionBy("value", part).orderBy(*order))).where(F.col("first") <= each)
-    ids = ids.withColumn("rank", rank).where(F.col("rank") <= each).groupBy("doc_id").agg(F.max("value").alias("value"))
+    ids = ids.distinct().withColumn("h", F.xxhash64("doc_id"))
+    share = 4.0 * each / F.col("n")
+    bounds = ids.groupBy("value").agg(F.count("*").alias("n")).select("value", F.when(share < 1, share).otherwise(F.lit(2.0)).alias("bound"))
+    near = ids.join(bounds, "value").where(F.col("h") / F.lit(2.0**64) + 0.5 < F.col("bound"))
+    rank = F.row_number().over(Window.partitionBy("value").orderBy("h", "doc_id"))
+    chosen = near.withColumn("rank", rank).where(F.col("rank") <= each).groupBy("doc_id").agg(F.max("value").alias("value"))
     texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return materialize(texts.join(F.broadcast(ids), "doc_id"), folder, f"sample-{column}")
+    sample = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("value").alias("value"))
+    return materialize(sample, folder, f"sample-{column}")

@@ -6,7 +6,7 @@ of the centroid with the largest cosine. A text farther from it than nearly all
 centroid was made from is marked as rejected, and gets `und` where the caller asks for that.
 
 Defined results: a null text and a text without letters are `und` with score 0; repeated rows get
-equal results; other columns pass through (added names replace clashing ones); with nothing to learn
+equal results; of equally near languages the first by name wins; texts of any length are read whole; other columns pass through (added names replace clashing ones); with nothing to learn
 from every text is `und`.
 """
 
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sediment.llm.common import plain_name, work_folder
+from sediment.llm.common import plain_name, sliced, work_folder
 from sediment.llm.features import LETTERS, gram_counts, inverse_frequency, sample_per_value, weighted
 
 DIMS = 4096
@@ -56,17 +56,28 @@ def spherical_means(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 
 
 def fit(docs: DataFrame, lang_col: str = "lang", clusters: int = 4, each: int = 800) -> Centroids:
-    """Fit on docs (doc_id, text, lang_col); `each` bounds the documents of a language that are used."""
+    """Fit on docs (doc_id, text, lang_col); `each` bounds the documents of a language that are used.
+
+    Document frequencies are summed by tasks; the driver takes one language's vectors at a time, so
+    what it holds does not grow with the number of languages but for their centroids.
+    """
     sample = sample_per_value(docs, docs, lang_col, each, work_folder(docs.sparkSession))
-    rows = [(r["value"], r["text"]) for r in sample.orderBy("doc_id").collect()]
-    counts = gram_counts([cleaned(t) for _, t in rows], DIMS)
-    idf = inverse_frequency(counts) if len(rows) else np.ones(DIMS, "f4")
-    x = weighted(counts, idf)
-    langs = sorted({lang for lang, _ in rows})
-    name = np.array([lang for lang, _ in rows], object)
+
+    def held(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in sliced(parts, 500):
+            found = (gram_counts([cleaned(t) for t in part.column("text").to_pylist()], DIMS) > 0).sum(axis=0)
+            at = np.flatnonzero(found)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(found[at])], names=["gram", "n"])
+
+    frequency = np.zeros(DIMS, "i8")
+    for r in sample.mapInArrow(held, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():  # DIMS rows at most
+        frequency[r["gram"]] = r["n"]
+    langs = [r["value"] for r in sample.select("value").distinct().orderBy("value").collect()]
+    idf = inverse_frequency(frequency, sample.count()) if langs else np.ones(DIMS, "f4")
     centres, lang_of, reach = [np.zeros((0, DIMS), "f4")], [], []
     for n, lang in enumerate(langs):
-        own = x[name == lang]
+        texts = [r["text"] for r in sample.where(F.col("value") == lang).orderBy("doc_id").select("text").collect()]  # `each` at most
+        own = weighted(gram_counts([cleaned(t) for t in texts], DIMS), idf)
         got = spherical_means(own, clusters)
         cos = own @ got.T
         near = cos.argmax(axis=1)

@@ -60,7 +60,7 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", each: int =
     if not rows:
         return Neighbours(np.ones(DIMS, "f4"), np.zeros((DIMS, 1), "f4"), np.zeros((0, 1), "f4"), np.zeros(0), np.zeros(0), 0.0)
     counts = gram_counts([r["text"].encode() for r in rows], DIMS, SIZES)
-    idf = inverse_frequency(counts)
+    idf = inverse_frequency((counts > 0).sum(axis=0), len(counts))
     x = weighted(counts, idf)
     axes = latent_axes(x, min(rank, len(rows)))
     y = np.array([r["value"] for r in rows], "f8")

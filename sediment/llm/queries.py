@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sediment.llm import decontaminate, embedding_dedup, language_id, line_dedup, ngram_join, packing, quality, substring_dedup, token_counts, toxicity
@@ -15,11 +15,16 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _held_out(modulus: int, remainder: int) -> Column:
+    """Whether crc32(doc_id as text) leaves the remainder; a null id is never learned from, but has no remainder: false."""
+    return F.coalesce(crc_remainder("doc_id", modulus) == remainder, F.lit(False)).alias("held_out")
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = language_id.fit(docs.where(crc_remainder("doc_id", 4) != 2).select("doc_id", "text", "lang"))
     found = language_id.predict(docs.select("doc_id", "text"), model, reject=False)
-    return found.select("doc_id", (crc_remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
+    return found.select("doc_id", _held_out(4, 2), "lang_pred", "score", "rejected")
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,8 +35,7 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = _table(spark, sf_dir, "labels").where(crc_remainder("doc_id", 4) != 2).select("doc_id", "quality")
     found = quality.score_quality(docs, quality.fit(docs, labels))
-    held_out = (crc_remainder("doc_id", 4) == 2).alias("held_out")
-    return found.select("doc_id", held_out, "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+    return found.select("doc_id", _held_out(4, 2), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,8 +92,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = _table(spark, sf_dir, "labels").where(crc_remainder("doc_id", 5) != 0).select("doc_id", "toxic")
     model = toxicity.fit(docs, labels)
     scored = toxicity.score_toxicity(docs, model).drop("text")
-    held_out = (crc_remainder("doc_id", 5) == 0).alias("held_out")
-    return scored.select("doc_id", held_out, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "toxic_spans")
+    return scored.select("doc_id", _held_out(5, 0), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "toxic_spans")
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
