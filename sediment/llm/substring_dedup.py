@@ -45,7 +45,7 @@ _MIX = np.uint64(0xD6E8FEB86659FD93)
 #: Ids that may be broadcast to pick the texts that are needed again.
 BROADCAST_IDS = 2_000_000
 #: Strings merged by a task.
-MERGED_STRINGS = 1_000_000
+MERGED_STRINGS = 250_000
 
 
 class Hashes:
@@ -343,7 +343,7 @@ def repeated_ranges(docs: DataFrame, length: int, folder: str, shard_contexts: i
 
     # The merge of the shards of a salted key: a string of several shards is repeated in each. A shard gives a string once.
     strings = found.where("digest is not null")
-    ways = max(1, -(-strings.count() // MERGED_STRINGS))
+    ways = max(48, -(-strings.count() // MERGED_STRINGS))
     single = strings.repartitionById(ways, F.pmod(F.xxhash64("digest"), F.lit(ways)).cast("int")).mapInArrow(merge, "uid long, a long, b long")
     return found.where("digest is null").select("uid", "a", "b").unionByName(whole).unionByName(single)
 
