@@ -12,8 +12,10 @@ the item is taken, and the share of the item's rarest words ("answer") that stan
 common subsequence, or a fair one with the answer, is a match, so that light paraphrases are caught.
 
 Defined results: null and empty texts match nothing; items without words are left out; rows with a
-null id give no matches and are never dropped; repeated rows match alike and give one match; with an
-empty corpus or benchmark there are none.
+null id give no matches and are never dropped; repeated rows match alike and give one match, as
+do equal places of a text (the first); a cosine or share equal to its threshold counts; texts and items
+of any length are read whole; other columns of docs pass through drop_contaminated; with an empty corpus
+or benchmark there are no matches.
 """
 
 from __future__ import annotations
@@ -92,6 +94,21 @@ def common_words(mask: dict[int, int], length: int, region: list[int]) -> int:
     return length - state.bit_count()
 
 
+def first_match(item: list[int], region: list[int], common: int) -> int:
+    """Where the latest longest common subsequence of item and region begins in region, read from its end."""
+    mask: dict[int, int] = {}
+    for n, w in enumerate(reversed(item)):
+        mask[w] = mask.get(w, 0) | 1 << n
+    full = state = (1 << len(item)) - 1
+    for at in range(len(region) - 1, -1, -1):
+        if hit := mask.get(region[at]):
+            both = state & hit
+            state = ((state + both) | (state - both)) & full
+            if len(item) - state.bit_count() == common:
+                return at
+    return 0
+
+
 class _Chunks(dict):
     """The term numbers of white-space-separated chunks, kept while there are few enough."""
 
@@ -205,6 +222,8 @@ def latent_space(numbered: DataFrame, idf: np.ndarray, items: Items, rank: int,
 def find_matches(docs: DataFrame, benchmark: DataFrame, settings: Settings | None = None) -> DataFrame:
     """(doc_id, item_id, first_word, cosine, common, answer): the best passage of each document and item that match.
 
+    first_word counts the document's words up to the first of the longest common subsequence.
+
     The benchmark is read in blocks of block_items pieces; the corpus is searched once for each block.
     """
     s, folder = settings or Settings(), work_folder(docs.sparkSession)
@@ -299,15 +318,16 @@ def _verify(found: dict, texts: list[bytes], sums: np.ndarray, inside: np.ndarra
             for r, piece in zip(*np.nonzero((cos >= s.cosine) & (along >= s.contained * size)), strict=True):
                 step, i = int(own[r]), int(item_of[piece])
                 d, length = int(owner[step]), len(items.words[i])
-                key = (d, i, step // 2)
-                if key in looked:
+                pair = (step - int(first_step[d])) // 2 * 2  # one region for two steps, wide enough for the widest window of both
+                if (d, i, pair) in looked:
                     continue
-                looked.add(key)
+                looked.add((d, i, pair))
                 if d not in words_of:
                     words_of[d] = np.frombuffer(texts[d], "i4")
-                begin = max(0, (step - int(first_step[d])) * STEP - length - STEP)
-                region = words_of[d][begin : begin + 2 * length + (wide + 3) * STEP]
-                near = region[region >= 0].tolist()
+                begin = max(0, pair * STEP - length - STEP)
+                region = words_of[d][begin : (pair + WINDOWS[-1] + 2) * STEP + length]
+                known = np.flatnonzero(region >= 0)
+                near = region[known].tolist()
                 mask = items.masks[i]
                 if sum(w in mask for w in near) < s.common_with_answer * length:
                     continue
@@ -316,9 +336,10 @@ def _verify(found: dict, texts: list[bytes], sums: np.ndarray, inside: np.ndarra
                     continue
                 answer = len(items.answers[i].intersection(near)) / len(items.answers[i])
                 if common >= s.common or answer >= s.answer:
-                    got = (begin, float(cos[r, piece]), common, answer)
-                    if (d, i) not in found or (common, answer, got[1]) > (found[d, i][2], found[d, i][3], found[d, i][1]):
-                        found[d, i] = got
+                    near_cos = float(cos[r, piece])
+                    if (d, i) not in found or (common, answer, near_cos) > (found[d, i][2], found[d, i][3], found[d, i][1]):
+                        place = first_match(items.words[i].tolist(), near, round(common * length))
+                        found[d, i] = (begin + int(known[place]), near_cos, common, answer)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, settings: Settings | None = None) -> DataFrame:

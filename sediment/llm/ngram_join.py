@@ -17,11 +17,14 @@ against the candidates that its tokens bring, divided by the l matches that are
    The tokens of a class that can matter are few: a pair must share so many that it shares one among
    each class's rarest, and the others are left out.
 4. Classes of different components are then compared wherever sizes and shared tokens allow, over the
-   tokens that several components have.
+   tokens that several components have. Under one token these pairs grow with the square of the
+   classes that hold it among their rarest, are of sizes that may match and have tokens enough left,
+   but were not united by any pivot: texts that share rare words and yet are not near copies.
 5. Links of both rounds are united. No pair is dropped: those not looked at are in one component already.
 
 Defined results: a document without words has no tokens and links with nothing; a null id gets a null
-component; repeated rows are members of the same class and each gets its row; an empty table gives none.
+component; texts of any length are read whole; a similarity equal to the threshold links; columns of
+docs other than id and text are not returned; repeated rows are members of the same class and each gets its row; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -38,7 +41,8 @@ from sediment.llm.common import connected_components, materialize, sliced, work_
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-#: Rows of the table of frequent tokens that every task gets: the most frequent ones, ordered by documents.
+#: Rows of the table of frequent tokens that every task gets: the most frequent ones, ordered by documents. The table
+#: only orders tokens and estimates costs; whatever it leaves out, pairs are found all the same.
 FREQUENT = 50_000
 #: Ids that may be broadcast to pick the texts of candidates.
 BROADCAST_IDS = 2_000_000
@@ -192,7 +196,8 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 80, den: int =
     # Prefix tokens that at least two classes have. A rare token is in few of them, so its rows can meet;
     # a frequent one is known to be shared.
     rare = held.select(F.explode("rare").alias("token"), "rep")
-    rare = rare.withColumn("k", F.count("*").over(Window.partitionBy("token"))).where("k > 1").drop("k")
+    shared = materialize(rare.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token"), folder, "shared")
+    rare = rare.join(shared, "token", "left_semi")
     matched = rare.unionByName(held.select(F.explode("often").alias("token"), "rep"))
     matched = materialize(matched, folder, "matched")
     slim = classes.select("rep", "n", (F.col("n") - F.ceil(F.col("n") * num / den) + F.col("need")).alias("p"))

@@ -183,3 +183,50 @@ def test_decontamination_of_long_items(spark, docs):
     got = {(r["doc_id"], r["item_id"]) for r in found.collect()}
     assert len(long) == 12
     assert {(d, i) for i, _, d in items} | {(d, d - 10**9) for d, _ in near} <= got
+
+
+def test_decontamination_against_brute_force(spark, docs):
+    """Every document and item whose longest common subsequence around any place reaches the thresholds is found, and no other."""
+    small = docs.where("doc_id % 3 = 0").select("doc_id", "text")
+    bench = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")
+    rng, items = np.random.default_rng(4), [(r["item_id"], r["text"]) for r in bench.collect()]
+    fill = [w for r in small.limit(20).collect() for w in decontaminate.WORD.findall((r["text"] or "").lower())]
+    light = []  # paraphrases: a share of the words replaced or left out, in the midst of other text
+    for n, (_, text) in enumerate(items):
+        own = decontaminate.WORD.findall(text.lower())
+        lost = rng.random(len(own)) < (0.08, 0.15, 0.2, 0.5)[n % 4]
+        own = [w for k, w in enumerate(own) if not lost[k] or k % 2]
+        own = [fill[int(rng.integers(len(fill)))] if lost[k] and k < len(lost) else w for k, w in enumerate(own)]
+        around = [fill[int(k)] for k in rng.integers(len(fill), size=60)]
+        light.append((10**9 + n, " ".join(around[:30] + own + around[30:])))
+    corpus = small.unionByName(spark.createDataFrame(light, "doc_id long, text string"))
+    known = decontaminate.read_items(items)
+    s, want = decontaminate.Settings(), set()
+    numbered = decontaminate.term_numbers(corpus, known.terms).collect()
+    idf = np.zeros(len(known.terms))
+    held, passages = decontaminate.passage_counts(decontaminate.term_numbers(corpus, known.terms), len(known.terms))
+    idf = np.log((passages + 1) / (held + 1)) + 0.1
+    answers = [frozenset(sorted(set(w.tolist()), key=lambda x: (-idf[x], x))[: s.answer_words]) for w in known.words]
+    for r in numbered:
+        words = np.frombuffer(r["words"], "i4")
+        for i, own in enumerate(known.words):
+            if np.isin(own, words).mean() < s.common_with_answer:
+                continue
+            for at in range(0, max(1, len(words) - len(own)), 5):
+                near = words[at : at + 2 * len(own)]
+                near = near[near >= 0].tolist()
+                common = decontaminate.common_words(known.masks[i], len(own), near) / len(own)
+                if common >= s.common or (common >= s.common_with_answer and len(answers[i].intersection(near)) >= s.answer * len(answers[i])):
+                    want.add((r["doc_id"], known.ids[i]))
+                    break
+    rows = decontaminate.find_matches(corpus, bench).collect()
+    got = {(r["doc_id"], r["item_id"]) for r in rows}
+    assert len(want) > 30 and len(got & want) >= 0.95 * len(want) and len(got - want) <= 0.02 * len(want)
+    for r in rows:
+        if r["doc_id"] >= 10**9:
+            assert abs(r["first_word"] - 30) <= 25
+
+
+def test_first_match():
+    assert decontaminate.first_match([1, 2, 3], [9, 1, 9, 2, 9, 3, 9], 3) == 1
+    assert decontaminate.first_match([1, 2, 3], [1, 1, 2, 3, 4], 3) == 1
