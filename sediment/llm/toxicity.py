@@ -1,23 +1,27 @@
 """Toxicity: a linear-chain conditional random field tags toxic spans.
 
 It learns from a bounded sample of the labelled documents (`fit_docs`, the ones whose ids have the
-smallest hash). Word counts over the sample give each word a log odds of standing in a toxic
-document; words at or over `strong` (with enough documents) in a toxic document are its labelled
-tokens. The field has two states (clean, toxic). A word's features are its odds bucket and those of
-its two neighbours; the weights and the transitions are fitted by gradient ascent on `fit_words`
-words of the sample, in segments. Every whole text is then
-scored by forward-backward: the words' marginals give the offending offsets, and their sum, their
-maximum and their share of the text give the document's score through a logistic function fitted on
-the same sample.
+smallest hash), split in folds. Word counts give words a log odds of standing in a toxic document
+(`most_words` words with the largest odds, of `least_docs` documents or more). A token of a toxic
+document is labelled toxic if its word's odds in the other folds are `strong` or more; so no document
+labels itself. The field has two states (clean, toxic). A token's features are its word, the
+word's first and last bytes and the words on its left and right, all hashed; the weights and the
+transitions are fitted on `fit_words` tokens, in segments of `SEGMENT` whose hash is smallest, taken from
+whole texts by the tasks. Every whole text is then scored by forward-backward: the tokens' marginals give
+the offending offsets, and their sum, their maximum and their share of the text give the document's score
+through a logistic function fitted on the documents of the sample.
 
 Defined results: a null or empty text scores as a text without words does, with no spans; a repeated
-row gets the same score; a null id is scored like any other and never learned from; other columns
-pass through (added names replace clashing ones); with no labels of either kind every score is 0.
+row gets the same score; texts of any length are read whole; a null id is scored like any other and
+never learned from; other columns pass through (added names replace clashing ones); with no labels of
+either kind every score is 0.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,60 +31,88 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sediment.llm.common import materialize, plain_name, work_folder
+from sediment.llm.common import materialize, plain_name, sliced, work_folder
 
 WORD = re.compile(r"[^\W\d_]+")
-BUCKETS = 10  # 0: unknown or neutral; the others by log odds
+#: Weights of words and of their first or last bytes; both are powers of two.
+WORDS, ENDS = 1 << 16, 1 << 14
+#: Bytes of a word's beginning and end, and tokens of a segment.
+AFFIX, SEGMENT = 4, 256
+#: Parts of the sample; each has its tokens labelled by the others.
+FOLDS = 4
 SPAN = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
 
 @dataclass
 class Field:
-    """Weights of the fitted field; odds maps a word to its bucket."""
-
-    odds: dict[str, int]
-    strong: int
-    own: np.ndarray  # (BUCKETS, 2)
-    side: np.ndarray  # (BUCKETS, 2): of the neighbours
-    move: np.ndarray  # (2, 2)
+    """Weights of the fitted field, each the toxic state's less the clean state's; move is (2, 2)."""
+
+    own: np.ndarray
+    left: np.ndarray  # of the word on the left
+    right: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+    move: np.ndarray
     score: np.ndarray  # logistic weights of a document
 
 
-def bucket_of(odds: np.ndarray) -> np.ndarray:
-    return np.clip(np.round(odds) + 4, 1, BUCKETS - 1).astype("i4")
+def empty_field() -> Field:
+    return Field(*(np.zeros(WORDS) for _ in range(3)), *(np.zeros(ENDS) for _ in range(2)), np.zeros((2, 2)), np.array([-20.0, 0, 0, 0]))
 
 
-def word_odds(labelled: DataFrame, most_words: int, least_docs: int) -> dict[str, int]:
-    """The buckets of the words with the largest log odds, from labelled documents (text, toxic).
+def features_of(word: str) -> tuple[int, int, int]:
+    """Numbers of the word, its beginning and its end."""
+    b = word.encode()
+    return zlib.crc32(b) & (WORDS - 1), zlib.crc32(b[:AFFIX]) & (ENDS - 1), zlib.crc32(b[-AFFIX:], 1) & (ENDS - 1)
 
-    One row per word and label leaves each task; at most most_words come to the driver.
-    """
-    words = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))
-    found = labelled.select("toxic", F.explode(words).alias("word")).where("word <> ''")
-    found = found.groupBy("word").agg(F.sum("toxic").alias("t"), F.count("*").alias("n"))
-    total = labelled.agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).first()
-    if not total["t"] or total["t"] == total["n"]:
-        return {}
-    share = (F.col("t") + 0.5) / (total["t"] + 1), (F.col("n") - F.col("t") + 0.5) / (total["n"] - total["t"] + 1)
-    found = found.where(F.col("n") >= least_docs).withColumn("odds", F.log(share[0] / share[1]))
-    rows = found.where("abs(odds) >= 1").orderBy(F.abs("odds").desc(), "word").limit(most_words).collect()
-    return dict(zip([r["word"] for r in rows], bucket_of(np.array([r["odds"] for r in rows], "f8")).tolist(), strict=True))
+
+class Lexicon(dict):
+    """The features of words met by a worker, in columns; a word's value is its row."""
+
+    def __init__(self):
+        super().__init__()
+        self.columns = [array("i") for _ in range(3)]
+
+    def __missing__(self, word: str) -> int:
+        self[word] = at = len(self)
+        for column, value in zip(self.columns, features_of(word), strict=True):
+            column.append(value)
+        return at
+
+    def read(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(3, tokens) features of all tokens of some texts, and the tokens of each."""
+        if len(self) > 300_000:
+            self.clear()
+            self.columns = [array("i") for _ in range(3)]
+        get, rows = self.__getitem__, [np.zeros(0, "i8")]
+        for text in texts:
+            words = words_of(text)
+            rows.append(np.fromiter(map(get, words), "i8", len(words)))
+        at = np.concatenate(rows)
+        return np.stack([np.frombuffer(c, "i4")[at] for c in self.columns]) if len(at) else np.zeros((3, 0), "i4"), np.array([len(r) for r in rows[1:]], "i8")
 
 
 def words_of(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
-def _units(buckets: np.ndarray, starts: np.ndarray, own: np.ndarray, side: np.ndarray) -> np.ndarray:
-    """(words, 2) unary scores: own bucket and those of both neighbours in the same text."""
-    score = own[buckets]
-    if len(buckets) > 1:
-        first = np.zeros(len(buckets), bool)
-        first[starts[starts < len(buckets)]] = True
-        near = np.where(first[1:, None], 0.0, side[buckets[:-1]])
-        score[1:] += near
-        score[:-1] += np.where(first[1:, None], 0.0, side[buckets[1:]])
-    return score
+def neighbours(sizes: np.ndarray) -> np.ndarray:
+    """The tokens that have one on their left in the same text."""
+    inner = np.ones(int(sizes.sum()), bool)
+    starts = np.cumsum(sizes) - sizes
+    inner[starts[sizes > 0]] = False
+    return np.flatnonzero(inner)
+
+
+def _units(model: Field, features: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """(tokens, 2) unary scores."""
+    word, first, last = features
+    out = np.zeros((len(word), 2))
+    out[:, 1] = model.own[word] + model.first[first] + model.last[last]
+    at = neighbours(sizes)
+    out[at, 1] += model.left[word[at - 1]]
+    out[at - 1, 1] += model.right[word[at]]
+    return out
 
 
 def marginals(units: np.ndarray, sizes: np.ndarray, move: np.ndarray, pairs: bool = False):
@@ -128,14 +160,6 @@ def marginals(units: np.ndarray, sizes: np.ndarray, move: np.ndarray, pairs: boo
     return p, (w / w.sum(axis=1, keepdims=True)).sum(axis=0).reshape(2, 2)
 
 
-def _flat(texts: list[str | None], odds: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    """The buckets of all words, and the number of words of each text."""
-    get, own = odds.get, []
-    for text in texts:
-        own.append(np.array([get(w, 0) for w in words_of(text)], "i1"))
-    return np.concatenate([np.zeros(0, "i1"), *own]), np.array([len(x) for x in own], "i8")
-
-
 def document_features(p: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Bias, log of the expected toxic words, largest marginal and log share of each text."""
     ends = np.cumsum(sizes)
@@ -148,59 +172,100 @@ def document_features(p: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.stack([np.ones(len(sizes)), np.log1p(expected), most, np.log(expected / np.maximum(sizes, 1) + 1e-3)], axis=1)
 
 
+def word_odds(labelled: DataFrame, most_words: int, least_docs: int) -> list[dict[str, float]]:
+    """For each fold, the log odds of words by the documents (text, toxic, fold) of the other folds.
+
+    One row per word leaves each task; at most most_words words come to the driver, those with the
+    largest odds over all folds.
+    """
+    words = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))
+    found = labelled.select("toxic", "fold", F.explode(words).alias("word")).where("word <> ''")
+    counts = [F.count("*").alias("n"), F.sum("toxic").alias("t")]
+    for k in range(FOLDS):
+        counts += [F.count_if(F.col("fold") != k).alias(f"n{k}"), F.sum(F.when(F.col("fold") != k, F.col("toxic")).otherwise(0)).alias(f"t{k}")]
+    total = labelled.agg(*counts).first()
+    names = ["", *map(str, range(FOLDS))]
+    if any(not total[f"t{k}"] or total[f"t{k}"] == total[f"n{k}"] for k in names):
+        return []
+    found = found.groupBy("word").agg(*counts)
+    for k in names:
+        t, n = F.col(f"t{k}"), F.col(f"n{k}")
+        odds = F.log((t + 0.5) / (total[f"t{k}"] + 1) / ((n - t + 0.5) / (total[f"n{k}"] - total[f"t{k}"] + 1)))
+        found = found.withColumn(f"o{k}", F.when(n >= least_docs, odds))
+    rows = found.where("o >= 1").orderBy(F.desc("o"), "word").limit(most_words).collect()
+    return [{r["word"]: r[f"o{k}"] for r in rows if r[f"o{k}"] is not None} for k in range(FOLDS)]
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, fit_docs: int, folder: str) -> DataFrame:
-    """(doc_id, text, label) of at most fit_docs labelled documents, stored; the sample of ids is small enough to broadcast."""
+    """(doc_id, text, label, fold) of at most fit_docs labelled documents, stored; the sample of ids is small enough to broadcast."""
     ids = labels.where(f"doc_id is not null and {column} in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
     ids = ids.agg(F.max(column).cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_docs)
     texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return materialize(texts.join(F.broadcast(ids), "doc_id"), folder, f"sample-{column}")
+    sample = texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
+    return materialize(sample.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(FOLDS)).cast("int")), folder, f"sample-{column}")
+
+
+def tagged_segments(labelled: DataFrame, odds: list[dict[str, float]], strong: float, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(features, tags, sizes) of the `most` segments of the sample whose hashes are smallest; texts stay with the tasks."""
+    toxic_words = [frozenset(w for w, o in own.items() if o >= strong) for own in odds]
+    broad = labelled.sparkSession.sparkContext.broadcast(toxic_words)
+
+    def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon = Lexicon()
+        for part in sliced(parts, 200):
+            rows = []
+            for doc, text, toxic, fold in zip(*(part.column(c).to_pylist() for c in ("doc_id", "text", "toxic", "fold")), strict=True):
+                strong_words, words = broad.value[fold], words_of(text)
+                for at in range(0, len(words), SEGMENT):
+                    own = words[at : at + SEGMENT]
+                    features = lexicon.read([" ".join(own)])[0]
+                    tags = bytes(bool(toxic) and w in strong_words for w in own)
+                    if features.shape[1] == len(own):
+                        rows.append((doc, at, features.astype("<i4").tobytes(), tags))
+            cols = list(zip(*rows, strict=True)) or [()] * 4
+            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "place", "features", "tags"])
+
+    cuts = labelled.select("doc_id", "text", "toxic", "fold").mapInArrow(cut, "doc_id long, place long, features binary, tags binary")
+    rows = cuts.orderBy(F.xxhash64("doc_id", "place"), "doc_id", "place").limit(most).select("features", "tags").collect()
+    sizes = np.array([len(r["tags"]) for r in rows], "i8")
+    features = [np.frombuffer(r["features"], "<i4").reshape(3, -1) for r in rows]
+    tags = np.frombuffer(b"".join(bytes(r["tags"]) for r in rows), "u1") > 0
+    return np.concatenate([np.zeros((3, 0), "i4"), *features], axis=1), tags, sizes
 
 
 def fit(
-    docs: DataFrame, labels: DataFrame, column: str = "toxic", most_words: int = 4000, least_docs: int = 5, strong: float = 2.0,
-    fit_docs: int = 12_000, tag_docs: int = 3000, fit_words: int = 400_000, rounds: int = 60,
+    docs: DataFrame, labels: DataFrame, column: str = "toxic", most_words: int = 4000, least_docs: int = 3, strong: float = 2.0,
+    fit_docs: int = 12_000, fit_words: int = 400_000, rounds: int = 60, ridge: float = 0.5,
 ) -> Field:
-    """Fit on docs (doc_id, text) and labels (doc_id, column). Word odds use fit_docs documents, the field tag_docs of them."""
+    """Fit on docs (doc_id, text) and labels (doc_id, column)."""
     labelled = labelled_sample(docs, labels, column, fit_docs, work_folder(docs.sparkSession)).withColumnRenamed("label", "toxic")
     odds = word_odds(labelled, most_words, least_docs)
-    strong_bucket = int(bucket_of(np.array([strong]))[0])
-    own, side, move = np.zeros((BUCKETS, 2)), np.zeros((BUCKETS, 2)), np.zeros((2, 2))
-    model = Field(odds, strong_bucket, own, side, move, np.array([-20.0, 0, 0, 0]))
+    model = empty_field()
     if not odds:
         return model
-    sample = labelled.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(tag_docs).select("text", "toxic").collect()
-    label = np.array([r["toxic"] for r in sample])
-    all_buckets, all_sizes = _flat([r["text"] for r in sample], odds)
-    all_tags = (np.repeat(label, all_sizes) == 1) & (all_buckets >= strong_bucket)
-    ends = np.cumsum(all_sizes)
-    cuts = [(a, min(a + 256, e)) for e, n in zip(ends.tolist(), all_sizes.tolist(), strict=True) for a in range(e - n, e, 256)]
-    cuts = [cuts[k] for k in np.random.default_rng(7).permutation(len(cuts))[: fit_words // 256 + 1]]
-    buckets, tag = (np.concatenate([x[a:b] for a, b in cuts]) for x in (all_buckets, all_tags))
-    sizes = np.array([b - a for a, b in cuts], "i8")
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype("i8")
-    inner = np.ones(len(tag), bool)
-    inner[starts] = False
-    at = np.flatnonzero(inner)
-    seen = np.zeros((2, 2))
-    np.add.at(seen, (tag[at - 1].astype(int), tag[at].astype(int)), 1.0)
-    scale = max(1, len(tag))
+    features, tag, sizes = tagged_segments(labelled, odds, strong, fit_words // SEGMENT + 1)
+    fit_field(model, features, tag, sizes, rounds, ridge)
+    scored = score_toxicity(labelled.select("doc_id", "text", "toxic"), model, spans=False, raw=True)
+    rows = scored.orderBy("doc_id").select("toxic", "raw").collect()  # a few numbers of each document of the sample
+    model.score = logistic(np.array([r["raw"] for r in rows]).reshape(-1, 4), np.array([r["toxic"] for r in rows], "f8"))
+    return model
 
-    def tally(weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        near = np.bincount(buckets[at - 1], weight[at], BUCKETS) + np.bincount(buckets[at], weight[at - 1], BUCKETS)
-        return np.bincount(buckets, weight, BUCKETS), near
 
-    square = [np.full_like(w, 1e-8) for w in (own, side, move)]
+def fit_field(model: Field, features: np.ndarray, tag: np.ndarray, sizes: np.ndarray, rounds: int, ridge: float) -> None:
+    """Maximise the likelihood of the tags: every weight takes its own damped Newton step at once, so steps are shared among a token's five features."""
+    word, first, last = features
+    at = neighbours(sizes)
+    seen = np.zeros((2, 2))
+    np.add.at(seen, (tag[at - 1].astype(int), tag[at].astype(int)), 1.0)
+    groups = [(model.own, word, slice(None)), (model.first, first, slice(None)), (model.last, last, slice(None)), (model.left, word[at - 1], at), (model.right, word[at], at - 1)]
     for _ in range(rounds):
-        p, pair = marginals(_units(buckets, starts, own, side), sizes, move, pairs=True)
-        own_gap, side_gap = tally(tag - p)
-        steps = [np.stack([-g, g], 1) / scale - 1e-6 * w for g, w in ((own_gap, own), (side_gap, side))] + [(seen - pair) / scale - 1e-6 * move]
-        for w, g, s in zip((own, side, move), steps, square, strict=True):
-            s[...] = 0.9 * s + 0.1 * g * g
-            w += 0.3 * g / np.sqrt(s + 1e-12)
-    starts = np.concatenate([[0], np.cumsum(all_sizes)[:-1]]).astype("i8")
-    p = marginals(_units(all_buckets, starts, own, side), all_sizes, move)
-    model.score = logistic(document_features(p, all_sizes), label)
-    return model
+        p, pair = marginals(_units(model, features, sizes), sizes, model.move, pairs=True)
+        gap, bend = tag - p, p * (1 - p)
+        for weights, number, of in groups:
+            up = np.bincount(number, gap[of], len(weights)) - ridge * weights
+            weights += up / (len(groups) * np.bincount(number, bend[of], len(weights)) + ridge + 1)
+        model.move += (seen - pair - 1e-3 * model.move) / (len(groups) * np.maximum(pair, 1) + 1)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 30) -> np.ndarray:
@@ -213,35 +278,36 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 30
     return w
 
 
-def score_toxicity(docs: DataFrame, model: Field, text_col: str = "text", span_at: float = 0.5, spans: bool = True) -> DataFrame:
-    """docs with score (0 to 1), toxic_words (expected number) and, if asked, toxic_spans (offsets in code points)."""
-    added = ["score", "toxic_words", *(["toxic_spans"] if spans else [])]
+def score_toxicity(docs: DataFrame, model: Field, text_col: str = "text", span_at: float = 0.5, spans: bool = True, raw: bool = False) -> DataFrame:
+    """docs with score (0 to 1), toxic_words (expected number) and, if asked, toxic_spans (offsets in code points) and raw, what the score is made of."""
+    added = ["score", "toxic_words", *(["toxic_spans"] if spans else []), *(["raw"] if raw else [])]
     base = plain_name(docs, added).withColumn(text_col, F.col(text_col).cast("string"))
     broad = docs.sparkSession.sparkContext.broadcast(model)
 
     def tag(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = broad.value
-        for whole in parts:
-            for at in range(0, whole.num_rows, 1500):
-                part = whole.slice(at, 1500)
-                texts = part.column(text_col).to_pylist()
-                buckets, sizes = _flat(texts, m.odds)
-                starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype("i8") if len(sizes) else sizes
-                p = marginals(_units(buckets, starts, m.own, m.side), sizes, m.move)
-                x = document_features(p, sizes)
-                score = 1 / (1 + np.exp(-np.clip(x @ m.score, -30, 30)))
-                out = part.append_column("score", pa.array(score)).append_column("toxic_words", pa.array(np.expm1(x[:, 1])))
-                if spans:
-                    found: list[list[dict]] = [[] for _ in texts]
-                    hits = np.flatnonzero(p >= span_at)
-                    owner = np.searchsorted(np.cumsum(sizes), hits, side="right")
-                    for doc in np.unique(owner).tolist():
-                        places = [(h.start(), h.end()) for h in WORD.finditer(texts[doc])]
-                        for k in (hits[owner == doc] - starts[doc]).tolist():
-                            if k < len(places):
-                                found[doc].append({"start": places[k][0], "end": places[k][1]})
-                    out = out.append_column("toxic_spans", pa.array(found, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))))
-                yield out
+        m, lexicon = broad.value, Lexicon()
+        for part in sliced(parts, 1500):
+            texts = part.column(text_col).to_pylist()
+            features, sizes = lexicon.read(texts)
+            starts = np.cumsum(sizes) - sizes
+            p = marginals(_units(m, features, sizes), sizes, m.move)
+            x = document_features(p, sizes)
+            score = 1 / (1 + np.exp(-np.clip(x @ m.score, -30, 30)))
+            out = part.append_column("score", pa.array(score)).append_column("toxic_words", pa.array(np.expm1(x[:, 1])))
+            if spans:
+                found: list[list[dict]] = [[] for _ in texts]
+                hits = np.flatnonzero(p >= span_at)
+                owner = np.searchsorted(np.cumsum(sizes), hits, side="right")
+                for doc in np.unique(owner).tolist():
+                    places = [(h.start(), h.end()) for h in WORD.finditer(texts[doc])]
+                    for k in (hits[owner == doc] - starts[doc]).tolist():
+                        if k < len(places):
+                            found[doc].append({"start": places[k][0], "end": places[k][1]})
+                out = out.append_column("toxic_spans", pa.array(found, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))))
+            if raw:
+                out = out.append_column("raw", pa.array(x.tolist(), pa.list_(pa.float64())))
+            yield out
 
     fields = [*base.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("toxic_words", T.DoubleType())]
-    return base.mapInArrow(tag, T.StructType(fields + ([T.StructField("toxic_spans", SPAN)] if spans else [])))
+    more = ([T.StructField("toxic_spans", SPAN)] if spans else []) + ([T.StructField("raw", T.ArrayType(T.DoubleType()))] if raw else [])
+    return base.mapInArrow(tag, T.StructType(fields + more))
