@@ -53,7 +53,7 @@ class _Words(dict):
     """Hashes of words, kept while there are few enough."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 150_000:
             self.clear()
         self[word] = got = xxhash.xxh3_64_intdigest(word)
         return got
@@ -90,8 +90,8 @@ def frequent_tokens(docs: DataFrame, size: int, least: int = 4) -> tuple[np.ndar
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            for at in range(0, part.num_rows, 4000):
-                sets = [shingle_set(x.as_py(), size) for x in part.column("text").slice(at, 4000)]
+            for at in range(0, part.num_rows, 2000):
+                sets = [shingle_set(x.as_py(), size) for x in part.column("text").slice(at, 2000)]
                 got, n = np.unique(np.concatenate([np.zeros(0, "u8"), *sets]), return_counts=True)
                 keep = n >= least
                 yield pa.RecordBatch.from_arrays([pa.array(got[keep].view("i8")), pa.array(n[keep].astype("i8"))], names=["token", "n"])
@@ -196,8 +196,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 80, den: int =
     # Prefix tokens that at least two classes have. A rare token is in few of them, so its rows can meet;
     # a frequent one is known to be shared.
     rare = held.select(F.explode("rare").alias("token"), "rep")
-    shared = materialize(rare.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token"), folder, "shared")
-    rare = rare.join(shared, "token", "left_semi")
+    rare = rare.withColumn("k", F.count("*").over(Window.partitionBy("token"))).where("k > 1").drop("k")
     matched = rare.unionByName(held.select(F.explode("often").alias("token"), "rep"))
     matched = materialize(matched, folder, "matched")
     slim = classes.select("rep", "n", (F.col("n") - F.ceil(F.col("n") * num / den) + F.col("need")).alias("p"))
