@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,21 +27,50 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, TRIM, "")
 
 
+def _words(c: Column) -> tuple[Column, Column]:
+    """Arrays of the parts of words, and of the hyphenated words as wholes.
+
+    The whole text is lowered, folded and rid of suffixes after apostrophes first, so that one split
+    gives all parts; only hyphenated words are looked at one by one.
+    """
+    text = F.translate(tr_lower(F.coalesce(c, F.lit(""))), FOLD_FROM, FOLD_TO)
+    text = F.regexp_replace(text, r"['’][\p{L}\p{N}'’-]*", "")
+    compound = F.regexp_extract_all(text, F.lit(r"(?<![\p{L}\p{N}])([\p{L}\p{N}]+(?:-+[\p{L}\p{N}]+)+)"), F.lit(1))
+    wholes = F.when(F.instr(text, "-") > 0, F.transform(compound, lambda x: F.translate(x, "-", ""))).otherwise(F.array().cast("array<string>"))
+    return F.split(text, r"[^\p{L}\p{N}]+"), wholes
+
+
+def is_term(c: Column) -> Column:
+    """Two characters or more, or a digit."""
+    return (F.length(c) >= 2) | c.rlike("[0-9]")
+
+
+def rough_terms(c: Column) -> Column:
+    """The terms of a text and some words that are none (see is_term), for a caller that filters them after exploding."""
+    parts, wholes = _words(c)
+    return F.concat(parts, wholes)
+
+
+def term_bag(c: Column) -> Column:
+    """The terms of a text as tokens gives them, in another order: parts first, then the wholes of hyphenated words."""
+    parts, wholes = _words(c)
+    return F.concat(F.filter(parts, is_term), wholes)
+
+
 def tokens(c: Column) -> Column:
     """Search terms: letters and digits; a suffix after an apostrophe is cut; a hyphenated word gives its whole and its parts.
 
     Terms of one character stay only as parts that are digits. A null text has no terms.
     """
-    rough = F.split(tr_lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}'’-]+")
-    cut = F.filter(F.transform(rough, lambda x: F.regexp_replace(x, "['’].*$", "")), lambda x: x != "")
+    text = F.translate(tr_lower(F.coalesce(c, F.lit(""))), FOLD_FROM, FOLD_TO)
+    text = F.regexp_replace(text, r"['’][\p{L}\p{N}'’-]*", "")
 
     def of(word: Column) -> Column:
-        parts = F.transform(F.filter(F.split(word, "-"), lambda x: x != ""), lambda x: F.translate(x, FOLD_FROM, FOLD_TO))
-        whole = F.array_join(parts, "")
-        kept = F.filter(parts, lambda x: (F.length(x) >= 2) | x.rlike("[0-9]"))
-        return F.when((F.size(parts) > 1) & (F.length(whole) >= 2), F.concat(F.array(whole), kept)).otherwise(kept)
+        parts = F.filter(F.split(word, "-"), lambda x: x != "")
+        kept = F.filter(parts, is_term)
+        return F.when(F.size(parts) > 1, F.concat(F.array(F.translate(word, "-", "")), kept)).otherwise(kept)
 
-    return F.flatten(F.transform(cut, of))
+    return F.flatten(F.transform(F.split(text, r"[^\p{L}\p{N}-]+"), of))
 
 
 def cache_key(c: Column) -> Column:
@@ -68,25 +99,103 @@ def truncated(c: Column, most: int) -> Column:
     return F.when(F.length(c) > most, F.concat(F.substring(c, 1, most), F.lit("…"))).otherwise(c)
 
 
+#: What a tag leaves in the text, by its name; a closing tag has a slash.
+TAG_TEXT = {"/p": "\n\n", "br": "\n", "br/": "\n", "/div": "\n", "/li": "\n", "li": "• "}
+TAG_TEXT |= {f"{slash}h{n}": "\n\n" for n in range(1, 7) for slash in ("", "/")}
+#: Entities that are decoded, after the ampersand.
+ENTITY_TEXT = {"nbsp": " ", "lt": "<", "gt": ">", "quot": '"', "#39": "'"}
+
+
+def _looked_up(table: dict[str, str], key: Column, other: Column) -> Column:
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), key), other)
+
+
+def _pieces(c: Column, pattern: str, of) -> Column:
+    """c cut into pieces by a pattern, each replaced by of(piece)."""
+    return F.array_join(F.transform(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), of), "")
+
+
+def _tag_text(piece: Column) -> Column:
+    picture = F.regexp_extract(piece, r'(?i)^<img[^>]*src="OCR_IMG_([0-9]+)"', 1)
+    name = F.lower(F.regexp_extract(piece, r"^<(/?[A-Za-z][A-Za-z0-9]*)", 1))
+    text = F.when(picture != "", F.concat(F.lit("\n%%OCR_IMG_"), picture, F.lit("%%\n"))).otherwise(_looked_up(TAG_TEXT, name, F.lit("")))
+    return F.when(piece.rlike("^<[^>]+>$"), text).otherwise(piece)
+
+
+def _table_rows(table: Column) -> Column:
+    """A table's rows as lines of cells between pipes, with a rule after the first."""
+    rows = F.regexp_extract_all(table, F.lit(r"(?is)<tr[^a-z].*?(?=<tr[^a-z]|</table)"), F.lit(0))
+
+    def line(row: Column) -> Column:
+        cells = F.regexp_extract_all(row, F.lit(r"(?is)<t[hd](?:\s[^>]*)?>(.*?)(?=<t[hd][\s>]|</t[hdr]|</t(?:able|body)|$)"), F.lit(1))
+        return F.concat(F.lit("| "), F.array_join(F.transform(cells, lambda x: strip(F.regexp_replace(F.regexp_replace(x, "<[^>]+>", " "), r"\s+", " "))), " | "), F.lit(" |"))
+
+    lines = F.transform(rows, line)
+    columns = F.size(F.split(lines[0], r" \| "))
+    rule = F.concat(F.lit("|"), F.repeat(F.lit(" --- |"), columns))
+    whole = F.concat(F.slice(lines, 1, 1), F.array(rule), F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))))
+    return F.when(F.size(rows) > 0, F.concat(F.lit("\n\n"), F.array_join(whole, "\n"), F.lit("\n\n"))).otherwise("")
+
+
 def html_to_text(c: Column) -> Column:
-    """Plain text of HTML without tables: block ends as line breaks, bullets, tags stripped, six entities decoded."""
-    steps = [
-        (r'(?i)<img[^>]*src="OCR_IMG_([0-9]+)"[^>]*/?>', "\n%%OCR_IMG_$1%%\n"),
-        ("(?i)</p>", "\n\n"), (r"(?i)<br\s*/?>", "\n"), ("(?i)</div>", "\n"), ("(?i)</li>", "\n"), ("(?i)<li[^>]*>", "• "),
-        ("(?i)</h[1-6]>", "\n\n"), ("(?i)<h[1-6][^>]*>", "\n\n"), ("<[^>]+>", ""),
-        ("(?i)&nbsp;", " "), ("(?i)&amp;", "&"), ("(?i)&lt;", "<"), ("(?i)&gt;", ">"), ("(?i)&quot;", '"'), ("(?i)&#39;", "'"),
-        ("\n{3,}", "\n\n"),
-    ]
-    for pattern, by in steps:
-        c = F.regexp_replace(c, pattern, by)
-    return strip(c)
+    """Plain text of HTML: tables as rows between pipes, block ends as line breaks, bullets, pictures as marks, other tags gone, six entities decoded."""
+    tables = _pieces(c, r"(?is)<table[^>]*>.*?</table>|(?:(?!<table[^>]*>.*?</table>).)+", lambda x: F.when(x.rlike("(?i)^<table"), _table_rows(x)).otherwise(x))
+    text = F.when(F.lower(c).contains("<table"), tables).otherwise(c)
+    text = _pieces(text, r"<[^>]+>|[^<]+|<", _tag_text)
+    text = F.regexp_replace(text, "(?i)&amp;", "&")
+    entity = lambda x: _looked_up(ENTITY_TEXT, F.lower(F.regexp_extract(x, "^&(.+);$", 1)), x)
+    text = F.when(F.instr(text, "&") > 0, _pieces(text, r"(?i)&(?:nbsp|lt|gt|quot|#39);|[^&]+|&", entity)).otherwise(text)
+    return strip(F.regexp_replace(text, "\n{3,}", "\n\n"))
 
 
 def is_tabular(c: Column) -> Column:
-    """Three lines or more of which at least two, and half, hold a tab or stand between pipes."""
-    lines = F.filter(F.transform(F.split(c, "\n"), strip), lambda x: x != "")
-    own = F.size(F.filter(F.transform(F.split(c, "\n"), lambda x: F.when(x.contains("\t"), F.lit("|t|")).otherwise(strip(x))), lambda x: x.rlike(r"^\|.*\|$")))
-    return (F.size(lines) >= 3) & (own >= F.greatest(F.lit(2), F.floor(F.size(lines) * 0.5)))
+    """At least three lines that are not blank, of which two, and half of them, hold a tab or stand between pipes."""
+    lines = F.size(F.regexp_extract_all(c, F.lit(r"(?m)^.*[^\s ].*$"), F.lit(0)))
+    cells = F.size(F.regexp_extract_all(c, F.lit(r"(?m)^(?:.*\t.*|[\s&&[^\n]]*\|.*\|[\s&&[^\n]]*)$"), F.lit(0)))
+    return (lines >= 3) & (cells >= 2) & (cells >= F.floor(lines * 0.5))
+
+
+def matches_title(title: Column, asked: Column) -> Column:
+    """A folded title that holds the folded, trimmed words asked for; a blank question matches all."""
+    wanted = fold(strip(F.coalesce(asked, F.lit(""))))
+    return (wanted == "") | F.contains(fold(F.coalesce(title, F.lit(""))), wanted)
+
+
+def is_truncated(finish_reason: Column) -> Column:
+    """A reply cut at its length."""
+    return F.coalesce(finish_reason.isin("length", "max_tokens"), F.lit(False))
+
+
+def may_fall_back(status: Column) -> Column:
+    """Another model may be asked: no status (a network failure) or a server's failure."""
+    return status.isNull() | status.between(500, 599)
+
+
+def picture_worth_reading(width: Column, height: Column, slide_width: Column, slide_height: Column) -> Column:
+    """A picture of at least one per cent of its slide; one of unknown size is read."""
+    return F.coalesce(width * height / (slide_width * slide_height) >= 0.01, F.lit(True))
+
+
+def request_tokens(messages: Column) -> Column:
+    """The estimate for a whole request from array<struct<content>>: 3.5 characters a token and four more for each message."""
+    return F.aggregate(messages, F.lit(0).cast("long"), lambda a, m: a + F.ceil(F.length(F.coalesce(m["content"], F.lit(""))) / 3.5) + 4)
+
+
+def output_limit(asked: Column, used: Column, window: int, most: int, default: int) -> Column:
+    """The tokens that a reply may have: `most` at most, and what the window leaves after 1,024 of reserve, if that is over 256."""
+    wanted, left = F.least(F.coalesce(asked, F.lit(default)).cast("long"), F.lit(most)), F.lit(window) - used - 1024
+    return F.when((wanted > left) & (left > 256), left).otherwise(wanted)
+
+
+def fenced_code(header: Column, content: Column, language: Column) -> Column:
+    """A chunk under its header; code stands in a fence with its language."""
+    return F.concat(header, F.when(language.isNull(), F.concat(F.lit("\n"), content)).otherwise(F.concat(F.lit("\n```"), language, F.lit("\n"), content, F.lit("\n```"))))
+
+
+def editable_attachments(c: Column, mark: str) -> Column:
+    """The names after the mark, on the first line that has it, of files that can be edited."""
+    rest = F.regexp_replace(F.regexp_extract(c, "(?m)" + re.escape(mark) + "(.*)$", 1), r"\*+$", "")
+    return F.filter(F.transform(F.split(rest, ","), strip), lambda x: x.rlike(r"(?i)\.(docx|pptx|xlsx|pdf)$"))
 
 
 def large_paste(c: Column) -> Column:

@@ -46,7 +46,9 @@ def hybrid_search(
     lexical = ranked(bm25(chunks, query, id_col, text_col), "lex_score", leg_k, id_col)
     if dense is None:
         return fuse([lexical], id_col).orderBy(F.desc("score"), id_col).limit(k)
-    any_lexical = lexical.agg((F.count("*") > 0).alias("any_lexical"))
-    raw = dense.select(id_col, "score").crossJoin(F.broadcast(any_lexical)).where(~F.col("any_lexical")).drop("any_lexical")
-    both = fuse([dense, lexical], id_col).crossJoin(F.broadcast(any_lexical)).where("any_lexical").drop("any_lexical")
-    return both.unionByName(raw).orderBy(F.desc("score"), id_col).limit(k)
+    # Both legs have leg_k rows at most, so one task can tell the largest sum and whether any term was found.
+    both = dense.select(id_col, "rank", "score", F.lit(0).alias("lexical")).unionByName(lexical.select(id_col, "rank", F.lit(None).cast("double").alias("score"), F.lit(1).alias("lexical")))
+    both = both.groupBy(id_col).agg(F.sum(1 / (RRF_K + F.col("rank"))).alias("rrf"), F.max("score").alias("dense"), F.max("lexical").alias("lexical"))
+    whole = Window.partitionBy(F.lit(0))
+    score = F.when(F.max("lexical").over(whole) == 1, F.col("rrf") / F.max("rrf").over(whole)).otherwise(F.col("dense"))
+    return both.select(id_col, score.alias("score")).orderBy(F.desc("score"), id_col).limit(k)

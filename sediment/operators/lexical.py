@@ -5,19 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sediment.functions.text import tokens
+from sediment.functions.text import is_term, rough_terms, term_bag, tokens
 
 K1, B = 1.5, 0.75
 
 
 def postings(chunks: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, term, tf): one row per chunk and term; counts meet before the shuffle."""
-    return chunks.select(id_col, F.explode(tokens(F.col(text_col))).alias("term")).groupBy(id_col, "term").agg(F.count("*").alias("tf"))
+    words = chunks.select(id_col, F.explode(rough_terms(F.col(text_col))).alias("term")).where(is_term(F.col("term")))
+    return words.groupBy(id_col, "term").agg(F.count("*").alias("tf"))
 
 
 def lengths(chunks: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, dl): terms of each chunk, chunks without terms included."""
-    return chunks.select(id_col, F.size(tokens(F.col(text_col))).alias("dl"))
+    return chunks.select(id_col, F.size(term_bag(F.col(text_col))).alias("dl"))
 
 
 def corpus_stats(chunks: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -36,16 +37,18 @@ def idf(n: Column, df: Column) -> Column:
 def bm25(chunks: DataFrame, query: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lex_score) of the chunks that hold a term of the query; terms of the query count once.
 
-    Only rows of the query's terms leave the scan: the texts are tokenised once, and term counts,
-    lengths and document frequencies come from the same pass.
+    The texts are read and cut into terms once. A narrow row of each chunk, its length and the query's
+    terms in it, is dealt by id; the statistics and the scores both read that exchange.
     """
     spark = chunks.sparkSession
-    terms = spark.range(1).select(F.array_distinct(tokens(F.lit(query))).alias("terms"))
-    seen = chunks.select(id_col, tokens(F.col(text_col)).alias("toks")).crossJoin(F.broadcast(terms))
-    seen = seen.select(id_col, F.size("toks").alias("dl"), F.filter("toks", lambda x: F.array_contains("terms", x)).alias("hits"))
-    stats = seen.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    terms = spark.range(1).select(F.array_sort(F.array_distinct(tokens(F.lit(query)))).alias("t")).first()["t"]
+    if not terms:
+        return chunks.limit(0).select(id_col, F.lit(0.0).alias("lex_score"))
+    seen = chunks.select(id_col, term_bag(F.col(text_col)).alias("toks"))
+    seen = seen.select(id_col, F.size("toks").alias("dl"), F.filter("toks", lambda x: x.isin(terms)).alias("hits")).repartition(id_col)
+    holding = [F.count_if(F.array_contains("hits", t)) for t in terms]
+    stats = seen.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), F.map_from_arrays(F.array(*map(F.lit, terms)), F.array(*holding)).alias("held"))
     hits = seen.select(id_col, "dl", F.explode("hits").alias("term")).groupBy(id_col, "dl", "term").agg(F.count("*").alias("tf"))
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))  # a row per term of the query
-    scored = hits.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats))
+    scored = hits.crossJoin(F.broadcast(stats)).withColumn("df", F.col("held")[F.col("term")])  # one row
     part = idf(F.col("n"), F.col("df")) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return scored.groupBy(id_col).agg(F.sum(part).alias("lex_score")).where("lex_score > 0")
