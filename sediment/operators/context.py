@@ -1,7 +1,7 @@
 """Context assembly for many questions at once: search, one of equal contents, diversity, budget.
 
 questions: (question_id, query, vector). Each scope is a table of chunks; a conversation's scope comes
-first. Questions are few beside chunks, so they are broadcast to the scan of the chunks, and all
+first. Questions are broadcast to the scan of the chunks, a bounded number at a time, and all
 windows are over one question's candidates, at most four times its top_k from each scope.
 """
 
@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sediment.functions.text import chunk_label, token_estimate, tokens
+from sediment.functions.text import chunk_label, term_bag, token_estimate, tokens
 from sediment.functions.vectors import cosine
 from sediment.operators.chunking import compress
 from sediment.operators.classify import with_parameters
@@ -19,13 +19,25 @@ from sediment.operators.lexical import B, K1, idf
 from sediment.operators.select import mmr
 
 RRF_K = 60
+#: Questions of one search, whose vectors and terms every task gets.
+QUESTIONS = 2000
 
 
 def batch_hybrid(questions: DataFrame, chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "content", vector_col: str = "embedding") -> DataFrame:
     """(question_id, chunk_id, score) for questions with top_k and threshold: both legs cut to 4 * top_k, fused, the best 1.0.
 
     A question none of whose terms occurs keeps its dense scores. Chunks without a vector are in no leg.
+    The questions are counted first: more than QUESTIONS are asked in blocks, so that what is broadcast
+    does not grow with them.
     """
+    blocks = -(-questions.count() // QUESTIONS)
+    if blocks > 1:
+        dealt = questions.withColumn("_block", F.pmod(F.xxhash64("question_id"), F.lit(blocks)))
+        parts = [batch_hybrid(dealt.where(F.col("_block") == n).drop("_block"), chunks, id_col, text_col, vector_col) for n in range(blocks)]
+        out = parts[0]
+        for part in parts[1:]:
+            out = out.unionByName(part)
+        return out
     chunks = chunks.where(F.size(vector_col) > 0)
     asked = questions.where("not skip_retrieval").withColumn("terms", F.array_distinct(tokens(F.col("query"))))
     dense = chunks.select(id_col, vector_col).join(F.broadcast(asked.select("question_id", "vector", "top_k", "threshold")), F.size(vector_col) == F.size("vector"))
@@ -35,7 +47,7 @@ def batch_hybrid(questions: DataFrame, chunks: DataFrame, id_col: str = "chunk_i
 
     # Postings of the asked terms only; lengths and counts come from the same scan.
     terms = asked.select("question_id", "top_k", F.explode("terms").alias("term"))
-    toks = chunks.select(id_col, tokens(F.col(text_col)).alias("toks")).withColumn("dl", F.size("toks"))
+    toks = chunks.select(id_col, term_bag(F.col(text_col)).alias("toks")).withColumn("dl", F.size("toks"))
     stats = toks.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     post = toks.select(id_col, "dl", F.explode("toks").alias("term")).join(F.broadcast(terms.select("term").distinct()), "term", "left_semi")
     post = post.groupBy(id_col, "dl", "term").agg(F.count("*").alias("tf"))
@@ -59,7 +71,7 @@ def build_context(questions: DataFrame, scopes: list[DataFrame], budget: int = 8
     A chunk that does not fit the budget is compressed to what bears on the question, and passed over
     if it still does not fit.
     """
-    asked = with_parameters(questions).cache()
+    asked = with_parameters(questions)
     found = None
     for n, scope in enumerate(scopes):
         hits = batch_hybrid(asked, scope).join(scope, "chunk_id").withColumn("scope", F.lit(n))
@@ -72,7 +84,7 @@ def build_context(questions: DataFrame, scopes: list[DataFrame], budget: int = 8
     found = found.withColumn("many", many).withColumn("position", F.row_number().over(order) - 1)
     few = found.where("many <= 2 * top_k").select("question_id", "chunk_id", "position")
     over = found.where("many > 2 * top_k")
-    picked = mmr(over, "question_id", 24, 0.7, "chunk_id").select("question_id", "chunk_id", "position").join(F.broadcast(asked.select("question_id", "top_k")), "question_id")
+    picked = mmr(over, "question_id", 24, "mmr_weight", "chunk_id").select("question_id", "chunk_id", "position").join(F.broadcast(asked.select("question_id", "top_k")), "question_id")
     picked = picked.where("position < 2 * top_k").drop("top_k")
     chosen = found.drop("position").join(few.unionByName(picked), ["question_id", "chunk_id"])
     chosen = chosen.withColumn("label", chunk_label(F.col("file_name"), F.col("page_number"), F.col("start_line"), F.col("end_line")))

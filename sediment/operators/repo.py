@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sediment.operators.select import pack_skip
+
 #: Folders of dependencies and build results.
 SKIPPED_FOLDERS = ["node_modules", ".git", "dist", "build", "target", "vendor", "__pycache__", ".venv", "coverage", ".next"]
 GENERATED = r"(?i)(^|/)(package-lock\.json|yarn\.lock|pnpm-lock\.yaml|poetry\.lock|cargo\.lock)$|\.min\.(js|css)$|\.map$"
@@ -23,10 +25,13 @@ def is_binary(text: Column) -> Column:
     return F.coalesce((F.instr(head, "\0") > 0) | (bad > 0.05 * F.length(head)), F.lit(False))
 
 
-def skip_reason(path: Column, text: Column, most_chars: int) -> Column:
-    """Why a file is left out, or null."""
+def skip_reason(path: Column, text: Column, most_chars: int, language: Column | None = None) -> Column:
+    """Why a file is left out, or null; with language, a file of no known language is left out too."""
     empty = F.length(F.trim(F.coalesce(text, F.lit("")))) == 0
-    return F.when(skipped_path(path), "path").when(empty, "empty").when(is_binary(text), "binary").when(F.length(text) > most_chars, "large")
+    reason = F.when(skipped_path(path), "path")
+    if language is not None:
+        reason = reason.when(language.isNull(), "language")
+    return reason.when(empty, "empty").when(F.length(text) > most_chars, "large").when(is_binary(text), "binary")
 
 
 def reading_order(path: str) -> list[Column]:
@@ -48,7 +53,23 @@ def common_root(paths: DataFrame, path: str) -> DataFrame:
     return paths.crossJoin(F.broadcast(one)).withColumn(path, F.expr(f"substring({path}, length(_root) + 1)")).drop("_root")
 
 
-def pack_files(files: DataFrame, path: str, size: str, most_files: int, most_chars: int) -> DataFrame:
-    """Files in reading order, at most most_files; those after the budget of characters are left."""
-    ordered = files.withColumn("_n", F.row_number().over(Window.orderBy(*reading_order(path)))).where(F.col("_n") <= most_files)
-    return ordered.withColumn("used", F.sum(size).over(Window.orderBy("_n"))).where(F.col("used") <= most_chars).drop("_n")
+def pack_files(files: DataFrame, path: str, size: str, most_files: int, most_chars: int, repository: str = "repository") -> DataFrame:
+    """files with used and reason: in reading order, those that the limits of their repository leave out have a reason.
+
+    A file over the rest of the budget of characters is passed over, and later ones may still fit. Only
+    paths and sizes are gone through in order; contents are joined afterwards.
+    """
+    slim = files.select(repository, path, size).withColumn("_order", F.struct(F.size(F.split(path, "/")).alias("depth"), F.col(path).alias("name")))
+    place = F.row_number().over(Window.partitionBy(repository).orderBy("_order"))
+    ordered = slim.withColumn("_place", place)
+    kept = pack_skip(ordered, [repository], "_place", size, most_chars, path, most_files)
+    last = kept.groupBy(repository).agg(F.count("*").alias("_kept"), F.max_by(path, "used").alias("_last"))
+    last = last.join(ordered.select(repository, F.col(path).alias("_last"), F.col("_place").alias("_end")), [repository, "_last"]).drop("_last")
+    out = files.join(kept, [repository, path], "left").join(ordered.select(repository, path, "_place"), [repository, path]).join(last, repository, "left")
+    full = (F.col("_kept") >= most_files) & (F.col("_place") > F.col("_end"))
+    return out.withColumn("reason", F.when(F.col("used").isNull(), F.when(full, "file_limit").otherwise("size_limit"))).drop("_place", "_kept", "_end")
+
+
+def reason_counts(skipped: DataFrame, reason: str = "reason") -> DataFrame:
+    """(reason, files), the commonest first."""
+    return skipped.where(F.col(reason).isNotNull()).groupBy(reason).agg(F.count("*").alias("files")).orderBy(F.desc("files"), reason)

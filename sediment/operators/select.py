@@ -9,27 +9,44 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def pack_stop(rows: DataFrame, group: list[str], order: list, cost: str, budget: float) -> DataFrame:
-    """The rows of each group, in order, up to the first whose running cost is over the budget."""
-    w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("used", F.sum(cost).over(w)).where(F.col("used") <= budget)
+def pack_stop(rows: DataFrame, group: list[str], order: list, cost: str, budget: float, parts: int = 64) -> DataFrame:
+    """The rows of each group, in order, up to the first whose running cost is over the budget; costs are not negative.
+
+    A group is cut at quantiles of its first order column, a number, so that no task has to sort a
+    large group: the costs of its parts are added up first, and only parts that begin within the
+    budget are sorted.
+    """
+    first = F.col(order[0]) if isinstance(order[0], str) else order[0]
+    keyed = rows.withColumn("_at", first.cast("double"))
+    cuts = keyed.groupBy(*group).agg(F.percentile_approx("_at", [k / parts for k in range(1, parts)], 10_000).alias("_cuts"))
+    keyed = keyed.join(cuts, group).withColumn("_part", F.coalesce(F.size(F.filter("_cuts", lambda x: x < F.col("_at"))), F.lit(-1))).drop("_cuts")
+    before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    begins = keyed.groupBy(*group, "_part").agg(F.sum(cost).alias("_sum")).withColumn("_begin", F.coalesce(F.sum("_sum").over(before), F.lit(0)))
+    near = keyed.join(begins.where(F.col("_begin") <= budget).drop("_sum"), [*group, "_part"])
+    w = Window.partitionBy(*group, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return near.withColumn("used", F.sum(cost).over(w) + F.col("_begin")).where(F.col("used") <= budget).drop("_at", "_part", "_begin")
 
 
-def pack_skip(rows: DataFrame, group: list[str], order: str, cost: str, budget: float, row_id: str) -> DataFrame:
-    """(group, row_id, used) of the rows that fit one after another; a row that does not fit is passed over.
+def pack_skip(rows: DataFrame, group: list[str], order: str, cost: str, budget: float, row_id: str, most: int | None = None) -> DataFrame:
+    """(group, row_id, used) of the rows that fit one after another; a row that does not fit is passed over, as are all after `most`.
 
-    A fold over the ordered rows of a group, which is one query's candidates and so short.
+    A group's ids and costs are gone through in one task: it is one query's candidates or one repository's files.
     """
-    zero = F.struct(F.lit(0.0).alias("used"), F.array().cast("array<struct<id:bigint,used:double>>").alias("kept"))
-    rows = rows.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct(F.col(order), F.col(row_id).cast("long").alias("id"), F.col(cost).cast("double").alias("cost")))).alias("rows"))
+    kinds = {f.name: f.dataType for f in rows.schema}
+    schema = T.StructType([*(T.StructField(g, kinds[g]) for g in group), T.StructField(row_id, kinds[row_id]), T.StructField("used", T.DoubleType())])
 
-    def step(acc, x):
-        used = acc["used"] + x["cost"]
-        kept = F.concat(acc["kept"], F.array(F.struct(x["id"].alias("id"), used.alias("used"))))
-        return F.when(used <= budget, F.struct(used.alias("used"), kept.alias("kept"))).otherwise(acc)
+    def choose(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["_order", row_id], kind="stable")
+        used, kept, sums = 0.0, [], []
+        for n, x in enumerate(part["_cost"].tolist()):
+            if used + x <= budget and (most is None or len(kept) < most):
+                used += x
+                kept.append(n)
+                sums.append(used)
+        return part.iloc[kept][[*group, row_id]].assign(used=sums)
 
-    kept = F.aggregate("rows", zero, step)["kept"]
-    return rows.select(*group, F.explode(kept).alias("k")).select(*group, F.col("k.id").alias(row_id), F.col("k.used"))
+    slim = rows.select(*group, row_id, F.col(order).alias("_order"), F.col(cost).cast("double").alias("_cost"))
+    return slim.groupBy(*group).applyInPandas(choose, schema)
 
 
 def first_of_equal(rows: DataFrame, content: str, order: list) -> DataFrame:
@@ -38,25 +55,28 @@ def first_of_equal(rows: DataFrame, content: str, order: list) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def mmr(candidates: DataFrame, group: str, k: int, weight: float = 0.7, id_col: str = "doc_id", vector_col: str = "embedding") -> DataFrame:
+def mmr(candidates: DataFrame, group: str, k: int, weight: float | str = 0.7, id_col: str = "doc_id", vector_col: str = "embedding") -> DataFrame:
     """Maximal marginal relevance over (group, id, vector, score): the best first, then the largest
-    weight * score - (1 - weight) * (largest cosine to a chosen one, 0 at least). A group is one query's candidates."""
+    weight * score - (1 - weight) * (largest cosine to a chosen one, 0 at least). weight may name a column. A group is
+    one query's candidates."""
     schema = T.StructType([candidates.schema[group], candidates.schema[id_col], T.StructField("position", T.IntegerType()), T.StructField("mmr", T.DoubleType())])
 
     def choose(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["score", id_col], ascending=[False, True])
         x = np.array(part[vector_col].tolist(), "f8")
         x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+        share = float(part["_weight"].iloc[0])
         score, near, open_, out = part["score"].to_numpy("f8"), np.zeros(len(part)), np.ones(len(part), bool), []
         for position in range(min(k, len(part))):
-            value = np.where(open_, weight * score - (1 - weight) * near if position else score, -np.inf)
+            value = np.where(open_, share * score - (1 - share) * near if position else score, -np.inf)
             at = int(np.argmax(value))
             out.append((part[group].iloc[at], part[id_col].iloc[at], position, float(value[at])))
             open_[at] = False
             near = np.maximum(near, x @ x[at])
         return pd.DataFrame(out, columns=[f.name for f in schema])
 
-    return candidates.select(group, id_col, vector_col, "score").groupBy(group).applyInPandas(choose, schema)
+    share = F.col(weight) if isinstance(weight, str) else F.lit(weight)
+    return candidates.select(group, id_col, vector_col, "score", share.alias("_weight")).groupBy(group).applyInPandas(choose, schema)
 
 
 def keep_recent(cache: DataFrame, most: int = 5000, left: int = 4500, used_col: str = "last_used_at", key: str = "key") -> DataFrame:
