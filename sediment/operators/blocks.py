@@ -109,8 +109,10 @@ def docx_bytes(blocks: list[tuple]) -> bytes:
     return buffer.getvalue()
 
 
-def smallest_change(before: str, after: str) -> tuple[int, int, str]:
-    """(start, end, text): the least span of before to replace, widened to whole words."""
+def smallest_change(before: str, after: str) -> tuple[int, int, str] | None:
+    """(start, end, text): the least span of before to replace, widened to whole words; None if nothing differs."""
+    if before == after:
+        return None
     start = 0
     while start < min(len(before), len(after)) and before[start] == after[start]:
         start += 1

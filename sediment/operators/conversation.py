@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sediment.functions.text import token_estimate
+from sediment.sources.work import stored
 
 MARK = "\n\n[… cut]"
 
@@ -38,10 +39,23 @@ def collapse_old_replies(messages: DataFrame, keep: int = 8, most: int = 800, co
     return messages.withColumn("_old", old).withColumn(text, F.when(F.col("_old"), F.concat(F.substring(text, 1, most), F.lit(MARK))).otherwise(F.col(text))).withColumnRenamed("_old", "collapsed")
 
 
+def visible(messages: DataFrame) -> DataFrame:
+    """The messages that are not rewound."""
+    return messages.where(~F.coalesce(F.col("rewound"), F.lit(False)))
+
+
 def rewind_from(messages: DataFrame, targets: DataFrame, conv: str = "conv_id", turn: str = "turn") -> DataFrame:
-    """Messages with rewound: from the target turn of (conv, from_turn) on; a turn that does not exist marks nothing."""
+    """Messages with rewound: from the first known target turn of (conv, from_turn) on, or rewound already; a turn that does not exist marks nothing."""
     known = targets.join(messages.select(conv, F.col(turn).alias("from_turn")), [conv, "from_turn"], "left_semi")
-    return messages.join(known, conv, "left").withColumn("rewound", F.coalesce(F.col(turn) >= F.col("from_turn"), F.lit(False))).drop("from_turn")
+    known = known.groupBy(conv).agg(F.min("from_turn").alias("from_turn"))
+    before = F.coalesce(F.col("rewound"), F.lit(False)) if "rewound" in messages.columns else F.lit(False)
+    now = F.coalesce(F.col(turn) >= F.col("from_turn"), F.lit(False))
+    return messages.join(known, conv, "left").withColumn("rewound", now | before).drop("from_turn")
+
+
+def newly_rewound(messages: DataFrame, targets: DataFrame, conv: str = "conv_id", turn: str = "turn") -> DataFrame:
+    """(conv, turn) of the messages that a rewind takes away and that were not rewound before."""
+    return rewind_from(visible(messages) if "rewound" in messages.columns else messages, targets, conv, turn).where("rewound").select(conv, turn)
 
 
 def fork(messages: DataFrame, forks: DataFrame, conv: str = "conv_id", turn: str = "turn") -> DataFrame:
@@ -50,14 +64,24 @@ def fork(messages: DataFrame, forks: DataFrame, conv: str = "conv_id", turn: str
     return out.withColumn("forked_from", F.col(conv)).withColumn(conv, F.col("new_conv")).drop("new_conv")
 
 
-def fork_depth(forks: DataFrame, node: str = "conv_id", parent: str = "parent_id", most: int = 100) -> DataFrame:
-    """(node, root, depth): forks whose parent is unknown are roots. One join a level, until no node is left."""
-    nodes = forks.select(F.col(node).alias("node"), F.col(parent).alias("parent"))
-    spark = forks.sparkSession
-    nodes.createOrReplaceTempView("_fork_nodes")
-    return spark.sql(f"""
-        WITH RECURSIVE tree(node, root, depth) MAX RECURSION LEVEL {most} AS (
-          SELECT n.node, n.node, 0 FROM _fork_nodes n LEFT ANTI JOIN _fork_nodes p ON n.parent = p.node
-          UNION ALL
-          SELECT n.node, t.root, t.depth + 1 FROM _fork_nodes n JOIN tree t ON n.parent = t.node)
-        SELECT node AS {node}, root, depth FROM tree""")
+def fork_depth(forks: DataFrame, node: str = "conv_id", parent: str = "parent_id") -> DataFrame:
+    """(node, root, depth): forks whose parent is unknown are roots, however deep the tree; on a cycle and below it both are null.
+
+    Each round doubles the length of the jumps to an ancestor, so there are as many as the depth has binary digits.
+    """
+    nodes = forks.select(F.col(node).alias("node"), F.col(parent).alias("up")).dropDuplicates(["node"])
+    known = nodes.select(F.col("node").alias("up"), F.lit(1).alias("step"))
+    jumps = nodes.join(known, "up", "left").select("node", F.when(F.col("step").isNotNull(), F.col("up")).alias("up"), F.coalesce("step", F.lit(0)).cast("long").alias("step"))
+    jumps = stored(jumps.withColumn("root", F.when(F.col("up").isNull(), F.col("node"))), "jumps")
+    open_, most = jumps.where("root is null"), jumps.count()
+    length = 1
+    while length <= most and not open_.isEmpty():
+        # One jump more: to where the ancestor's own jump leads.
+        far = jumps.select(F.col("node").alias("up"), F.col("up").alias("_up"), F.col("step").alias("_step"), F.col("root").alias("_root"))
+        jumps = jumps.join(far, "up", "left").select(
+            "node", F.when(F.col("root").isNull(), F.col("_up")).alias("up"), (F.col("step") + F.when(F.col("root").isNull(), F.col("_step")).otherwise(0)).alias("step"),
+            F.coalesce("root", "_root").alias("root"),
+        )
+        jumps = stored(jumps, "jumps")
+        open_, length = jumps.where("root is null"), length * 2
+    return jumps.select(F.col("node").alias(node), "root", F.when(F.col("root").isNotNull(), F.col("step")).cast("int").alias("depth"))

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,39 +38,68 @@ def check_edits(units: DataFrame, edits: DataFrame, id_col: str) -> DataFrame:
 
 
 def placeholders(units: DataFrame, id_col: str) -> DataFrame:
-    """(id, name, units, first): the {{names}} of a template, each with its distinct units, by first appearance."""
-    found = units.select(id_col, "unit", F.posexplode(F.regexp_extract_all("text", F.lit(r"\{\{([^{}]+)\}\}"))).alias("at", "name"))
-    found = found.withColumn("name", F.trim("name"))
-    return found.groupBy(id_col, "name").agg(F.sort_array(F.collect_set("unit")).alias("units"), F.min(F.struct("unit", "at")).alias("first"))
+    """(id, name, places, first): the {{names}} of a template, trimmed, by first appearance; places are the distinct (unit, raw), raw as written."""
+    raw = F.posexplode(F.regexp_extract_all("text", F.lit(r"\{\{[^}]*\}\}"), F.lit(0))).alias("at", "raw")
+    found = units.select(id_col, "unit", raw).withColumn("name", F.trim(F.substring("raw", F.lit(3), F.length("raw") - 4))).where("name <> ''")
+    places = F.sort_array(F.collect_set(F.struct("unit", "raw"))).alias("places")
+    return found.groupBy(id_col, "name").agg(places, F.min(F.struct("unit", "at")).alias("first"))
 
 
 def fill(found: DataFrame, values: DataFrame, id_col: str) -> DataFrame:
-    """Edits from (id, name, value); blank values fill nothing."""
+    """Edits from (id, name, value), one for each place; blank values fill nothing."""
     given = values.where(F.trim("value") != "")
-    out = found.join(given, [id_col, "name"]).select(id_col, "name", "value", F.explode("units").alias("unit"))
-    return out.select(id_col, "unit", F.concat(F.lit("{{"), "name", F.lit("}}")).alias("find"), F.col("value").alias("replace"))
+    out = found.join(given, [id_col, "name"]).select(id_col, "value", F.explode("places").alias("place"))
+    return out.select(id_col, "place.unit", F.col("place.raw").alias("find"), F.col("value").alias("replace"))
+
+
+def cell_edit_reason(found: Column, formula: Column, supported: Column, text: Column, find: Column) -> Column:
+    """Why an edit of a spreadsheet's cell is refused, or null: the first that holds of these."""
+    blank = F.coalesce(F.trim(text), F.lit("")) == ""
+    return (
+        F.when(~F.coalesce(found, F.lit(False)), "missing").when(F.coalesce(formula, F.lit(False)), "formula").when(~F.coalesce(supported, F.lit(False)), "unsupported")
+        .when(blank, "blank").when((F.coalesce(find, F.lit("")) != "") & (F.instr(text, find) == 0), "not_found")
+    )
 
 
 def word_ops(before: str, after: str) -> list[dict]:
-    """Word difference by longest common subsequence; white space stays with the word before it. Ties remove first."""
+    """Word difference by longest common subsequence; white space stays with the word before it. Ties remove first.
+
+    Equal ends are set aside. Of the rest, one row of lengths is held, and one bit for each pair of words.
+    """
     a, b = (re.findall(r"\S+\s*|\s+", t or "") for t in (before, after))
-    size = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
-            size[i][j] = size[i + 1][j + 1] + 1 if a[i] == b[j] else max(size[i + 1][j], size[i][j + 1])
+    head = 0
+    while head < min(len(a), len(b)) and a[head] == b[head]:
+        head += 1
+    numbers: dict[str, int] = {}
+    x, y = (np.array([numbers.setdefault(w, len(numbers)) for w in words[head:]], "i4") for words in (a, b))
+    row, remove = np.zeros(len(y) + 1, "i4"), []
+    for i in range(len(x) - 1, -1, -1):
+        best = np.maximum(row[:-1], row[1:] + (y == x[i]))
+        new = np.append(np.maximum.accumulate(best[::-1])[::-1], 0)
+        remove.append(np.packbits(row[:-1] >= new[1:]))
+        row = new
+    remove.reverse()
     out: list[dict] = []
-    i = j = 0
-    while i < len(a) or j < len(b):
-        if i < len(a) and j < len(b) and a[i] == b[j]:
-            op, text, i, j = "same", a[i], i + 1, j + 1
-        elif i < len(a) and (j == len(b) or size[i + 1][j] >= size[i][j + 1]):
-            op, text, i = "removed", a[i], i + 1
-        else:
-            op, text, j = "added", b[j], j + 1
+
+    def add(op: str, text: str) -> None:
         if out and out[-1]["op"] == op:
             out[-1]["text"] += text
         else:
             out.append({"op": op, "text": text})
+
+    for word in a[:head]:
+        add("same", word)
+    i = j = 0
+    while i < len(x) or j < len(y):
+        if i < len(x) and j < len(y) and x[i] == y[j]:
+            add("same", a[head + i])
+            i, j = i + 1, j + 1
+        elif i < len(x) and (j == len(y) or remove[i][j >> 3] >> (7 - (j & 7)) & 1):
+            add("removed", a[head + i])
+            i += 1
+        else:
+            add("added", b[head + j])
+            j += 1
     return out
 
 
@@ -78,7 +108,7 @@ def word_diff(before: pd.Series, after: pd.Series) -> pd.Series:
     return pd.Series([word_ops(a, b) for a, b in zip(before, after, strict=True)])
 
 
-def latest_artifact(artifacts: DataFrame, conv: str, created: str) -> DataFrame:
-    """The newest artifact of each conversation that has its bytes."""
-    w = Window.partitionBy(conv).orderBy(F.desc(created))
+def latest_artifact(artifacts: DataFrame, conv: str, created: str, ties: tuple[str, ...] = ()) -> DataFrame:
+    """The newest artifact of each conversation that has its bytes; of equally new ones the first by ties."""
+    w = Window.partitionBy(conv).orderBy(F.desc(created), *ties)
     return artifacts.where("edited_blob is not null").withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")

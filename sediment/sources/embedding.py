@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sediment.functions.hashing import cache_key_hash
+from sediment.sources.work import stored
 
 BATCH = 50
 
 
 def embed_missing(chunks: DataFrame, cache: DataFrame, embed: Callable[[list[str]], list[list[float]]], text_col: str = "content") -> tuple[DataFrame, DataFrame]:
-    """(chunks with embedding, new cache rows (key, embedding)); equal texts are embedded once."""
+    """(chunks with embedding, new cache rows (key, embedding)); equal texts are embedded once, and stored, so that
+    both results hold the same answers."""
     keyed = chunks.withColumn("key", cache_key_hash(F.col(text_col)))
     missing = keyed.join(cache.select("key"), "key", "left_anti").groupBy("key").agg(F.min(text_col).alias("text"))
 
@@ -24,6 +26,6 @@ def embed_missing(chunks: DataFrame, cache: DataFrame, embed: Callable[[list[str
                 some = part.iloc[at : at + BATCH]
                 yield pd.DataFrame({"key": some["key"], "embedding": embed(some["text"].tolist())})
 
-    new = missing.mapInPandas(run, "key string, embedding array<float>")
+    new = stored(missing.mapInPandas(run, "key string, embedding array<float>"), "embedded")
     whole = cache.select("key", "embedding").unionByName(new)
     return keyed.join(whole, "key", "left").drop("key"), new

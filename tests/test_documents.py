@@ -1,4 +1,5 @@
 import io
+import time
 import zipfile
 
 from pyspark.sql import functions as F
@@ -23,6 +24,28 @@ def test_chunks_keep_tables_whole_and_lose_no_line():
     assert slides[0]["content"] == "[Slide 1]\nhello" and all(c["content"].startswith("[Slide 3]") for c in slides[1:])
 
 
+def test_sheets_and_slides_lose_nothing():
+    got = chunking.chunk_file("s.xlsx", "## S\na\tb\n1\t2\nlonely note row\n3\t4")
+    assert [(c["content"], c["has_table"]) for c in got] == [("## S\na\tb\n1\t2", True), ("## S\nlonely note row", False), ("## S\na\tb\n3\t4", True)]
+    assert [c["content"] for c in chunking.chunk_file("s.xlsx", "## S\n```tsv\nh\tk\n```")] == ["## S\nh\tk"]
+    assert [c["chunk_index"] for c in got] == [0, 1, 2]
+    assert [c["content"] for c in chunking.chunk_file("a.pptx", "just one line")] == ["just one line"]
+    assert [c["content"] for c in chunking.chunk_file("a.pptx", "before\n[Slide 1]\nx")] == ["before", "[Slide 1]\nx"]
+    assert len(chunking.chunk_file("a.pptx", "word " * 2000)) > 1
+
+
+def test_long_text_under_many_headings_is_linear():
+    text = "\n".join(f"## Part {n}\n\n" + "some words here. " * 30 for n in range(4000))
+    began = time.process_time()
+    got = chunking.chunk_file("x.md", text)
+    assert time.process_time() - began < 10 and got[-1]["heading"] == "Part 3999"
+
+
+def test_members_of_typed_languages():
+    java = "package a;\n\npublic class One {\n    private int x = 1;\n    private int y = 2;\n\n    public int sum(int k) {\n        return x + y + k;\n    }\n\n    static String name(List<String> all) {\n        return all.get(0);\n    }\n}\n"
+    assert [c["symbol"] for c in chunking.chunk_file("A.java", java)] == ["One", "sum", "name"]
+
+
 def test_code_chunks_cover_all_lines():
     got = chunking.chunk_file("a.py", CODE)
     assert [c["symbol"] for c in got] == ["one", "Two"] and got[0]["start_line"] == 1
@@ -55,9 +78,11 @@ def test_edits(spark):
     got = [(r["unit"], r["status"], r["after"]) for r in edits.check_edits(units, wanted, "doc_id").orderBy("unit", "find").collect()]
     assert got == [(0, "ok", "one 2"), (1, "missing", None), (2, "ok", "all"), (2, "not_found", None)]
     found = edits.placeholders(units, "doc_id").collect()
-    assert [(r["name"], r["units"]) for r in found] == [("name", [2])]
+    assert [(r["name"], [tuple(p) for p in r["places"]]) for r in found] == [("name", [(2, "{{ name }}"), (2, "{{name}}")])]
     values = spark.createDataFrame([(1, "name", "Eve"), (1, "other", " ")], "doc_id long, name string, value string")
-    assert [(r["unit"], r["replace"]) for r in edits.fill(edits.placeholders(units, "doc_id"), values, "doc_id").collect()] == [(2, "Eve")]
+    filled = edits.fill(edits.placeholders(units, "doc_id"), values, "doc_id")
+    assert sorted((r["unit"], r["find"], r["replace"]) for r in filled.collect()) == [(2, "{{ name }}", "Eve"), (2, "{{name}}", "Eve")]
+    assert edits.check_edits(units, filled, "doc_id").where("status <> 'ok'").count() == 0
     ops = edits.word_ops("a b c", "a x c d")
     assert "".join(o["text"] for o in ops if o["op"] != "added") == "a b c" and "".join(o["text"] for o in ops if o["op"] != "removed") == "a x c d"
     reply = spark.createDataFrame([('ok: ```[{"paragraph": 1, "replace": "x"}, {"paragraph": -1, "replace": "y"}, {"find": "q"}]```',)], "t string")
