@@ -115,6 +115,17 @@ def with_fallback(context: DataFrame, chunks: DataFrame, budget: int, group: str
     return missing.withColumn("used", running).where(F.col("used") <= budget).withColumn("score", F.lit(0.0)).withColumn("retrieval", F.lit("fallback"))
 
 
+def fallback_files(files: DataFrame, budget: int, group: str, order: str) -> DataFrame:
+    """Files (group, name, content) in order while they fit the budget of tokens, names and separators counted; the one that does not is cut, and ends it."""
+    whole = F.concat(F.lit("--- "), "name", F.lit(" ---\n"), F.coalesce("content", F.lit("")))
+    rows = files.withColumn("cost", token_estimate(whole) + 1)
+    w = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("begin", F.sum("cost").over(w) - F.col("cost")).where(F.col("begin") < budget)
+    rows = rows.withColumn("cut", F.col("begin") + F.col("cost") > budget)
+    left = F.floor((budget - F.col("begin")) * 3.5).cast("int")
+    return rows.withColumn("content", F.when(F.col("cut"), F.substring(F.col("content"), F.lit(1), left)).otherwise(F.col("content"))).drop("begin")
+
+
 def fit_budget(inputs: DataFrame, ceiling: str = "ceiling") -> DataFrame:
     """inputs (id, system, blocks array<string>, history array<struct<role, content>>, ceiling) cut to the ceiling: context
     blocks from the last, then the oldest messages, then the last message. The result always fits what it can keep."""

@@ -56,12 +56,12 @@ def citation_ranges(spark, table):
     return citations.merge_ranges(rows, ["l_suppkey"], "a", "b")
 
 
-@query("""WITH p AS (SELECT DISTINCT l_suppkey, l_orderkey % 97 AS p FROM lineitem WHERE l_linenumber = 1),
+@query("""WITH p AS (SELECT DISTINCT l_suppkey, l_orderkey % 97 AS p FROM lineitem),
 r AS (SELECT *, p - row_number() OVER (PARTITION BY l_suppkey ORDER BY p) AS k FROM p),
 g AS (SELECT l_suppkey, min(p) AS a, max(p) AS b FROM r GROUP BY l_suppkey, k)
 SELECT l_suppkey, string_agg(CASE WHEN a = b THEN a::VARCHAR ELSE a || '-' || b END, ', ' ORDER BY a) AS pages FROM g GROUP BY l_suppkey""")
 def page_ranges(spark, table):
-    rows = table("lineitem").where("l_linenumber = 1").select("l_suppkey", (F.col("l_orderkey") % 97).alias("p"))
+    rows = table("lineitem").select("l_suppkey", (F.col("l_orderkey") % 97).alias("p"))
     return citations.page_ranges(rows, ["l_suppkey"], "p")
 
 
@@ -72,16 +72,17 @@ def citation_groups(spark, table):
     return out.withColumn("pages", F.array_join("pages", ","))
 
 
-@query(r"""SELECT page_id, regexp_replace(regexp_replace(t, '^[\s\x{00A0}]+', ''), '[\s\x{00A0}]+$', '') AS text FROM (SELECT page_id,
- regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
- regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
- '<img[^>]*src="OCR_IMG_([0-9]+)"[^>]*/?>', chr(10) || '%%OCR_IMG_\1%%' || chr(10), 'gi'),
- '</p>', chr(10) || chr(10), 'gi'), '<br\s*/?>', chr(10), 'gi'), '</div>', chr(10), 'gi'), '</li>', chr(10), 'gi'), '<li[^>]*>', '• ', 'gi'),
- '</h[1-6]>', chr(10) || chr(10), 'gi'), '<h[1-6][^>]*>', chr(10) || chr(10), 'gi'), '<[^>]+>', '', 'g'),
- '&nbsp;', ' ', 'gi'), '&amp;', '&', 'gi'), '&lt;', '<', 'gi'), '&gt;', '>', 'gi'), '&quot;|&#39;', '"', 'gi'), '\n{3,}', chr(10) || chr(10), 'g') AS t FROM pages WHERE html NOT LIKE '%&#39;%')""")
+_TAGS = "MAP {" + ", ".join(f"'{name}': '" + text.replace("\n", "' || chr(10) || '") + "'" for name, text in tx.TAG_TEXT.items()) + "}"
+
+
+@query(rf"""WITH pieces AS (SELECT page_id, regexp_extract_all(html, '<[^>]+>|[^<]+|<') AS p FROM pages),
+plain AS (SELECT page_id, array_to_string(list_transform(p, lambda x: CASE WHEN NOT regexp_full_match(x, '<[^>]+>') THEN x
+   WHEN regexp_matches(x, '(?i)^<img[^>]*src="OCR_IMG_[0-9]+"') THEN chr(10) || '%%OCR_IMG_' || regexp_extract(x, '(?i)src="OCR_IMG_([0-9]+)"', 1) || '%%' || chr(10)
+   ELSE coalesce(({_TAGS})[lower(regexp_extract(x, '^<(/?[A-Za-z][A-Za-z0-9]*)', 1))], '') END), '') AS t FROM pieces),
+shown AS (SELECT page_id, replace(replace(replace(replace(replace(replace(t, '&amp;', '&'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)) AS t FROM plain)
+SELECT page_id, regexp_replace(regexp_replace(regexp_replace(t, '\n{{3,}}', chr(10) || chr(10), 'g'), '^[\s\x{{00A0}}]+', ''), '[\s\x{{00A0}}]+$', '') AS text FROM shown""")
 def html_to_text(spark, table):
-    pages = table("pages").where("html not like '%&#39;%'")
-    return pages.select("page_id", tx.html_to_text(F.col("html")).alias("text"))
+    return table("pages").select("page_id", tx.html_to_text(F.col("html")).alias("text"))
 
 
 @query("SELECT doc_id, sha256(text) AS hash, 's:' || sha256(regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', '')) AS key FROM documents".replace("\\\\", "\\"))

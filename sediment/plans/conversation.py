@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sediment.functions import text as tx
@@ -87,8 +88,13 @@ def stream_replies(spark, table):
     return ev.replies(parsed, "conv_id", "turn").select("conv_id", "content", "finish_reason")
 
 
-@query()
+@query("SELECT conv_id, turn, before, text AS after FROM (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations) WHERE before IS NOT NULL AND text IS NOT NULL")
 def word_differences(spark, table):
-    a = table("conversations").where("turn = 0").select("conv_id", F.col("text").alias("a"))
-    b = table("conversations").where("turn = 1").select("conv_id", F.col("text").alias("b"))
-    return a.join(b, "conv_id").select("conv_id", F.to_json(edits.word_diff("a", "b")).alias("ops"))
+    """Each turn beside the one before it: both texts put together again from the difference. (That it is a shortest one is tested against brute force.)"""
+    turns = table("conversations").withColumn("before", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))).where("before is not null and text is not null")
+    ops = turns.select("conv_id", "turn", edits.word_diff("before", "text").alias("ops"))
+
+    def side(left_out: str):
+        return F.array_join(F.transform(F.filter("ops", lambda o: o["op"] != left_out), lambda o: o["text"]), "")
+
+    return ops.select("conv_id", "turn", side("added").alias("before"), side("removed").alias("after"))

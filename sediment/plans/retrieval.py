@@ -125,7 +125,16 @@ def pack_skip(spark, table):
     return select.pack_skip(rows.withColumn("at", F.col("turn")), ["conv_id"], "at", "n", 600, "turn")
 
 
-@query()
+@query("""WITH RECURSIVE q AS (SELECT embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id = 0),
+c AS (SELECT vec_id, embedding::DOUBLE[] AS e, list_cosine_similarity(embedding::DOUBLE[], qv) AS score FROM embeddings, q ORDER BY score DESC, vec_id LIMIT 40),
+r(position, ids, vectors, doc_id, mmr) AS (
+  SELECT 0, [vec_id], [e], vec_id, score FROM (SELECT * FROM c ORDER BY score DESC, vec_id LIMIT 1)
+  UNION ALL
+  SELECT position + 1, list_append(ids, vec_id), list_append(vectors, e), vec_id, v FROM (
+    SELECT r.position, r.ids, r.vectors, c.vec_id, c.e, 0.7 * c.score - 0.3 * greatest(0, list_max(list_transform(r.vectors, lambda x: list_cosine_similarity(x, c.e)))) AS v
+    FROM r, c WHERE NOT list_contains(r.ids, c.vec_id) AND r.position < 9)
+  QUALIFY row_number() OVER (ORDER BY v DESC, vec_id) = 1)
+SELECT 0 AS query_id, doc_id, position, round(mmr, 6) AS mmr FROM r""")
 def mmr_select(spark, table):
     rows = table("embeddings").select(F.col("vec_id").alias("doc_id"), "embedding", F.lit(0).alias("query_id"))
     best = vector.dense_topk(rows, _asked_vector(table), 40, None)
@@ -149,9 +158,12 @@ def classify_queries(spark, table):
     return classify.with_parameters(table("conversations").where("role = 'user'").select("conv_id", "turn", F.col("text").alias("query"))).drop("query")
 
 
-_FOUND = """found AS (
-  SELECT b.item_id AS case_id, d.doc_id, row_number() OVER (PARTITION BY b.item_id ORDER BY d.doc_id) AS rank, contains(d.text, b.text) AS relevant
-  FROM benchmark b JOIN documents d ON contains(d.text, substr(b.text, 1, 12)))"""
+_FOUND = r"""words AS (SELECT doc_id, text, regexp_split_to_array(text, '\s+') AS w FROM documents),
+grams AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) AS g FROM words),
+heads AS (SELECT item_id, text, array_to_string(regexp_split_to_array(text, '\s+')[1:3], ' ') AS g FROM benchmark),
+found AS (
+  SELECT h.item_id AS case_id, d.doc_id, row_number() OVER (PARTITION BY h.item_id ORDER BY d.doc_id) AS rank, contains(d.text, h.text) AS relevant
+  FROM heads h JOIN grams USING (g) JOIN documents d ON d.doc_id = grams.doc_id)"""
 
 
 @query(f"""WITH {_FOUND},
@@ -161,10 +173,13 @@ scored AS (SELECT b.item_id, CASE WHEN length(b.text) < 200 THEN 'short' ELSE 'l
 SELECT kind, count(*) AS cases, sum(hit) AS hits, round(avg(rr), 6) AS mrr, round(avg(noise), 6) AS noise, round(avg(chunks), 6) AS chunks FROM scored GROUP BY ROLLUP (kind)""")
 def eval_by_kind(spark, table):
     cases = table("benchmark").select(F.col("item_id").alias("case_id"), "text", F.when(F.length("text") < 200, "short").otherwise("long").alias("kind"))
-    # Candidates: documents that hold a case's first twelve characters. The stated cases are few, all documents meet them.
-    head = cases.withColumn("head", F.substring("text", 1, 12))
-    docs = table("documents").select("doc_id", F.col("text").alias("body"))
-    found = docs.join(F.broadcast(head), F.expr("contains(body, head)"))
+    # Candidates: documents that hold a case's first three words one after another.
+    words = F.split("text", r"\s+")
+    heads = cases.select("case_id", "text", F.array_join(F.slice(words, 1, 3), " ").alias("gram"))
+    docs = table("documents").select("doc_id", F.col("text").alias("body"), words.alias("words"))
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("words") - 2), lambda n: F.array_join(F.slice("words", n, 3), " ")))
+    held = docs.where("size(words) > 2").select("doc_id", "body", F.explode(grams).alias("gram"))
+    found = held.join(heads, "gram")
     rank = F.row_number().over(Window.partitionBy("case_id").orderBy("doc_id"))
     results = found.select("case_id", rank.alias("rank"), F.expr("contains(body, text)").alias("relevant"))
     out = evaluation.by_kind(evaluation.score_cases(results, cases.select("case_id", "kind")))
