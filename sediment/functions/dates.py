@@ -18,3 +18,9 @@ def week_sunday(ts: Column) -> Column:
 def lenient_timestamp(c: Column) -> Column:
     """A time, or null if the text is none."""
     return F.try_to_timestamp(c)
+
+
+def revived(c: Column) -> Column:
+    """A date written as ISO 8601 or as milliseconds since 1970; null for anything else."""
+    number = c.cast("string").rlike(r"^-?\d+(\.0+)?$")
+    return F.when(number, F.timestamp_millis(F.when(number, c.cast("double")).cast("long"))).otherwise(F.try_to_timestamp(F.when(~number, c.cast("string"))))

@@ -139,3 +139,25 @@ def complete_objects(buffer: str, start: int = 0) -> tuple[list[dict], int]:
                 except json.JSONDecodeError:
                     continue
     return out, after
+
+
+def tool_arguments(c: Column, fields: dict[str, str], required: list[str]) -> Column:
+    """struct(arguments map<string,string>, error): a tool's arguments as JSON, checked against a closed schema.
+
+    fields maps names to string, number or boolean. error is invalid_json, not_an_object, unknown_field,
+    missing_field or wrong_type, the first that holds, or null; blank text is an empty object.
+    """
+    text = F.when(F.trim(F.coalesce(c, F.lit(""))) == "", F.lit("{}")).otherwise(c)
+    value = F.try_parse_json(text)
+    names = F.coalesce(F.json_object_keys(text), F.array().cast("array<string>"))
+    given = F.from_json(F.when(value.isNotNull() & text.rlike(r"^\s*\{"), text), "map<string,string>")
+    error = F.when(value.isNull(), "invalid_json").when(~text.rlike(r"^\s*\{"), "not_an_object")
+    error = error.when(F.size(F.array_except(names, F.array(*map(F.lit, fields)).cast("array<string>"))) > 0, "unknown_field")
+    error = error.when(F.size(F.array_except(F.array(*map(F.lit, required)).cast("array<string>"), names)) > 0, "missing_field")
+    shapes = {"string": r'^"', "number": r"^-?[0-9]", "boolean": "^(true|false)$"}
+    wrong = F.lit(False)
+    for name, kind in fields.items():
+        part = F.to_json(F.try_variant_get(value, f'$["{name}"]', "variant"))
+        wrong = wrong | F.coalesce(~part.rlike(shapes[kind]), F.lit(False))
+    error = error.when(wrong, "wrong_type")
+    return F.struct(F.when(error.isNull(), given).alias("arguments"), error.alias("error"))

@@ -79,3 +79,21 @@ def match_models(asked: DataFrame, offered: DataFrame) -> DataFrame:
     every = exact.unionByName(equal).unionByName(longer).unionByName(shorter)
     best = every.groupBy("name").agg(F.min(F.struct("priority", "best")).alias("m"))
     return asked.select("id", "name").join(best, "name").select("id", "m.best", "m.priority")
+
+
+def without_project(conversations: DataFrame, project: str = "project_id") -> DataFrame:
+    return conversations.where(F.col(project).isNull())
+
+
+def favourites(conversations: DataFrame, flag: str = "favourite") -> DataFrame:
+    return conversations.where(F.coalesce(F.col(flag), F.lit(False)))
+
+
+def most_recent(rows: DataFrame, used: str, key: str, most: int = 3) -> DataFrame:
+    """The `most` rows used last; of equally recent ones the smaller key comes first."""
+    return rows.orderBy(F.desc_nulls_last(used), key).limit(most)
+
+
+def purge_other_namespaces(cache: DataFrame, namespace: str, key: str = "key") -> DataFrame:
+    """The cache without keys of other namespaces."""
+    return cache.where(F.col(key).startswith(namespace))
