@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sediment.llm import decontaminate, line_dedup, ngram_join, packing, toxicity
-from sediment.llm.common import crc_remainder, materialize, work_folder
+from sediment.llm.common import crc_remainder, materialize, remove_work_folders, work_folder, work_folders
 from sediment.llm.queries import vocabulary
 
 
@@ -68,8 +68,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over the documents of sf_dir; each result is stored and read again."""
+    """The stages over the documents of sf_dir; each result is stored and read again, then the stage's work tables go."""
     docs, folder = spark.read.parquet(f"{sf_dir}/documents.parquet"), work_folder(spark)
+    before = work_folders()  # with the results of the stages, and all that others may still read
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), folder, name)
+        remove_work_folders(spark, keep=before)
     return docs

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 
@@ -10,6 +11,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Work folders made by each thread, for remove_work_folders.
+_MADE = threading.local()
+
 
 def work_folder(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which all executors share.
@@ -23,7 +27,28 @@ def work_folder(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir is not set: it names the folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="sediment-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/sediment-{uuid.uuid4().hex}"
+    folder = f"{root.rstrip('/')}/sediment-{uuid.uuid4().hex}"
+    _MADE.folders = [*work_folders(), folder]
+    return folder
+
+
+def work_folders() -> list[str]:
+    """The work folders that this thread has made and not removed."""
+    return getattr(_MADE, "folders", [])
+
+
+def remove_work_folders(spark: SparkSession, keep: list[str]) -> None:
+    """Delete the work folders of this thread but for those to keep; what still reads the others must have been stored before."""
+    for folder in set(work_folders()).difference(keep):
+        forget(spark, *folder.rsplit("/", 1))
+    _MADE.folders = [f for f in work_folders() if f in keep]
+
+
+def forget(spark: SparkSession, folder: str, *names: str) -> None:
+    """Delete tables of a work folder that nothing reads any more."""
+    for name in names:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, folder: str, name: str, partition_by: str | None = None) -> DataFrame:
@@ -52,6 +77,14 @@ def plain_name(df: DataFrame, added: list[str]) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.lower() in {a.lower() for a in added}])
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with underscores added until no column of df is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def connected_components(edges: DataFrame, folder: str, rounds: int = 40) -> DataFrame:
     """(node, component): the smallest node reachable over edges (u, v), by alternating large and small stars.
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sediment.llm.common import materialize, sliced, work_folder
+from sediment.llm.common import free_name, materialize, sliced, work_folder
 
 WORD = re.compile(r"[^\W_]+")
 STEP = 10  # words between two passages
@@ -344,5 +344,6 @@ def _verify(found: dict, texts: list[bytes], sums: np.ndarray, inside: np.ndarra
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, settings: Settings | None = None) -> DataFrame:
     """docs less those that match an item; rows with a null id stay."""
-    gone = find_matches(docs, benchmark, settings).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    name = free_name(docs, "_gone")
+    gone = find_matches(docs, benchmark, settings).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col(name), "left_anti")

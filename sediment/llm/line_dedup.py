@@ -9,7 +9,7 @@ count that it has in its run.
 
 Defined results: a null or empty text is one empty line; a null text stays null; rows with a null
 id are returned unchanged and are not counted; a repeated row counts as the same document and gets
-the same decision; an empty table gives an empty table; other columns pass through, except that the
+the same decision; texts of any length are read whole; an empty table gives an empty table; other columns pass through, except that the
 added n_lines and n_dropped replace columns of these names.
 """
 
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sediment.llm.common import materialize, plain_name, sliced, work_folder
+from sediment.llm.common import free_name, materialize, plain_name, sliced, work_folder
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _BLANK = b" \t\n\x0b\x0c\r"
@@ -162,14 +162,15 @@ def drop_repeated_lines(
     often = materialize(store.frequent(min_docs), folder, "often")
     store.drop()
     gone = staged.select("h1", "h2", "doc").join(often, ["h1", "h2"]).where("doc < last_doc")
-    gone = gone.groupBy(F.col("doc").alias("_gone_id")).agg(F.collect_set(F.struct("h1", "h2")).alias("_gone"))
     base = plain_name(docs, ["n_lines", "n_dropped"])
-    joined = base.join(gone, F.col(id_col).cast("long") == F.col("_gone_id"), "left").drop("_gone_id")
+    gone_id, gone_keys = free_name(base, "_gone_id"), free_name(base, "_gone")
+    gone = gone.groupBy(F.col("doc").alias(gone_id)).agg(F.collect_set(F.struct("h1", "h2")).alias(gone_keys))
+    joined = base.join(gone, F.col(id_col).cast("long") == F.col(gone_id), "left").drop(gone_id)
 
     def rewrite(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in sliced(parts):
             texts, lines, dropped = [], [], []
-            for text, gone in zip(_bytes_of(part, text_col), part.column("_gone").to_pylist(), strict=True):
+            for text, gone in zip(_bytes_of(part, text_col), part.column(gone_keys).to_pylist(), strict=True):
                 all_lines = (text or b"").split(b"\n")
                 kept = all_lines
                 if gone:
@@ -180,7 +181,7 @@ def drop_repeated_lines(
                 texts.append(None if text is None else b"\n".join(kept))
             at = part.schema.get_field_index(text_col)
             out = part.set_column(at, pa.field(text_col, pa.string()), pa.array(texts, pa.binary()).cast(pa.string()))
-            out = out.drop_columns(["_gone"])
+            out = out.drop_columns([gone_keys])
             out = out.append_column("n_lines", pa.array(lines, pa.int64()))
             yield out.append_column("n_dropped", pa.array(dropped, pa.int64()))
 

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sediment.llm.common import connected_components, materialize, sliced, work_folder
+from sediment.llm.common import connected_components, forget, free_name, materialize, sliced, work_folder
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -214,6 +214,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 80, den: int =
         return F.floor((F.col("n") * (num / (num + den)) - v) / (num / den - num / (num + den)) - 1e-6)
 
     posts = materialize(matched.join(shares, "rep"), folder, "posts")
+    forget(spark, folder, "matched")
 
     def pruned(posts: DataFrame, tokens: DataFrame, name: str) -> DataFrame:
         """The posts (token, rep, n, p, v) of some tokens (token, k, g, smallest), with `left`, the tokens of the class after this one.
@@ -236,6 +237,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 80, den: int =
 
     # Round 1: each token's classes against its pivot, one that can have a partner of its own size if there is any.
     first = pruned(posts, usable, "first")
+    forget(spark, folder, "posts")
     best = F.min(F.struct((near(F.col("v")) < F.col("n")).alias("weak"), (F.col("p") - F.col("v")).alias("lone"), "rep", "n", "p", "v"))
     pivots = first.groupBy("token").agg(best.alias("pivot"), F.count("*").alias("k")).where("k > 1")
     pairs = first.select("token", "rep", "n", "p", "v", low.alias("low"), most.alias("most")).join(pivots.select("token", "pivot"), "token")
@@ -251,9 +253,11 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 80, den: int =
         return pairs.where(common >= F.ceil((F.col("n_u") + F.col("n_v")) * num / (num + den))).select("u", "v")
 
     pairs = materialize(plausible(pairs), folder, "pairs")
+    forget(spark, folder, "first")
     sets = class_sets(texts, pairs, size, folder, "sets")
     links = materialize(verified(pairs, sets, num, den), folder, "links")
     united = materialize(connected_components(links, f"{folder}/one"), folder, "united")
+    forget(spark, folder, "sets", "one")
 
     # Round 2: pairs of different components; they can share only tokens that several components have.
     label = united.select(F.col("node").alias("rep"), F.col("component").alias("comp"))
@@ -275,6 +279,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 80, den: int =
     met = met.where("xn < yn or x < y")  # two classes of one size meet once
     met = met.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
     met = materialize(met, folder, "met-all")
+    forget(spark, folder, "usable", "labelled", "second")
     met = materialize(plausible(met).join(pairs, ["u", "v"], "left_anti"), folder, "met")
     sets = class_sets(texts, met, size, folder, "more-sets")
     links = links.unionByName(verified(met, sets, num, den))
@@ -289,6 +294,6 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 80, den: int =
 
 def drop_near_copies(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs less all documents but the one with the smallest id of each component; rows with a null id stay."""
-    found = jaccard_components(docs, size, num, den, id_col, text_col)
-    gone = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    found, name = jaccard_components(docs, size, num, den, id_col, text_col), free_name(docs, "_gone")
+    gone = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(name)).distinct()
+    return docs.join(gone, F.col(id_col).cast("long") == F.col(name), "left_anti")

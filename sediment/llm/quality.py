@@ -7,7 +7,8 @@ them are exact blocked products, and its nearest `neighbours` vote with weights
 cosine. Votes are set right for the share of each label among all labelled documents.
 
 Defined results: a null or empty text has the zero vector and scores the share of label 1; repeated
-rows get equal scores; other columns pass through (added names replace clashing ones); without
+rows get equal scores; texts of any length are read whole; of equally near neighbours at the last place
+those with the smallest ids vote; other columns pass through (added names replace clashing ones); without
 labels every score is 0.
 """
 
@@ -87,6 +88,9 @@ def score_quality(docs: DataFrame, model: Neighbours, text_col: str = "text", ne
                     cos = x @ m.vectors.T
                     near = np.argpartition(cos, -k, axis=1)[:, -k:]
                     own = np.take_along_axis(cos, near, axis=1)
+                    last = own.min(axis=1, keepdims=True)
+                    for r in np.flatnonzero((cos == last).sum(axis=1) > (own == last).sum(axis=1)).tolist():  # a tie at the last place
+                        near[r] = np.lexsort((np.arange(cos.shape[1]), -cos[r]))[:k]
                     weight = np.exp(power * (own - own.max(axis=1, keepdims=True))) * m.weights[near]
                     score[full] = (weight * m.labels[near]).sum(axis=1) / weight.sum(axis=1)
                 yield part.append_column("score", pa.array(np.clip(score, 0, 1)))

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sediment.llm.common import materialize, plain_name, work_folder
+from sediment.llm.common import free_name, materialize, plain_name, work_folder
 
 GRAM = 32
 BLOCK = 2_000_000  # bytes hashed at a time; a longer text is a block of its own
@@ -354,21 +354,22 @@ def remove_repeats(
     """docs with kept (the bytes left), n_bytes, n_removed and n_spans."""
     spark, folder = docs.sparkSession, work_folder(docs.sparkSession)
     base = plain_name(docs, ["kept", "n_bytes", "n_removed", "n_spans"]).withColumn(text_col, F.col(text_col).cast("string"))
-    keyed = materialize(base.withColumn("_uid", F.monotonically_increasing_id()), folder, "texts")
-    ranges = repeated_ranges(keyed.select(F.col("_uid").alias("uid"), F.col(text_col).alias("text")), length, folder, shard_contexts)
-    ranges = ranges.groupBy("uid").agg(F.collect_set(F.struct("a", "b")).alias("_ranges"))
-    ranges = materialize(ranges.withColumnRenamed("uid", "_range_uid"), folder, "ranges")
-    ids = ranges.select(F.col("_range_uid").alias("_uid"))
+    own_uid, own_ranges = free_name(base, "_uid"), free_name(base, "_ranges")
+    keyed = materialize(base.withColumn(own_uid, F.monotonically_increasing_id()), folder, "texts")
+    ranges = repeated_ranges(keyed.select(F.col(own_uid).alias("uid"), F.col(text_col).alias("text")), length, folder, shard_contexts)
+    ranges = ranges.groupBy(F.col("uid").alias(own_uid)).agg(F.collect_set(F.struct("a", "b")).alias(own_ranges))
+    ranges = materialize(ranges, folder, "ranges")
+    ids = ranges.select(own_uid)
     few = ids.count() <= BROADCAST_IDS
     ids = F.broadcast(ids) if few else ids
-    touched = keyed.join(ids, "_uid", "left_semi").join(ranges, F.col("_uid") == F.col("_range_uid")).drop("_uid", "_range_uid")
-    clean = keyed.join(ids, "_uid", "left_anti").drop("_uid")
-    clean = clean.withColumn("_ranges", F.lit(None).cast(ranges.schema["_ranges"].dataType))
+    touched = keyed.join(ids, own_uid, "left_semi").join(ranges, own_uid).drop(own_uid)
+    clean = keyed.join(ids, own_uid, "left_anti").drop(own_uid)
+    clean = clean.withColumn(own_ranges, F.lit(None).cast(ranges.schema[own_ranges].dataType))
 
     def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             rows = []
-            for text, own in zip(part.column(text_col).cast(pa.binary()).to_pylist(), part.column("_ranges").to_pylist(), strict=True):
+            for text, own in zip(part.column(text_col).cast(pa.binary()).to_pylist(), part.column(own_ranges).to_pylist(), strict=True):
                 text, kept, at, spans = text or b"", [], 0, 0
                 end = -1
                 for a, b in sorted((r["a"], r["b"]) for r in own or ()):
@@ -379,7 +380,7 @@ def remove_repeats(
                 kept.append(text[max(at, 0) :])
                 left = b"".join(kept)
                 rows.append((left, len(text), len(text) - len(left), spans))
-            out = part.drop_columns(["_ranges"])
+            out = part.drop_columns([own_ranges])
             cols = list(zip(*rows, strict=True)) or [()] * 4
             for name, col in zip(("kept", "n_bytes", "n_removed", "n_spans"), cols, strict=True):
                 out = out.append_column(name, pa.array(col, pa.binary() if name == "kept" else pa.int64()))
