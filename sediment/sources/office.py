@@ -137,7 +137,10 @@ def pptx_text(data: bytes, ocr: Callable[[bytes], str] | None = None) -> str:
 
 
 def zip_entries(data: bytes, most_chars: int = 200_000) -> Iterator[tuple[str, str | None, str | None]]:
-    """(path, text, skipped): entries of a repository; paths are looked at before contents are read, bad entries are told."""
+    """(path, text, skipped): entries of a repository; paths and sizes are looked at before contents are read, bad entries are told.
+
+    A character takes four bytes at most, so no more than that of an entry is ever unpacked, whatever its header says.
+    """
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         infos = [i for i in z.infolist() if not i.is_dir()]
         tops = {i.filename.split("/", 1)[0] if "/" in i.filename else None for i in infos}
@@ -148,7 +151,9 @@ def zip_entries(data: bytes, most_chars: int = 200_000) -> Iterator[tuple[str, s
                 yield path, None, "path"
                 continue
             try:
-                text = z.read(info).decode("utf-8", "replace")
+                with z.open(info) as entry:
+                    raw = entry.read(4 * most_chars + 1)
+                text = raw.decode("utf-8", "replace")
             except (zipfile.BadZipFile, OSError, NotImplementedError):
                 yield path, None, "unreadable"
                 continue
@@ -158,7 +163,7 @@ def zip_entries(data: bytes, most_chars: int = 200_000) -> Iterator[tuple[str, s
             elif not text.strip():
                 yield path, None, "empty"
             else:
-                yield (path, text, None) if len(text) <= most_chars else (path, None, "large")
+                yield (path, text, None) if len(text) <= most_chars and len(raw) <= 4 * most_chars else (path, None, "large")
 
 
 READERS = {"docx": docx_text, "xlsx": xlsx_text, "pptx": pptx_text}

@@ -126,6 +126,10 @@ def test_zip_and_docx(spark, tmp_path):
             z.writestr(name, data)
     got = {r["path"]: (r["text"], r["skipped"]) for r in office.read_repositories(spark, str(tmp_path)).collect()}
     assert got == {"a.py": ("x = 1", None), "node_modules/b.js": (None, "path"), "c.bin": (None, "binary"), "d.txt": (None, "empty")}
+    with zipfile.ZipFile(tmp_path / "big.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("a/long.txt", "x" * 5_000_000)
+        z.writestr("a/wide.txt", "漢" * 200_000)
+    assert [(p, t is None, s) for p, t, s in office.zip_entries((tmp_path / "big.zip").read_bytes())] == [("long.txt", True, "large"), ("wide.txt", False, None)]
     ns = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
     buffer = io.BytesIO()
     with zipfile.ZipFile(buffer, "w") as z:
