@@ -10,21 +10,6 @@ from pyspark.sql import functions as F
 from sediment.functions.text import is_numeric_cell, strip, tr_lower
 
 
-def html_table(c: Column) -> Column:
-    """A table's rows between pipes, short rows padded, with a rule after the first; no rows give an empty text."""
-    def text(cell: Column) -> Column:
-        plain = strip(F.regexp_replace(F.regexp_replace(cell, "<[^>]+>", " "), r"\s+", " "))
-        return F.replace(plain, F.lit("|"), F.lit("\\|"))
-
-    rows = F.transform(F.regexp_extract_all(c, F.lit(r"(?is)<tr[^>]*>(.*?)</tr>")), lambda r: F.transform(F.regexp_extract_all(r, F.lit(r"(?is)<t[dh][^>]*>(.*?)</t[dh]>")), text))
-    rows = F.filter(rows, lambda r: F.size(r) > 0)
-    wide = F.coalesce(F.array_max(F.transform(rows, F.size)), F.lit(0))
-    lines = F.transform(rows, lambda r: F.concat(F.lit("| "), F.array_join(F.concat(r, F.array_repeat(F.lit(""), wide - F.size(r))), " | "), F.lit(" |")))
-    rule = F.concat(F.lit("|"), F.repeat(F.lit(" --- |"), wide))
-    whole = F.concat(F.slice(lines, 1, 1), F.array(rule), F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))))
-    return F.when(F.size(lines) > 0, F.array_join(whole, "\n")).otherwise("")
-
-
 def channel(c: Column, name: str) -> Column:
     """The messages of one channel of a reply in channels, joined by line breaks."""
     found = F.regexp_extract_all(c, F.lit(rf"(?s)<\|channel\|>{name}<\|message\|>(.*?)(?=<\|end\|>|<\|return\|>|<\|channel\|>|<\|start\|>|$)"))

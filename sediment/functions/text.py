@@ -27,36 +27,11 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, TRIM, "")
 
 
-def _words(c: Column) -> tuple[Column, Column]:
-    """Arrays of the parts of words, and of the hyphenated words as wholes.
-
-    The whole text is lowered, folded and rid of suffixes after apostrophes first, so that one split
-    gives all parts; only hyphenated words are looked at one by one.
-    """
-    text = F.translate(tr_lower(F.coalesce(c, F.lit(""))), FOLD_FROM, FOLD_TO)
-    text = F.regexp_replace(text, r"['’][\p{L}\p{N}'’-]*", "")
-    compound = F.regexp_extract_all(text, F.lit(r"(?<![\p{L}\p{N}])([\p{L}\p{N}]+(?:-+[\p{L}\p{N}]+)+)"), F.lit(1))
-    wholes = F.when(F.instr(text, "-") > 0, F.transform(compound, lambda x: F.translate(x, "-", ""))).otherwise(F.array().cast("array<string>"))
-    return F.split(text, r"[^\p{L}\p{N}]+"), wholes
-
-
 def is_term(c: Column) -> Column:
     """Two characters or more, or a digit."""
     return (F.length(c) >= 2) | c.rlike("[0-9]")
 
 
-def rough_terms(c: Column) -> Column:
-    """The terms of a text and some words that are none (see is_term), for a caller that filters them after exploding."""
-    parts, wholes = _words(c)
-    return F.concat(parts, wholes)
-
-
-def term_bag(c: Column) -> Column:
-    """The terms of a text as tokens gives them, in another order: parts first, then the wholes of hyphenated words."""
-    parts, wholes = _words(c)
-    return F.concat(F.filter(parts, is_term), wholes)
-
-
 def tokens(c: Column) -> Column:
     """Search terms: letters and digits; a suffix after an apostrophe is cut; a hyphenated word gives its whole and its parts.
 
@@ -122,24 +97,24 @@ def _tag_text(piece: Column) -> Column:
     return F.when(piece.rlike("^<[^>]+>$"), text).otherwise(piece)
 
 
-def _table_rows(table: Column) -> Column:
-    """A table's rows as lines of cells between pipes, with a rule after the first."""
-    rows = F.regexp_extract_all(table, F.lit(r"(?is)<tr[^a-z].*?(?=<tr[^a-z]|</table)"), F.lit(0))
-
-    def line(row: Column) -> Column:
-        cells = F.regexp_extract_all(row, F.lit(r"(?is)<t[hd](?:\s[^>]*)?>(.*?)(?=<t[hd][\s>]|</t[hdr]|</t(?:able|body)|$)"), F.lit(1))
-        return F.concat(F.lit("| "), F.array_join(F.transform(cells, lambda x: strip(F.regexp_replace(F.regexp_replace(x, "<[^>]+>", " "), r"\s+", " "))), " | "), F.lit(" |"))
+def html_table(c: Column) -> Column:
+    """A table's rows between pipes, short rows padded, pipes in cells escaped, with a rule after the first; no rows give an empty text."""
+    def text(cell: Column) -> Column:
+        plain = strip(F.regexp_replace(F.regexp_replace(cell, "<[^>]+>", " "), r"\s+", " "))
+        return F.replace(plain, F.lit("|"), F.lit("\\|"))
 
-    lines = F.transform(rows, line)
-    columns = F.size(F.split(lines[0], r" \| "))
-    rule = F.concat(F.lit("|"), F.repeat(F.lit(" --- |"), columns))
+    rows = F.transform(F.regexp_extract_all(c, F.lit(r"(?is)<tr[^>]*>(.*?)</tr>")), lambda r: F.transform(F.regexp_extract_all(r, F.lit(r"(?is)<t[dh][^>]*>(.*?)</t[dh]>")), text))
+    rows = F.filter(rows, lambda r: F.size(r) > 0)
+    wide = F.coalesce(F.array_max(F.transform(rows, F.size)), F.lit(0))
+    lines = F.transform(rows, lambda r: F.concat(F.lit("| "), F.array_join(F.concat(r, F.array_repeat(F.lit(""), wide - F.size(r))), " | "), F.lit(" |")))
+    rule = F.concat(F.lit("|"), F.repeat(F.lit(" --- |"), wide))
     whole = F.concat(F.slice(lines, 1, 1), F.array(rule), F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))))
-    return F.when(F.size(rows) > 0, F.concat(F.lit("\n\n"), F.array_join(whole, "\n"), F.lit("\n\n"))).otherwise("")
+    return F.when(F.size(lines) > 0, F.array_join(whole, "\n")).otherwise("")
 
 
 def html_to_text(c: Column) -> Column:
     """Plain text of HTML: tables as rows between pipes, block ends as line breaks, bullets, pictures as marks, other tags gone, six entities decoded."""
-    tables = _pieces(c, r"(?is)<table[^>]*>.*?</table>|(?:(?!<table[^>]*>.*?</table>).)+", lambda x: F.when(x.rlike("(?i)^<table"), _table_rows(x)).otherwise(x))
+    tables = _pieces(c, r"(?is)<table[^>]*>.*?</table>|(?:(?!<table[^>]*>.*?</table>).)+", lambda x: F.when(x.rlike("(?i)^<table"), F.concat(F.lit("\n\n"), html_table(x), F.lit("\n\n"))).otherwise(x))
     text = F.when(F.lower(c).contains("<table"), tables).otherwise(c)
     text = _pieces(text, r"<[^>]+>|[^<]+|<", _tag_text)
     text = F.regexp_replace(text, "(?i)&amp;", "&")

@@ -11,29 +11,34 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sediment.functions.text import chunk_label, term_bag, token_estimate, tokens
+from sediment.functions.text import chunk_label, token_estimate, tokens
 from sediment.functions.vectors import cosine
 from sediment.operators.chunking import compress
 from sediment.operators.classify import with_parameters
-from sediment.operators.lexical import B, K1, idf
+from sediment.operators.lexical import cut, idf, tf_part
 from sediment.operators.select import mmr
+from sediment.sources.work import stored
 
 RRF_K = 60
 #: Questions of one search, whose vectors and terms every task gets.
 QUESTIONS = 2000
 
 
-def batch_hybrid(questions: DataFrame, chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "content", vector_col: str = "embedding") -> DataFrame:
+def batch_hybrid(
+    questions: DataFrame, chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "content", vector_col: str = "embedding", toks: DataFrame | None = None
+) -> DataFrame:
     """(question_id, chunk_id, score) for questions with top_k and threshold: both legs cut to 4 * top_k, fused, the best 1.0.
 
     A question none of whose terms occurs keeps its dense scores. Chunks without a vector are in no leg.
     The questions are counted first: more than QUESTIONS are asked in blocks, so that what is broadcast
-    does not grow with them.
+    does not grow with them. The texts are cut once, for all blocks (toks, as lexical.cut gives them).
     """
+    if toks is None:
+        toks = stored(cut(chunks.where(F.size(vector_col) > 0), id_col, text_col), "cut")
     blocks = -(-questions.count() // QUESTIONS)
     if blocks > 1:
         dealt = questions.withColumn("_block", F.pmod(F.xxhash64("question_id"), F.lit(blocks)))
-        parts = [batch_hybrid(dealt.where(F.col("_block") == n).drop("_block"), chunks, id_col, text_col, vector_col) for n in range(blocks)]
+        parts = [batch_hybrid(dealt.where(F.col("_block") == n).drop("_block"), chunks, id_col, text_col, vector_col, toks) for n in range(blocks)]
         out = parts[0]
         for part in parts[1:]:
             out = out.unionByName(part)
@@ -47,12 +52,11 @@ def batch_hybrid(questions: DataFrame, chunks: DataFrame, id_col: str = "chunk_i
 
     # Postings of the asked terms only; lengths and counts come from the same scan.
     terms = asked.select("question_id", "top_k", F.explode("terms").alias("term"))
-    toks = chunks.select(id_col, term_bag(F.col(text_col)).alias("toks")).withColumn("dl", F.size("toks"))
     stats = toks.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    post = toks.select(id_col, "dl", F.explode("toks").alias("term")).join(F.broadcast(terms.select("term").distinct()), "term", "left_semi")
-    post = post.groupBy(id_col, "dl", "term").agg(F.count("*").alias("tf"))
+    post = toks.select(F.col("id").alias(id_col), "dl", F.explode(F.arrays_zip("terms", "tfs")).alias("x"))
+    post = post.select(id_col, "dl", F.col("x.terms").alias("term"), F.col("x.tfs").alias("tf")).join(F.broadcast(terms.select("term").distinct()), "term", "left_semi")
     df = post.groupBy("term").agg(F.count("*").alias("df"))
-    part = idf(F.col("n"), F.col("df")) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    part = idf(F.col("n"), F.col("df")) * tf_part(F.col("tf"), F.col("dl"), F.col("avgdl"))
     lex = post.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats)).join(F.broadcast(terms), "term")
     lex = lex.groupBy("question_id", id_col).agg(F.sum(part).alias("score"), F.first("top_k").alias("top_k"))
     lex = lex.withColumn("rank", F.row_number().over(best)).where("rank <= 4 * top_k").select("question_id", id_col, "score", "rank")

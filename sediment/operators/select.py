@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,23 +33,29 @@ def pack_stop(rows: DataFrame, group: list[str], order: list, cost: str, budget:
 def pack_skip(rows: DataFrame, group: list[str], order: str, cost: str, budget: float, row_id: str, most: int | None = None) -> DataFrame:
     """(group, row_id, used) of the rows that fit one after another; a row that does not fit is passed over, as are all after `most`.
 
-    A group's ids and costs are gone through in one task: it is one query's candidates or one repository's files.
+    What fits depends on all that went before, so a group's ids and costs are gone through in one task;
+    they stream by in order, many groups to a task, and only the running cost is held. Rows over the
+    budget by themselves, or without a cost, are left out before the shuffle.
     """
     kinds = {f.name: f.dataType for f in rows.schema}
     schema = T.StructType([*(T.StructField(g, kinds[g]) for g in group), T.StructField(row_id, kinds[row_id]), T.StructField("used", T.DoubleType())])
 
-    def choose(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["_order", row_id], kind="stable")
-        used, kept, sums = 0.0, [], []
-        for n, x in enumerate(part["_cost"].tolist()):
-            if used + x <= budget and (most is None or len(kept) < most):
-                used += x
-                kept.append(n)
-                sums.append(used)
-        return part.iloc[kept][[*group, row_id]].assign(used=sums)
-
-    slim = rows.select(*group, row_id, F.col(order).alias("_order"), F.col(cost).cast("double").alias("_cost"))
-    return slim.groupBy(*group).applyInPandas(choose, schema)
+    def choose(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, used, count = None, 0.0, 0
+        for part in parts:
+            keys = zip(*(part.column(g).to_pylist() for g in group), strict=True)
+            kept, sums = [], []
+            for n, (key, x) in enumerate(zip(keys, part.column("_cost").to_pylist(), strict=True)):
+                if key != own:
+                    own, used, count = key, 0.0, 0
+                if used + x <= budget and (most is None or count < most):
+                    used, count = used + x, count + 1
+                    kept.append(n)
+                    sums.append(used)
+            yield part.drop_columns(["_order", "_cost"]).take(pa.array(kept, pa.int64())).append_column("used", pa.array(sums, pa.float64()))
+
+    slim = rows.select(*group, row_id, F.col(order).alias("_order"), F.col(cost).cast("double").alias("_cost")).where(F.col("_cost") <= budget)
+    return slim.repartition(*group).sortWithinPartitions(*group, F.asc_nulls_last("_order"), row_id).mapInArrow(choose, schema)
 
 
 def first_of_equal(rows: DataFrame, content: str, order: list) -> DataFrame:

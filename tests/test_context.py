@@ -12,7 +12,7 @@ def one(spark, f, *values):
 
 def test_formats(spark):
     table = "<table><tr><th>a</th><th>b|c</th></tr><tr><td> <b>1</b> </td></tr></table>"
-    assert one(spark, fm.html_table, table) == "| a | b\\|c |\n| --- | --- |\n| 1 |  |"
+    assert one(spark, tx.html_table, table) == "| a | b\\|c |\n| --- | --- |\n| 1 |  |"
     reply = "<|channel|>analysis<|message|>think<|end|><|channel|>final<|message|>yes<|return|>"
     assert one(spark, lambda c: fm.channel(c, "final"), reply) == "yes" and one(spark, lambda c: fm.channel(c, "analysis"), reply) == "think"
     assert one(spark, fm.is_complete, reply)
