@@ -85,12 +85,13 @@ def score_quality(docs: DataFrame, model: Neighbours, text_col: str = "text", ne
                 full = np.array([i for i, t in enumerate(texts) if t], "i8")
                 if k and len(full):
                     x = _unit(weighted(gram_counts([texts[i].encode() for i in full], DIMS, SIZES), m.idf) @ m.axes)
-                    cos = x @ m.vectors.T
+                    cos = np.round(x @ m.vectors.T, 6)  # so that equal vectors tie wherever they stand in a block
                     near = np.argpartition(cos, -k, axis=1)[:, -k:]
                     own = np.take_along_axis(cos, near, axis=1)
                     last = own.min(axis=1, keepdims=True)
                     for r in np.flatnonzero((cos == last).sum(axis=1) > (own == last).sum(axis=1)).tolist():  # a tie at the last place
                         near[r] = np.lexsort((np.arange(cos.shape[1]), -cos[r]))[:k]
+                        own[r] = cos[r, near[r]]
                     weight = np.exp(power * (own - own.max(axis=1, keepdims=True))) * m.weights[near]
                     score[full] = (weight * m.labels[near]).sum(axis=1) / weight.sum(axis=1)
                 yield part.append_column("score", pa.array(np.clip(score, 0, 1)))
