@@ -12,7 +12,6 @@ from every text is `und`.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,7 +25,6 @@ from sediment.llm.common import plain_name, sliced, work_folder
 from sediment.llm.features import LETTERS, gram_counts, inverse_frequency, sample_per_value, weighted
 
 DIMS = 4096
-LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
 
 
@@ -39,6 +37,11 @@ class Centroids:
     reach: np.ndarray  # least cosine that is not rejected, of each centroid
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character is of Unicode's category L; fractions, circled and raised figures are none."""
+    return any(map(str.isalpha, text))
+
+
 def cleaned(text: str | None) -> bytes:
     return text.lower().encode().translate(LETTERS) if text else b""
 
@@ -100,7 +103,7 @@ def predict(docs: DataFrame, model: Centroids, text_col: str = "text", reject: b
             for at in range(0, whole.num_rows, 500):
                 part = whole.slice(at, 500)
                 texts = part.column(text_col).to_pylist()
-                known = np.array([bool(t and LETTER.search(t)) for t in texts], bool) & bool(m.langs)
+                known = np.array([bool(t and has_letter(t)) for t in texts], bool) & bool(m.langs)
                 lang, score, far = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
                 if known.any():
                     cos = weighted(gram_counts([cleaned(t) for t in texts], DIMS), m.idf) @ m.centres.T
