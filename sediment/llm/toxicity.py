@@ -22,7 +22,7 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -84,16 +84,29 @@ class Lexicon(dict):
         if len(self) > 300_000:
             self.clear()
             self.columns = [array("i") for _ in range(3)]
+        return self.read_words(map(words_of, texts))
+
+    def read_words(self, found: Iterable[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """The same of texts that are cut into words."""
         get, rows = self.__getitem__, [np.zeros(0, "i8")]
-        for text in texts:
-            words = words_of(text)
+        for words in found:
             rows.append(np.fromiter(map(get, words), "i8", len(words)))
         at = np.concatenate(rows)
         return np.stack([np.frombuffer(c, "i4")[at] for c in self.columns]) if len(at) else np.zeros((3, 0), "i4"), np.array([len(r) for r in rows[1:]], "i8")
 
 
+def places_of(text: str) -> list[tuple[int, int]]:
+    """First and last offset of each word in the text as it stands: some capitals are two characters when lowered, and cut a word then."""
+    return [h.span() for h in WORD.finditer(text)]
+
+
 def words_of(text: str | None) -> list[str]:
-    return WORD.findall(text.lower()) if text else []
+    """The lowered words of a text, one for each of its places."""
+    if not text:
+        return []
+    low = text.lower()
+    # Equal lengths: every character was lowered to one, so that words stand where they stood.
+    return WORD.findall(low) if len(low) == len(text) else [w.lower() for w in WORD.findall(text)]
 
 
 def neighbours(sizes: np.ndarray) -> np.ndarray:
@@ -218,10 +231,8 @@ def tagged_segments(labelled: DataFrame, odds: list[dict[str, float]], strong: f
                 strong_words, words = broad.value[fold], words_of(text)
                 for at in range(0, len(words), SEGMENT):
                     own = words[at : at + SEGMENT]
-                    features = lexicon.read([" ".join(own)])[0]
                     tags = bytes(bool(toxic) and w in strong_words for w in own)
-                    if features.shape[1] == len(own):
-                        rows.append((doc, at, features.astype("<i4").tobytes(), tags))
+                    rows.append((doc, at, lexicon.read_words([own])[0].astype("<i4").tobytes(), tags))
             cols = list(zip(*rows, strict=True)) or [()] * 4
             kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "place", "features", "tags"])
@@ -299,10 +310,9 @@ def score_toxicity(docs: DataFrame, model: Field, text_col: str = "text", span_a
                 hits = np.flatnonzero(p >= span_at)
                 owner = np.searchsorted(np.cumsum(sizes), hits, side="right")
                 for doc in np.unique(owner).tolist():
-                    places = [(h.start(), h.end()) for h in WORD.finditer(texts[doc])]
+                    places = places_of(texts[doc])
                     for k in (hits[owner == doc] - starts[doc]).tolist():
-                        if k < len(places):
-                            found[doc].append({"start": places[k][0], "end": places[k][1]})
+                        found[doc].append({"start": places[k][0], "end": places[k][1]})
                 out = out.append_column("toxic_spans", pa.array(found, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))))
             if raw:
                 out = out.append_column("raw", pa.array(x.tolist(), pa.list_(pa.float64())))
