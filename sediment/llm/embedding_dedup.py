@@ -1,7 +1,8 @@
 """Embedding near-duplicates: a navigable small-world graph per shard, queried by every vector.
 
-Equal vectors are one class. Classes are dealt to shards by hash; each shard's graph is built in a
-task and stored. Every class is then searched for in every shard, by tasks that hold one graph and
+Equal vectors are one class, numbered in the order of their smallest ids. Classes of each length are
+dealt to shards by hash; each shard's graph is built in a task and stored. Every class is then
+searched for in every shard of its length, by tasks that hold one graph and
 read queries as they come. Audits set the beam, which is doubled up to the shard's size: at first
 vectors just above the threshold from known nodes must find them; then a few queries of each block
 are compared with the whole shard, and each must have found the share `recall` of its links, itself
@@ -9,10 +10,11 @@ left out. Cosines are of double precision. A block gives the number of links of
 edges of a spanning forest of the links it found, so a large group of near copies gives no row per
 pair; the forests are united over Spark. `audited_recall` tells what the audits saw.
 
-Defined results: a vector that is null, zero, of another length than most, or that holds a null or
-non-finite component links with nothing; rows with a null id are left out; repeated ids are taken
-once (the smallest vector by its bytes); a cosine equal to the threshold is a link; an empty table
-gives none.
+Defined results: one row for each row given; a vector that is null, zero, or that holds a null or
+non-finite component links with nothing; vectors link with those of their own length; rows of a null
+or repeated id are vectors of their own, so equal ones link with each other; a null id is the last of
+all in a component, and never kept; a cosine equal to the threshold is a link; other columns are not
+read, whatever their names; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -51,7 +53,7 @@ def unit_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
                 dims.append(len(x) if v is not None else None)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(dims, pa.int32()), pa.array(out, pa.binary())], names=["vec_id", "dims", "v"])
 
-    rows = vectors.select(F.col(id_col).cast("long"), F.col(vector_col).cast("array<double>")).where(F.col(id_col).isNotNull())
+    rows = vectors.select(F.col(id_col).cast("long"), F.col(vector_col).cast("array<double>"))
     return rows.mapInArrow(clean, "vec_id long, dims int, v binary")
 
 
@@ -136,10 +138,15 @@ def found_links(
     what is moved is the queries once for each shard, and a graph for each `task_rows` of them.
     """
     spark = classes.sparkSession
-    n = classes.count()
-    shards = max(least_shards, -(-n // shard_rows))
-    parts = max(1, -(-n // task_rows), -(-spark.sparkContext.defaultParallelism // shards))
-    dealt = classes.withColumn("shard", F.pmod(F.xxhash64("rep"), F.lit(shards)).cast("int"))
+    lengths, shards, n = [], 0, 0  # a row for each length of vectors
+    for r in classes.groupBy("dims").count().orderBy("dims").collect():
+        own = max(min(least_shards, -(-r["count"] // 100)), -(-r["count"] // shard_rows))
+        lengths.append((r["dims"], shards, own))
+        shards, n = shards + own, max(n, r["count"])
+    parts = max(1, -(-n // task_rows), -(-spark.sparkContext.defaultParallelism // max(1, shards)))
+    lengths = spark.createDataFrame(lengths, "dims int, first int, own int")
+    classes = classes.join(F.broadcast(lengths), "dims")
+    dealt = classes.select((F.col("first") + F.pmod(F.xxhash64("rep"), F.col("own"))).cast("int").alias("shard"), "rep", "many", "v")
 
     def build(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("rep").sample(frac=1, random_state=2)
@@ -152,8 +159,8 @@ def found_links(
     graphs = materialize(graphs, folder, "graphs")
     graphs = graphs.select("shard", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "piece", F.lit(None).cast("long").alias("rep"), "v")
     part = F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(parts)).cast("int").alias("part")
-    queries = classes.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), part, F.lit(2**31 - 1).alias("piece"), "rep", "v")
-    both = graphs.unionByName(queries).repartitionById(shards * parts, F.col("shard") * parts + F.col("part")).sortWithinPartitions("piece")
+    queries = classes.select(F.explode(F.sequence(F.col("first"), F.col("first") + F.col("own") - 1)).alias("shard"), part, F.lit(2**31 - 1).alias("piece"), "rep", "v")
+    both = graphs.unionByName(queries).repartitionById(max(1, shards * parts), F.col("shard") * parts + F.col("part")).sortWithinPartitions("piece")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, searcher = [], None
@@ -189,28 +196,32 @@ def audited_recall(found: DataFrame) -> DataFrame:
 
 
 def classes_of(vectors: DataFrame, folder: str, id_col: str = "vec_id", vector_col: str = "embedding") -> tuple[DataFrame, DataFrame]:
-    """Stored (vec_id, v) of all ids, and (v, rep, many) of the distinct unit vectors that can link."""
-    units = unit_vectors(vectors, id_col, vector_col).groupBy("vec_id").agg(F.min(F.struct("dims", "v")).alias("x"))
-    units = materialize(units.select("vec_id", "x.dims", "x.v"), folder, "units")
-    usual = units.where("v is not null").groupBy("dims").count().orderBy(F.desc("count"), "dims").limit(1).select("dims").collect()
-    usual = usual[0]["dims"] if usual else -1
-    whole = units.where((F.col("dims") == usual) & F.col("v").isNotNull())
-    return units, materialize(whole.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("many")), folder, "classes")
+    """Stored (vec_id, dims, v) of all rows, and (v, dims, rep, low, many) of the distinct unit vectors that can link.
+
+    rep numbers the classes in the order of low, their smallest id: of several classes the smallest rep has the smallest id.
+    """
+    units = materialize(unit_vectors(vectors, id_col, vector_col), folder, "units")
+    found = units.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("low"), F.count("*").alias("many"), F.max("dims").alias("dims"))
+    order = [F.asc_nulls_last("low"), F.col("v")]
+    found = materialize(found, folder, "distinct").repartitionByRange(*order).sortWithinPartitions(*order)
+    return units, materialize(found.select("v", "dims", F.monotonically_increasing_id().alias("rep"), "low", "many"), folder, "classes")
 
 
 def near_duplicates(
     vectors: DataFrame, least: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = 100_000,
     least_shards: int = 6, task_rows: int = 1_000_000, beam: int = 48, recall: float = 0.99, audits: int = 48,
 ) -> DataFrame:
-    """(vec_id, n_links, component_id, kept), one row per vector id."""
+    """(vec_id, n_links, component_id, kept), one row for each row of vectors."""
     folder = work_folder(vectors.sparkSession)
     units, classes = classes_of(vectors, folder, id_col, vector_col)
     found = found_links(classes, folder, least, shard_rows, least_shards, task_rows, beam, recall, audits)
     united = connected_components(found.where("u <> v").select("u", "v"), folder)
     degree = found.where("u = v").groupBy("u").agg(F.sum("n").alias("n"))
+    lows = classes.select(F.col("rep").alias("component"), F.col("low").alias("component_id"))
     classes = classes.select("v", "rep", "many").join(degree.withColumnRenamed("u", "rep"), "rep", "left")
-    classes = classes.join(united.withColumnRenamed("node", "rep"), "rep", "left")
-    classes = classes.select("v", (F.coalesce("n", F.lit(0)) + F.col("many") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
+    classes = classes.join(united.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    classes = classes.join(lows, "component").select("v", (F.coalesce("n", F.lit(0)) + F.col("many") - 1).alias("n_links"), "component_id")
     out = units.select("vec_id", "v").join(classes, "v", "left")
-    component = F.coalesce("component", "vec_id").alias("component_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component).withColumn("kept", F.expr("vec_id = component_id"))
+    component = F.coalesce("component_id", "vec_id").alias("component_id")
+    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component)
+    return out.withColumn("kept", F.coalesce(F.expr("vec_id = component_id"), F.lit(False)))

@@ -1,5 +1,6 @@
 import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 
 from sediment.llm import embedding_dedup
 
@@ -39,10 +40,22 @@ def test_against_brute_force(spark):
 
 def test_empty_and_repeated(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (1, [1.0, 0.0]), (None, [1.0, 0.0])], "vec_id long, embedding array<float>")
-    assert [tuple(r) for r in embedding_dedup.near_duplicates(df).collect()] == [(1, 0, 1, True)]
+    got = sorted(map(str, (tuple(r) for r in embedding_dedup.near_duplicates(df).collect())))
+    assert got == ["(1, 2, 1, True)", "(1, 2, 1, True)", "(None, 2, 1, False)"]
     assert embedding_dedup.near_duplicates(df.limit(0)).collect() == []
 
 
+def test_every_row_and_length_links(spark):
+    """Repeated and null ids with different vectors, and vectors of several lengths."""
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.99, 0.01]), (None, [0.0, 2.0]), (None, [-1.0, 0.0])]
+    rows += [(n, [float(n % 2), 1.0, 0.5]) for n in range(10, 14)] + [(5, [3.0]), (6, [4.0]), (7, [-1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("dims", F.lit("clash"))
+    got = sorted(str(tuple(r)) for r in embedding_dedup.near_duplicates(df).collect())
+    want = [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (None, 1, 1, False), (None, 0, None, False)]
+    want += [(10, 1, 10, True), (12, 1, 10, False), (11, 1, 11, True), (13, 1, 11, False), (5, 1, 5, True), (6, 1, 5, False), (7, 0, 7, True)]
+    assert got == sorted(map(str, want))
+
+
 def test_audit_asks_each_query():
     """A group of 1000 must not outweigh a pair whose only link a narrow beam misses."""
 
