@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sediment.functions.hashing import content_hash
 from sediment.operators.catalog import reuse_vectors
 from sediment.operators.chunking import chunk_documents, page_numbers
 from sediment.sources.embedding import embed_missing
+from sediment.sources.store import ChunkStore
+from sediment.sources.work import stored
 
 STORE = "project_id, document_id, chunk_index, content, page, start_line, end_line, language, content_hash, embedding"
 
@@ -42,3 +45,25 @@ def index_documents(
     columns = STORE.split(", ")
     ready = chunks.where("embedding is not null").select(*columns).unionByName(lacking.where("embedding is not null").select(*columns))
     return others.select(*columns).unionByName(ready), new
+
+
+def chunk_store(spark: SparkSession, path: str, parts: int = 64) -> ChunkStore:
+    """A store of chunks in a folder; ids of projects and documents are texts."""
+    kinds = {"chunk_index": "int", "page": "int", "start_line": "int", "end_line": "int", "embedding": "array<float>"}
+    return ChunkStore(spark, path, T.StructType.fromDDL(", ".join(f"{c} {kinds.get(c, 'string')}" for c in STORE.split(", "))), parts)
+
+
+def index_into(
+    store: ChunkStore, documents: DataFrame, cache: DataFrame, embed: Callable[[list[str]], list[list[float]]], reuse: bool = True
+) -> DataFrame:
+    """Index documents (project_id, document_id, name, text) in a store; the new rows of the embedding cache.
+
+    Only the partitions of these documents are rewritten; vectors to use again are looked for in the
+    partitions of their projects.
+    """
+    documents = documents.withColumns({c: F.col(c).cast("string") for c in ("project_id", "document_id")})
+    indexed, new = index_documents(documents, store.of_projects(documents) if reuse else store.read().limit(0), cache, embed, reuse)
+    new = stored(new, "cache")
+    own = indexed.join(documents.select("document_id").distinct(), "document_id", "left_semi")
+    store.replace(documents, own.select(*[F.col(f.name).cast(f.dataType) for f in store.schema if f.name != "part"]))
+    return new

@@ -25,4 +25,4 @@ def query(sql: str | None = None):
     return add
 
 
-from sediment.plans import catalog, conversation, documents, formats, retrieval, usage  # noqa: E402, F401
+from sediment.plans import catalog, conversation, documents, formats, retrieval, stores, usage  # noqa: E402, F401
