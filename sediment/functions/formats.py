@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import re
+from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -103,26 +105,64 @@ def overflowed(body: Column) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
+@dataclass
+class ObjectScan:
+    """What is known of a text that grows: the characters from the open object on, and where the reading of them stopped.
+
+    Braces in strings do not count, nor does what follows a backslash; quotes between objects mean nothing.
+    """
+
+    tail: str = ""
+    scanned: int = 0
+    depth: int = 0
+    quoted: bool = False
+    escaped: bool = False
+
+    def feed(self, piece: str) -> list[str]:
+        """The texts of the objects that the piece ends."""
+        out: list[str] = []
+        text, at = self.tail + piece, self.scanned
+        begin = 0
+        while at < len(text):
+            if self.escaped:
+                self.escaped, at = False, at + 1
+                continue
+            found = (_MARKS if self.depth else _OPENS).search(text, at)
+            if not found:
+                at = len(text)
+                break
+            mark, at = found.group(), found.end()
+            if not self.depth:
+                begin, self.depth = found.start(), 1
+            elif mark == "\\":
+                self.escaped = True
+            elif mark == '"':
+                self.quoted = not self.quoted
+            elif not self.quoted:
+                self.depth += 1 if mark == "{" else -1
+                if not self.depth:
+                    out.append(text[begin:at])
+        if not self.depth:
+            begin = len(text)
+        self.tail, self.scanned = text[begin:], len(text) - begin
+        return out
+
+
+_OPENS, _MARKS = re.compile("{"), re.compile(r'[{}"\\]')
+
+
 def complete_objects(buffer: str, start: int = 0) -> tuple[list[dict], int]:
-    """The whole objects of a growing text from a place on, and the place after the last: braces in strings do not count."""
-    out, depth, begin, quoted, escaped, after = [], 0, -1, False, False, start
-    for n in range(start, len(buffer)):
-        c = buffer[n]
-        if quoted:
-            quoted, escaped = (c != '"' or escaped), (c == "\\" and not escaped)
+    """The whole objects of a growing text from a place on, and the place after the last; what is no JSON is passed over."""
+    scan, out = ObjectScan(), []
+    found = scan.feed(buffer[start:])
+    for text in found:
+        try:
+            out.append(json.loads(text))
+        except json.JSONDecodeError:
             continue
-        if c == '"':
-            quoted, escaped = True, False
-        elif c == "{":
-            begin, depth = (n if depth == 0 else begin), depth + 1
-        elif c == "}" and depth:
-            depth -= 1
-            if depth == 0:
-                after = n + 1
-                try:
-                    out.append(json.loads(buffer[begin : n + 1]))
-                except json.JSONDecodeError:
-                    continue
+    after = start
+    for text in found:
+        after = buffer.index(text, after) + len(text)
     return out, after
 
 
