@@ -2,23 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sediment.operators.segments import Segments
+from sediment.sources.work import stored
+
 
 def merge_ranges(rows: DataFrame, group: list[str], start: str, end: str) -> DataFrame:
     """(group, start, end): ranges of a group that overlap or touch (10-20, 21-30) are one."""
-    w = Window.partitionBy(*group).orderBy(start, end)
-    before = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    marked = rows.withColumn("_new", F.when(before.isNull() | (F.col(start) > before + 1), 1).otherwise(0))
-    island = marked.withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    parts = Segments(rows, group, [start, end])
+    marked = parts.scan(maxima={"_before": F.col(end)}, before=True)
+    marked = stored(marked.withColumn("_new", F.when(F.col("_before").isNull() | (F.col(start) > F.col("_before") + 1), 1).otherwise(0)), "marked")
+    island = parts.scan(marked, sums={"_island": F.col("_new")})
     return island.groupBy(*group, "_island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_island")
 
 
 def page_ranges(rows: DataFrame, group: list[str], page: str) -> DataFrame:
     """(group, pages): distinct pages as text, such as 1-3, 7."""
-    one = rows.select(*group, page).distinct()
-    runs = one.withColumn("_run", F.col(page) - F.row_number().over(Window.partitionBy(*group).orderBy(page)))
+    one = Segments(rows.select(*group, page).distinct(), group, [page])
+    runs = one.scan(sums={"_n": F.lit(1)}).withColumn("_run", F.col(page) - F.col("_n"))
     runs = runs.groupBy(*group, "_run").agg(F.min(page).alias("a"), F.max(page).alias("b"))
     text = F.when(F.col("a") == F.col("b"), F.col("a").cast("string")).otherwise(F.concat_ws("-", "a", "b"))
     parts = F.transform(F.sort_array(F.collect_list(F.struct("a", text.alias("t")))), lambda x: x["t"])

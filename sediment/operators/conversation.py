@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sediment.functions.text import token_estimate
+from sediment.operators.segments import Segments
 from sediment.sources.work import stored
 
 MARK = "\n\n[… cut]"
@@ -13,10 +14,9 @@ MARK = "\n\n[… cut]"
 
 def message_window(messages: DataFrame, budget: int, least: int, conv: str = "conv_id", turn: str = "turn", text: str = "text") -> DataFrame:
     """The last messages of each conversation whose tokens (four more for each) fit the budget, and at least the last `least`."""
-    back = Window.partitionBy(conv).orderBy(F.desc(turn))
-    out = messages.withColumn("tokens", token_estimate(F.col(text)) + 4)
-    out = out.withColumn("used", F.sum("tokens").over(back.rowsBetween(Window.unboundedPreceding, 0)))
-    return out.withColumn("_n", F.row_number().over(back)).where((F.col("used") <= budget) | (F.col("_n") <= least)).drop("_n")
+    back = Segments(messages.withColumn("tokens", token_estimate(F.col(text)) + 4), [conv], [F.desc(turn)])
+    out = back.scan(sums={"used": F.col("tokens"), "_n": F.lit(1)})
+    return back.plain(out.where((F.col("used") <= budget) | (F.col("_n") <= least)).drop("_n"))
 
 
 def summary_trigger(messages: DataFrame, window: DataFrame, trigger: int, done: DataFrame, conv: str = "conv_id") -> DataFrame:

@@ -56,7 +56,7 @@ def fork_prefix(spark, table):
     return cv.fork(messages, forks).select("conv_id", "turn", "forked_from")
 
 
-_FORKS = "(SELECT DISTINCT conv_id, CASE WHEN conv_id % 7 = 0 THEN -1 ELSE conv_id // 2 END AS parent_id FROM conversations WHERE conv_id > 0)"
+_FORKS = "(SELECT DISTINCT conv_id, CASE WHEN conv_id % 7 = 0 THEN -1 ELSE conv_id // 2 END AS parent_id FROM conversations)"
 
 
 @query(f"""WITH RECURSIVE t(conv_id, root, depth) AS (
@@ -64,7 +64,7 @@ _FORKS = "(SELECT DISTINCT conv_id, CASE WHEN conv_id % 7 = 0 THEN -1 ELSE conv_
   UNION ALL SELECT n.conv_id, t.root, t.depth + 1 FROM {_FORKS} n JOIN t ON n.parent_id = t.conv_id)
 SELECT conv_id, root, depth FROM t""")
 def fork_tree_depth(spark, table):
-    ids = table("conversations").where("conv_id > 0").select("conv_id").distinct()
+    ids = table("conversations").select("conv_id").distinct()
     parent = F.when(F.col("conv_id") % 7 == 0, F.lit(-1).cast("long")).otherwise(F.expr("conv_id div 2"))
     return cv.fork_depth(ids.withColumn("parent_id", parent))
 

@@ -68,11 +68,13 @@ def request_limits(spark, table):
     return used.select("conv_id", "used", tx.output_limit(F.col("conv_id") * 40, F.col("used"), 1600, 1500, 512).alias("most"))
 
 
-@query("""WITH f AS (SELECT conv_id, turn, text, CAST(ceil(length('--- ' || turn || ' ---' || chr(10) || text) / 3.5) AS INT) + 1 AS cost FROM conversations WHERE text NOT LIKE '%```%'),
+@query(r"""WITH whole AS (SELECT conv_id, turn, text, '--- ' || turn || ' ---' || chr(10) || text AS shown FROM conversations),
+fenced AS (SELECT *, coalesce(list_sum(list_transform(regexp_extract_all(shown, '(?s)```.*?```'), lambda x: length(x))), 0) AS code FROM whole),
+f AS (SELECT *, CAST(ceil((length(shown) - code) / 3.5) + ceil(code / 4) AS INT) + 1 AS cost FROM fenced),
 r AS (SELECT *, sum(cost) OVER (PARTITION BY conv_id ORDER BY turn) - cost AS begin FROM f)
 SELECT conv_id, turn, begin + cost > 120 AS cut, CASE WHEN begin + cost > 120 THEN substr(text, 1, CAST(floor((120 - begin) * 3.5) AS INT)) ELSE text END AS content FROM r WHERE begin < 120""")
 def fallback_files(spark, table):
-    files = table("conversations").where("text not like '%```%'").select("conv_id", "turn", F.col("turn").cast("string").alias("name"), F.col("text").alias("content"))
+    files = table("conversations").select("conv_id", "turn", F.col("turn").cast("string").alias("name"), F.col("text").alias("content"))
     return context.fallback_files(files, 120, "conv_id", "turn").select("conv_id", "turn", "cut", "content")
 
 

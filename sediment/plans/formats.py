@@ -39,21 +39,15 @@ def routing_keys(spark, table):
     return table("supplier").select("s_suppkey", fm.routing_key(F.col("s_name")).alias("key"))
 
 
-@query(r"""WITH k AS (SELECT p_partkey, p_name, regexp_replace(lower(p_name), '[^a-z0-9]+', '', 'g') AS k FROM part WHERE p_partkey < 200),
-m AS (SELECT a.p_partkey, b.p_partkey AS best, CASE WHEN upper(a.p_name) = b.p_name THEN 1 WHEN a.k = b.k THEN 2 WHEN starts_with(a.k, b.k) OR starts_with(b.k, a.k) THEN 3 END AS priority FROM k a JOIN k b ON left(a.k, 3) = left(b.k, 3))
-SELECT p_partkey, best, priority FROM m WHERE priority IS NOT NULL QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY priority, best) = 1""")
+@query(r"""WITH k AS (SELECT p_partkey AS id, p_name AS name, regexp_replace(lower(p_name), '[^a-z0-9]+', '', 'g') AS k FROM part),
+starts AS (SELECT id, k, left(k, unnest(range(0, length(k) + 1))::INT) AS p FROM k),
+m AS (
+  SELECT a.id, 1 AS priority, b.id AS best FROM k a JOIN k b ON upper(a.name) = b.name
+  UNION ALL SELECT a.id, 2, b.id FROM k a JOIN k b ON a.k = b.k
+  UNION ALL SELECT a.id, 3, b.id FROM k a JOIN starts b ON a.k = b.p
+  UNION ALL SELECT a.id, 3, b.id FROM starts a JOIN k b ON a.p = b.k)
+SELECT id AS p_partkey, best, priority FROM m QUALIFY row_number() OVER (PARTITION BY id ORDER BY priority, best) = 1""")
 def model_match(spark, table):
-    part = table("part").where("p_partkey < 200")
-    a = part.select("p_partkey", F.upper("p_name").alias("asked"), F.substring(fm.model_key(F.col("p_name")), 1, 3).alias("k"))
-    b = part.select(F.col("p_partkey").alias("best"), F.col("p_name").alias("offered"), F.substring(fm.model_key(F.col("p_name")), 1, 3).alias("k"))
-    met = a.join(b, "k").withColumn("priority", fm.match_priority(F.col("asked"), F.col("offered"))).where("priority is not null")
-    best = met.groupBy("p_partkey").agg(F.min(F.struct("priority", "best")).alias("m"))
-    return best.select("p_partkey", "m.best", "m.priority")
-
-
-@query()
-def model_match_all(spark, table):
-    """model_match over the whole part table: the SQL of that query is fixed to p_partkey < 200."""
     part = table("part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
     return catalog.match_models(part.withColumn("name", F.upper("name")), part).withColumnRenamed("id", "p_partkey")
 

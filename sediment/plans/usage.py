@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from sediment.functions import dates
 from sediment.operators import usage as us
 from sediment.plans.registry import query
 from sediment.sources import logs
+from sediment.sources.work import work_root
 from sediment.streaming import events as ev
 
 _TOKENS = "sum(CAST(floor(value) AS BIGINT)) AS input_tokens, sum(CAST(floor(value / 2) AS BIGINT)) AS output_tokens"
@@ -75,3 +78,17 @@ SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS sessio
 def user_sessions(spark, table):
     out = ev.sessions(table("events"), "ts", "user_id")
     return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("session_start", "session_end")})
+
+
+@query("""SELECT date_trunc('week', ts)::DATE AS period, event_type, count(*) AS requests, sum(CAST(floor(value * 100) AS BIGINT))::BIGINT AS cents, true AS near
+FROM events GROUP BY ALL""")
+def usage_from_days(spark, table):
+    """Weeks merged from stored days, the last day added by itself; near tells whether the users estimated are within 5 % of those counted."""
+    logs = table("events").withColumn("day", F.to_date("ts"))
+    store = us.UsageStore(spark, f"{work_root(spark)}/sediment-usage-{uuid.uuid4().hex}")
+    last = logs.agg(F.max("day")).first()[0]
+    for some in (logs.where(F.col("day") < F.lit(last)), logs.where(F.col("day") == F.lit(last))):
+        store.put(us.daily_partials(some, F.col("day"), ["event_type"], "user_id", {"cents": F.floor(F.col("value") * 100)}))
+    weeks = us.merged(store.read(), F.to_date(F.date_trunc("week", F.col("day"))), ["event_type"], ["cents"])
+    counted = logs.groupBy(F.to_date(F.date_trunc("week", F.col("day"))).alias("period"), "event_type").agg(F.countDistinct("user_id").alias("exact"))
+    return weeks.join(counted, ["period", "event_type"]).select("period", "event_type", "requests", "cents", (F.abs(F.col("users") - F.col("exact")) <= 0.05 * F.col("exact")).alias("near"))

@@ -66,5 +66,5 @@ def test_match_models_equals_all_pairs(spark):
 
 def test_model_match_covers_all_parts(spark):
     sf = "/root/testdata/sf0.01"
-    got = {r["p_partkey"]: (r["best"], r["priority"]) for r in registry.QUERIES["model_match_all"](spark, sf).collect()}
+    got = {r["p_partkey"]: (r["best"], r["priority"]) for r in registry.QUERIES["model_match"](spark, sf).collect()}
     assert len(got) == spark.read.parquet(f"{sf}/part.parquet").where("p_name is not null").count()
