@@ -22,8 +22,8 @@ def query_vector(vector: list[float]) -> Column:
 
 
 def dense_scores(chunks: DataFrame, vector: Column, vector_col: str = "embedding", least: float | None = None) -> DataFrame:
-    """chunks with score; vectors of another length are left out."""
-    out = chunks.where(F.size(vector_col) == F.size(vector)).withColumn("score", cosine(F.col(vector_col), vector))
+    """chunks with score; vectors of another length, or without a cosine (one that is not finite), are left out."""
+    out = chunks.where(F.size(vector_col) == F.size(vector)).withColumn("score", cosine(F.col(vector_col), vector)).where(~F.isnan("score"))
     return out if least is None else out.where(F.col("score") >= least)
 
 

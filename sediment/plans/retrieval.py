@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sediment.functions import text as tx
 from sediment.operators import chunking, classify, evaluation, hybrid, lexical, select, vector
+from sediment.operators.dense_index import DenseIndex
 from sediment.operators.inverted_index import InvertedIndex
 from sediment.plans.registry import query
 from sediment.sources.work import work_root
@@ -98,6 +99,18 @@ def dense_cosine_topk(spark, table):
     return vector.dense_topk(rows, _asked_vector(table), 10, None).select("doc_id", F.round("score", 6).alias("score"))
 
 
+@query(f"WITH {_DENSE} SELECT doc_id, round(score, 6) AS score FROM dense ORDER BY dense.score DESC, doc_id LIMIT 10")
+def dense_index_topk(spark, table):
+    """dense_cosine_topk over a stored index of two batches, all lists read."""
+    rows = table("embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    index = DenseIndex(spark, f"{work_root(spark)}/sediment-dense-{uuid.uuid4().hex}")
+    index.train(rows, 16)
+    for half in (0, 1):
+        index.add(rows.where(F.col("doc_id") % 2 == half))
+    asked = table("embeddings").where("vec_id = 0").select("embedding").first()[0]
+    return index.search(asked, 10).select("doc_id", F.round("score", 6).alias("score"))
+
+
 @query("WITH q AS (SELECT embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id = 0) SELECT vec_id AS doc_id, round(list_distance(embedding::DOUBLE[], qv), 6) AS distance FROM embeddings, q ORDER BY list_distance(embedding::DOUBLE[], qv), vec_id LIMIT 10")
 def dense_euclid_topk(spark, table):
     rows = table("embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")

@@ -48,7 +48,7 @@ def test_members_of_typed_languages():
 
 def test_code_chunks_cover_all_lines():
     got = chunking.chunk_file("a.py", CODE)
-    assert [c["symbol"] for c in got] == ["one", "Two"] and got[0]["start_line"] == 1
+    assert [c["symbol"] for c in got] == ["one", "Two", "z"] and got[0]["start_line"] == 1
     covered = {n for c in got for n in range(c["start_line"], c["end_line"] + 1)}
     assert covered >= set(range(1, len(CODE.rstrip().split("\n")) + 1))
     long = "def f():\n" + "\n".join(f"    value_{i} = {i}" for i in range(300))
