@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from sediment.llm.common import materialize
+from sediment.llm.common import materialize, sliced
 
 #: ASCII bytes other than letters, as a space.
 LETTERS = bytes(c if c >= 128 or 97 <= c <= 122 or 65 <= c <= 90 else 32 for c in range(256))
@@ -32,6 +36,28 @@ def gram_counts(texts: list[bytes], dims: int, sizes: tuple[int, ...] = (3,)) ->
     return out
 
 
+def counts_of_sample(sample: DataFrame, dims: int, sizes: tuple[int, ...] = (3,), clean: Callable[[str], bytes] = str.encode) -> DataFrame:
+    """(doc_id, value, at, n): the counts of each text's n-grams, made by the tasks; their size is bounded by dims, that of a text is not."""
+
+    def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in sliced(parts, 200):
+            counts = gram_counts([clean(t) for t in part.column("text").to_pylist()], dims, sizes)
+            full = [np.flatnonzero(c) for c in counts]
+            at, n = ([x.astype(t).tobytes() for x in rows] for rows, t in ((full, "<u4"), ([c[f] for c, f in zip(counts, full, strict=True)], "<f4")))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("value"), pa.array(at, pa.binary()), pa.array(n, pa.binary())], names=["doc_id", "value", "at", "n"])
+
+    kinds = T.StructType([sample.schema["doc_id"], sample.schema["value"], T.StructField("at", T.BinaryType()), T.StructField("n", T.BinaryType())])
+    return sample.select("doc_id", "value", "text").mapInArrow(count, kinds)
+
+
+def dense_counts(rows: list, dims: int) -> np.ndarray:
+    """(rows, dims) of collected counts."""
+    out = np.zeros((len(rows), dims), "f4")
+    for own, r in zip(out, rows, strict=True):
+        own[np.frombuffer(r["at"], "<u4")] = np.frombuffer(r["n"], "<f4")
+    return out
+
+
 def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     """Unit vectors of log counts times idf; a text without n-grams is the zero vector."""
     x = np.log1p(counts) * idf

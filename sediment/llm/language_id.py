@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sediment.llm.common import plain_name, sliced, work_folder
-from sediment.llm.features import LETTERS, gram_counts, inverse_frequency, sample_per_value, weighted
+from sediment.llm.features import LETTERS, counts_of_sample, dense_counts, gram_counts, inverse_frequency, sample_per_value, weighted
 
 DIMS = 4096
 UNKNOWN = "und"
@@ -79,8 +79,8 @@ def fit(docs: DataFrame, lang_col: str = "lang", clusters: int = 4, each: int =
     idf = inverse_frequency(frequency, sample.count()) if langs else np.ones(DIMS, "f4")
     centres, lang_of, reach = [np.zeros((0, DIMS), "f4")], [], []
     for n, lang in enumerate(langs):
-        texts = [r["text"] for r in sample.where(F.col("value") == lang).orderBy("doc_id").select("text").collect()]  # `each` at most
-        own = weighted(gram_counts([cleaned(t) for t in texts], DIMS), idf)
+        rows = counts_of_sample(sample.where(F.col("value") == lang), DIMS, clean=cleaned).orderBy("doc_id").collect()  # `each` vectors at most, no texts
+        own = weighted(dense_counts(rows, DIMS), idf)
         got = spherical_means(own, clusters)
         cos = own @ got.T
         near = cos.argmax(axis=1)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sediment.llm.common import plain_name, work_folder
-from sediment.llm.features import gram_counts, inverse_frequency, sample_per_value, weighted
+from sediment.llm.features import counts_of_sample, dense_counts, gram_counts, inverse_frequency, sample_per_value, weighted
 
 DIMS = 4096
 SIZES = (1, 3)
@@ -57,10 +57,11 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", each: int =
     """Fit on docs (doc_id, text) and labels (doc_id, column 0 or 1)."""
     labels = labels.where(f"{column} in (0, 1)")
     share = labels.agg(F.avg(F.col(column).cast("double"))).first()[0]
-    rows = sample_per_value(docs, labels, column, each, work_folder(docs.sparkSession)).orderBy("doc_id").collect()
+    sample = sample_per_value(docs, labels, column, each, work_folder(docs.sparkSession))
+    rows = counts_of_sample(sample, DIMS, SIZES).orderBy("doc_id").collect()  # at most 2 * each vectors, no texts
     if not rows:
         return Neighbours(np.ones(DIMS, "f4"), np.zeros((DIMS, 1), "f4"), np.zeros((0, 1), "f4"), np.zeros(0), np.zeros(0), 0.0)
-    counts = gram_counts([r["text"].encode() for r in rows], DIMS, SIZES)
+    counts = dense_counts(rows, DIMS)
     idf = inverse_frequency((counts > 0).sum(axis=0), len(counts))
     x = weighted(counts, idf)
     axes = latent_axes(x, min(rank, len(rows)))
