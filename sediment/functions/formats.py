@@ -46,7 +46,7 @@ def column_alignment(cells: Column) -> Column:
 
 def short_count(c: Column) -> Column:
     """1234 as 1.2K, 2500000 as 2.5M."""
-    return F.when(c >= 1_000_000, F.concat(F.format_number(c / 1_000_000, "0.0"), F.lit("M"))).when(c >= 1000, F.concat(F.format_number(c / 1000, "0.0"), F.lit("K"))).otherwise(c.cast("string"))
+    return F.when(c >= 1_000_000, F.format_string("%.1fM", c / 1_000_000)).when(c >= 1000, F.format_string("%.1fK", c / 1000)).otherwise(c.cast("string"))
 
 
 def bounding_box(xs: Column, ys: Column) -> Column:

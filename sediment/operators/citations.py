@@ -28,6 +28,15 @@ def page_ranges(rows: DataFrame, group: list[str], page: str) -> DataFrame:
     return runs.groupBy(*group).agg(F.array_join(parts, ", ").alias("pages"))
 
 
-def by_file(rows: DataFrame, file: str, page: str, score: str, direct: str) -> DataFrame:
-    """One row per file: chunks, sorted distinct pages, best score of scored rows, whether any was read directly."""
-    return rows.groupBy(file).agg(F.count("*").alias("chunks"), F.sort_array(F.collect_set(page)).alias("pages"), F.max(score).alias("best"), F.bool_or(direct).alias("direct"))
+def by_file(rows: DataFrame, file: str, page: str, score: str, direct: str, start: str | None = None, end: str | None = None) -> DataFrame:
+    """One row per file: chunks, sorted distinct pages, best score of scored rows, whether any was read directly.
+
+    With start and end also lines, the merged ranges (start, end) of the rows that have a start; a missing end is the start.
+    """
+    files = rows.groupBy(file).agg(F.count("*").alias("chunks"), F.sort_array(F.collect_set(page)).alias("pages"), F.max(score).alias("best"), F.bool_or(direct).alias("direct"))
+    if start is None:
+        return files
+    found = rows.where(F.col(start).isNotNull()).select(F.col(file).alias("_file"), F.col(start).alias("start"), F.coalesce(end, start).alias("end"))
+    lines = merge_ranges(found, ["_file"], "start", "end").groupBy("_file").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("lines"))
+    files = files.join(lines, F.col(file).eqNullSafe(F.col("_file")), "left").drop("_file")
+    return files.withColumn("lines", F.coalesce("lines", F.array().cast("array<struct<start: bigint, end: bigint>>")))

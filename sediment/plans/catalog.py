@@ -9,6 +9,7 @@ from sediment.functions import text as tx
 from sediment.operators import catalog as ct
 from sediment.operators import citations, edits, repo, select, vector
 from sediment.plans.registry import query
+from sediment.sources.embedding import reply_vectors
 
 
 @query("SELECT vec_id AS doc_id FROM embeddings WHERE label % 4 <> 0 AND vec_id NOT IN (SELECT doc_id FROM labels)")
@@ -72,6 +73,32 @@ def citation_groups(spark, table):
     return out.withColumn("pages", F.array_join("pages", ","))
 
 
+@query("""WITH r AS (SELECT l_suppkey, l_orderkey % 1000 AS a, l_orderkey % 1000 + CAST(l_quantity AS INT) AS b FROM lineitem WHERE l_returnflag = 'R'),
+m AS (SELECT *, max(b) OVER (PARTITION BY l_suppkey ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM r),
+i AS (SELECT *, sum(CASE WHEN p IS NULL OR a > p + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY l_suppkey ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS k FROM m),
+g AS (SELECT l_suppkey, min(a) AS a, max(b) AS b FROM i GROUP BY l_suppkey, k),
+t AS (SELECT l_suppkey, string_agg(a || '-' || b, ', ' ORDER BY a) AS lines FROM g GROUP BY l_suppkey)
+SELECT l.l_suppkey, count(*) AS chunks, any_value(t.lines) AS lines FROM lineitem l LEFT JOIN t USING (l_suppkey) GROUP BY l.l_suppkey""")
+def citation_lines(spark, table):
+    """Citations by file with their merged lines; rows that were not returned have none."""
+    at = F.when(F.col("l_returnflag") == "R", F.col("l_orderkey") % 1000)
+    rows = table("lineitem").select("l_suppkey", "l_linenumber", "l_discount", F.lit(True).alias("direct"), at.alias("a"), (at + F.col("l_quantity").cast("int")).alias("b"))
+    out = citations.by_file(rows, "l_suppkey", "l_linenumber", "l_discount", "direct", "a", "b")
+    return out.select("l_suppkey", "chunks", F.array_join(F.transform("lines", lambda x: F.concat_ws("-", x["start"], x["end"])), ", ").alias("lines"))
+
+
+@query("SELECT vec_id, vec_id // 50 AS request, round(embedding[1]::DOUBLE, 5) AS first FROM embeddings")
+def embedding_replies(spark, table):
+    """Requests of up to 50 vectors whose replies come in three shapes, one of them out of order, brought back to their ids."""
+    rows = table("embeddings").select("vec_id", F.expr("vec_id div 50").alias("request"), F.col("embedding").cast("array<double>").alias("v"))
+    asked = rows.groupBy("request").agg(F.array_sort(F.collect_list(F.struct("vec_id", "v"))).alias("x"))  # 50 vectors at most
+    numbered = F.transform("x", lambda r, n: F.struct(r["v"].alias("embedding"), n.alias("index")))
+    shapes = [F.to_json(F.struct(F.reverse(numbered).alias("data"))), F.to_json(F.struct(F.col("x.v").alias("embeddings"))), F.to_json(F.col("x.v"))]
+    body = F.when(F.col("request") % 3 == 0, shapes[0]).when(F.col("request") % 3 == 1, shapes[1]).otherwise(shapes[2])
+    each = asked.select("request", F.explode(F.arrays_zip(F.col("x.vec_id").alias("vec_id"), reply_vectors(body).alias("v"))).alias("r"))
+    return each.select("r.vec_id", "request", F.round(F.col("r.v")[0], 5).alias("first"))
+
+
 _TAGS = "MAP {" + ", ".join(f"'{name}': '" + text.replace("\n", "' || chr(10) || '") + "'" for name, text in tx.TAG_TEXT.items()) + "}"
 
 
