@@ -6,14 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sediment.operators.segments import Segments
-from sediment.sources.work import stored
 
 
 def merge_ranges(rows: DataFrame, group: list[str], start: str, end: str) -> DataFrame:
     """(group, start, end): ranges of a group that overlap or touch (10-20, 21-30) are one."""
     parts = Segments(rows, group, [start, end])
     marked = parts.scan(maxima={"_before": F.col(end)}, before=True)
-    marked = stored(marked.withColumn("_new", F.when(F.col("_before").isNull() | (F.col(start) > F.col("_before") + 1), 1).otherwise(0)), "marked")
+    marked = parts.kept(marked.withColumn("_new", F.when(F.col("_before").isNull() | (F.col(start) > F.col("_before") + 1), 1).otherwise(0)))
     island = parts.scan(marked, sums={"_island": F.col("_new")})
     return island.groupBy(*group, "_island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_island")
 

@@ -7,6 +7,7 @@ are those of functions.text.tokens (tests hold both against each other).
 
 from __future__ import annotations
 
+import string
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -27,6 +28,8 @@ _SUFFIX = regex.compile(r"['’][\p{L}\p{N}'’-]*")
 _BETWEEN = regex.compile(r"[^\p{L}\p{N}]+")
 _COMPOUND = regex.compile(r"(?<![\p{L}\p{N}])[\p{L}\p{N}]+(?:-+[\p{L}\p{N}]+)+")
 _DIGIT = regex.compile("[0-9]")
+#: What may stand around a word without a bearing on it: an apostrophe may not, since what follows it goes.
+_MARKS = "".join(c for c in string.punctuation if c != "'")
 #: Words a worker remembers before it starts anew; words longer than this many characters are never remembered.
 CACHED_WORDS, CACHED_CHARS = 200_000, 64
 
@@ -54,8 +57,14 @@ class Terms(dict):
     def count(self, text: str | None) -> dict[str, int]:
         out: dict[str, int] = {}
         for word, times in Counter(text.split() if text else ()).items():
-            for term in self[word]:
-                out[term] = out.get(term, 0) + times
+            bare = word.strip(_MARKS)
+            if bare.isalnum():  # letters and numbers alone are one term, or none
+                term = bare.lower() if bare.isascii() else bare.translate(_DOTS).lower().translate(_FOLD)
+                if len(term) >= 2 or _DIGIT.search(term):
+                    out[term] = out.get(term, 0) + times
+            else:
+                for term in self[word]:
+                    out[term] = out.get(term, 0) + times
         return out
 
 

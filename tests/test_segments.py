@@ -5,7 +5,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sediment.functions import text as tx
-from sediment.operators import citations, conversation, usage
+from sediment.operators import citations, conversation, segments, usage
 from sediment.operators.segments import Segments
 
 
@@ -21,7 +21,8 @@ def hot(spark):
 
 
 @pytest.fixture
-def many_parts(spark):
+def many_parts(spark, monkeypatch):
+    monkeypatch.setattr(segments, "WHOLE_ROWS", 100)
     kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
     spark.conf.set("spark.sql.shuffle.partitions", "12")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
@@ -34,9 +35,12 @@ def rows_of(df):
     return sorted(map(str, map(tuple, df.collect())))
 
 
-@pytest.mark.parametrize("before", [False, True])
-def test_scans_equal_windows(spark, hot, many_parts, before):
+@pytest.mark.parametrize(("before", "whole"), [(False, False), (True, False), (True, True)])
+def test_scans_equal_windows(spark, hot, many_parts, monkeypatch, before, whole):
+    if whole:
+        monkeypatch.setattr(segments, "WHOLE_ROWS", 10_000)
     parts = Segments(hot, ["g"], ["at", "id"])
+    assert parts.whole == whole
     got = parts.scan(sums={"s": F.col("v"), "n": F.lit(1)}, maxima={"m": F.col("v")}, lasts={"l": F.when(F.col("v") > 1, F.col("v"))}, before=before)
     w = Window.partitionBy("g").orderBy("at", "id").rowsBetween(Window.unboundedPreceding, -1 if before else 0)
     own = F.when(F.col("v") > 1, F.col("v"))
