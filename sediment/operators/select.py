@@ -11,23 +11,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sediment.operators.segments import Segments
 
-def pack_stop(rows: DataFrame, group: list[str], order: list, cost: str, budget: float, parts: int = 64) -> DataFrame:
+
+def pack_stop(rows: DataFrame, group: list[str], order: list, cost: str, budget: float) -> DataFrame:
     """The rows of each group, in order, up to the first whose running cost is over the budget; costs are not negative.
 
-    A group is cut at quantiles of its first order column, a number, so that no task has to sort a
-    large group: the costs of its parts are added up first, and only parts that begin within the
-    budget are sorted.
+    The order may be of any type. A large group is cut in parts, whose costs are added up first (see Segments).
     """
-    first = F.col(order[0]) if isinstance(order[0], str) else order[0]
-    keyed = rows.withColumn("_at", first.cast("double"))
-    cuts = keyed.groupBy(*group).agg(F.percentile_approx("_at", [k / parts for k in range(1, parts)], 10_000).alias("_cuts"))
-    keyed = keyed.join(cuts, group).withColumn("_part", F.coalesce(F.size(F.filter("_cuts", lambda x: x < F.col("_at"))), F.lit(-1))).drop("_cuts")
-    before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    begins = keyed.groupBy(*group, "_part").agg(F.sum(cost).alias("_sum")).withColumn("_begin", F.coalesce(F.sum("_sum").over(before), F.lit(0)))
-    near = keyed.join(begins.where(F.col("_begin") <= budget).drop("_sum"), [*group, "_part"])
-    w = Window.partitionBy(*group, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return near.withColumn("used", F.sum(cost).over(w) + F.col("_begin")).where(F.col("used") <= budget).drop("_at", "_part", "_begin")
+    parts = Segments(rows, group, order)
+    return parts.plain(parts.scan(sums={"used": F.col(cost)}).where(F.col("used") <= budget))
 
 
 def pack_skip(rows: DataFrame, group: list[str], order: str, cost: str, budget: float, row_id: str, most: int | None = None) -> DataFrame:

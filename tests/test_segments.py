@@ -5,7 +5,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sediment.functions import text as tx
-from sediment.operators import citations, conversation, segments, usage
+from sediment.operators import citations, conversation, segments, select, usage
 from sediment.operators.segments import Segments
 
 
@@ -107,3 +107,10 @@ def test_days_merge_into_weeks(spark, tmp_path):
     assert usage.merged(store.read("2024-03-04", "2024-03-05"), None, [], ["cents"]).first()["requests"] == 2000
     plan = store.read("2024-03-20")._jdf.queryExecution().executedPlan().toString()
     assert "day" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_packs_in_an_order_of_text(spark, hot, many_parts):
+    rows = hot.select("g", F.format_string("%05d", "id").alias("name"), (F.col("at") % 7).alias("cost"))
+    w = Window.partitionBy("g").orderBy("name").rowsBetween(Window.unboundedPreceding, 0)
+    want = rows.withColumn("used", F.sum("cost").over(w)).where("used <= 500")
+    assert rows_of(select.pack_stop(rows, ["g"], ["name"], "cost", 500).select(*want.columns)) == rows_of(want)
