@@ -7,7 +7,9 @@ batch counts from when its row is written, so that a job killed before leaves no
 A term's postings of a batch, if they are more than a block, are cut into TIERS by what they count for, and
 each tier into blocks of about BLOCK by the leading bits of a hash of the chunk's id: blocks are even
 whatever the ids, a hot term's are dealt over tasks, their bounds are close, and the block of an id
-follows from the id. A block carries its largest frequency and smallest length, which bound its scores
+follows from the id. The texts are read once, into runs of postings gathered by term in each task; runs of
+hot terms are dealt by tier and up to 2 ** TOGETHER blocks, and those of one key, which meet in one task,
+are merged into blocks there, so that few rows are shuffled. A block carries its largest frequency and smallest length, which bound its scores
 under any statistics, also those of later batches. Files are sorted by bucket, term and largest
 frequency, so that a search reads the pages of its terms with bounds high enough.
 
@@ -25,16 +27,24 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from sediment.operators.lexical import B, K1, cut, idf, query_terms, tf_part
+from sediment.operators.lexical import B, K1, idf, query_terms, runs, tf_part
 from sediment.sources.work import stored
 
 BUCKETS, BLOCK, TIERS = 64, 256, 8
+#: Blocks of a tier that are made together, as a power of two.
+TOGETHER = 8
 #: Blocks that are scored for the floor.
 SEEDS = 16
 #: Scores that differ by less are not told apart.
@@ -72,35 +82,38 @@ class InvertedIndex:
     def add(self, chunks: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> int:
         """Add chunks as a new batch; its number."""
         batch = (self.batches().agg(F.max("batch")).first()[0] or 0) + 1
-        each = stored(cut(chunks, id_col, text_col), "cut")  # the one reading of the texts
-        if not each.where("id is null").isEmpty():
+        made = stored(runs(chunks, id_col, text_col), "runs")  # the one reading of the texts
+        whole = made.where("term is null").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("total"), F.lit(0)).alias("dl"), F.sum("nulls").alias("nulls")).first()
+        if whole["nulls"]:
             raise ValueError("a chunk of an index needs an id")
-        flat = each.select("id", "dl", F.explode(F.arrays_zip("terms", "tfs")).alias("x")).select("id", "dl", F.col("x.terms").alias("term"), F.col("x.tfs").alias("tf"))
-        mean = each.agg(F.avg("dl")).first()[0] or 1.0
-        flat = flat.withColumn("tier", F.floor(tf_part(F.col("tf"), F.col("dl"), F.lit(max(mean, 1.0))) * (TIERS / (K1 + 1))).cast("int"))
-        often = flat.groupBy("term", "tier").agg(F.count("*").alias("n")).withColumn("all", F.sum("n").over(Window.partitionBy("term")))
-        bits = F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / BLOCK))).cast("int").alias("bits")
-        often = stored(often.where(F.col("all") > BLOCK).select("term", "tier", bits), "often")  # its size tells Spark how to join it
-        flat = flat.join(often, ["term", "tier"], "left").withColumn("tier", F.when(F.col("bits").isNotNull(), F.col("tier")).otherwise(0))
-        flat = flat.withColumn("bits", F.coalesce("bits", F.lit(0)))
-        flat = flat.withColumn("block", _block(F.col("id"), F.col("bits")))
-        made = flat.groupBy("term", "tier", "bits", "block").agg(F.array_sort(F.collect_list(F.struct("id", "tf", "dl"))).alias("x"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"))
-        lists = [F.col(f"x.{c}").alias(f"{c}s") for c in ("id", "tf", "dl")]
+        made, mean = made.where("term is not null"), max(whole["dl"] / max(whole["n"], 1), 1.0)
+        often = made.select("term", "tfs", "dls").mapInArrow(_tier_counts(mean), "term string, " + ", ".join(f"n{t} long" for t in range(TIERS)))
+        often = often.groupBy("term").agg(*(F.sum(f"n{t}").alias(f"n{t}") for t in range(TIERS)))
+        bits = F.array(*(F.when(F.col(f"n{t}") > 0, F.greatest(F.lit(0), F.ceil(F.log2(F.col(f"n{t}") / BLOCK)))).otherwise(0).cast("int") for t in range(TIERS)))
+        often = often.where(reduce(Column.__add__, (F.col(f"n{t}") for t in range(TIERS))) > BLOCK)
+        often = stored(often.select("term", bits.alias("bits")), "often")  # its size tells Spark how to join it
+        lists = [made.schema[c] for c in ("ids", "hashes", "tfs", "dls")]
+        parts = T.StructType([*T.StructType.fromDDL("term string, tier int, bits int, part int"), *lists])
+        dealt = made.select("term", "ids", "hashes", "tfs", "dls").join(often, "term", "left").mapInArrow(_deal(mean, parts), parts)
         bucket = (F.crc32(F.col("term").cast("binary")) % BUCKETS).cast("int").alias("bucket")
-        made = made.select(F.lit(batch).alias("batch"), bucket, "term", "tier", "bits", "block", F.size("x").alias("n"), "max_tf", "min_dl", *lists)
+        key = ["bucket", "term", "tier", "part"]
+        dealt = dealt.select(bucket, *parts.names).repartitionByRange(*key).sortWithinPartitions(*key)
+        blocks = T.StructType([*T.StructType.fromDDL("bucket int, term string, tier int, bits int, block int, n int, max_tf int, min_dl int"), *(x for x in lists if x.name != "hashes")])
         order = ["bucket", "term", F.desc("max_tf"), "tier", "block"]
-        made = made.repartitionByRange(*order).sortWithinPartitions(*order)
-        made.write.mode("append").partitionBy("batch", "bucket").parquet(f"{self.path}/postings")
-        counts = each.agg(F.lit(batch).alias("batch"), F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("dl"))
+        # What a killed job may have left under this number is replaced.
+        out = dealt.mapInArrow(_merge(blocks), blocks).sortWithinPartitions(*order).write.mode("overwrite").option("partitionOverwriteMode", "static")
+        out.partitionBy("bucket").parquet(f"{self.path}/postings/batch={batch}")
+        counts = self.spark.createDataFrame([(batch, whole["n"], whole["dl"])], "batch int, n long, dl long")
         counts.coalesce(1).write.mode("append").parquet(f"{self.path}/batches")
         return batch
 
     def blocks(self, terms: list[str] | None = None) -> DataFrame:
         """The blocks of some terms, or of all, in the batches that count."""
-        counted = [r["batch"] for r in self.batches().collect()]
+        counted = [r["batch"] for r in self.batches().where("dl > 0").collect()]  # the others have no postings
         if not counted:
             return self.spark.createDataFrame([], "term string, tier int, bits int, block int, n int, max_tf int, min_dl int, ids array<bigint>, tfs array<int>, dls array<int>, batch int, bucket int")
-        found = self.spark.read.parquet(f"{self.path}/postings").where(F.col("batch").isin(counted))
+        # Only folders of batches that count are listed.
+        found = self.spark.read.option("basePath", f"{self.path}/postings").parquet(*(f"{self.path}/postings/batch={n}" for n in counted))
         return found if terms is None else found.where(F.col("bucket").isin(sorted({bucket_of(t) for t in terms})) & F.col("term").isin(terms))
 
     def term_frequencies(self) -> DataFrame:
@@ -178,6 +191,106 @@ def _block(chunk_id: Column, bits: Column) -> Column:
     return F.shiftrightunsigned(F.call_function("shiftrightunsigned", F.xxhash64(chunk_id), 63 - bits), 1).cast("int")
 
 
+def _flat(part: pa.RecordBatch, name: str) -> np.ndarray:
+    return part.column(name).flatten().to_numpy(zero_copy_only=False)
+
+
+def _rows(part: pa.RecordBatch) -> np.ndarray:
+    """For each posting of a batch of runs, its row."""
+    return np.repeat(np.arange(part.num_rows), pc.list_value_length(part.column("tfs")).to_numpy(zero_copy_only=False))
+
+
+def _tier(part: pa.RecordBatch, mean: float) -> np.ndarray:
+    tf, dl = _flat(part, "tfs").astype("f8"), _flat(part, "dls")
+    return np.minimum(np.floor(tf * TIERS / (tf + K1 * (1 - B + B * dl / mean))), TIERS - 1).astype("i8")
+
+
+def _leading(hashes: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """The leading bits of hashes of 32 bits; none: 0."""
+    return hashes >> (32 - bits)
+
+
+def _starts(*keys: np.ndarray) -> np.ndarray:
+    """Where one of some sorted keys changes."""
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = reduce(np.logical_or, (k[1:] != k[:-1] for k in keys))
+    return np.flatnonzero(new)
+
+
+def _lists(values: pa.Array, starts: np.ndarray, kind: pa.DataType) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.append(starts, len(values)), pa.int32()), values).cast(kind)
+
+
+def _tier_counts(mean: float) -> Callable:
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            counts = np.bincount(_rows(part) * TIERS + _tier(part, mean), minlength=part.num_rows * TIERS).reshape(-1, TIERS)
+            yield pa.RecordBatch.from_arrays([part.column("term"), *(pa.array(counts[:, t]) for t in range(TIERS))], ["term", *(f"n{t}" for t in range(TIERS))])
+
+    return run
+
+
+def _deal(mean: float, schema: T.StructType) -> Callable:
+    """Runs of hot terms, which have bits, cut by tier and by the part of the tier; all others as they are."""
+    arrow = to_arrow_schema(schema)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            if not part.num_rows:
+                continue
+            row, own = _rows(part), part.column("bits")
+            hot = own.is_valid().to_numpy(zero_copy_only=False)
+            bits = np.zeros((part.num_rows, TIERS), "i8")
+            bits[hot] = own.flatten().to_numpy(zero_copy_only=False).reshape(-1, TIERS)
+            tier = np.where(hot[row], _tier(part, mean), 0)
+            bits = bits[row, tier]
+            place = _leading(_flat(part, "hashes"), np.maximum(bits - TOGETHER, 0))
+            order = np.lexsort((place, tier, row))
+            row, tier, place, bits = row[order], tier[order], place[order], bits[order]
+            starts = _starts(row, tier, place)
+            columns = [part.column("term").take(pa.array(row[starts])), *(pa.array(x[starts], pa.int32()) for x in (tier, bits, place))]
+            columns += [_lists(part.column(k.name).flatten().take(pa.array(order)), starts, k.type) for k in list(arrow)[4:]]
+            yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+
+    return run
+
+
+def _merge(schema: T.StructType) -> Callable:
+    """Blocks of runs that are sorted by their keys; the runs of a key may go on in the next batch."""
+    arrow = to_arrow_schema(schema)
+
+    def blocks(part: pa.RecordBatch, group: np.ndarray) -> pa.RecordBatch:
+        row, bits = _rows(part), part.column("bits").to_numpy()
+        block, ids = _leading(_flat(part, "hashes"), bits[_rows(part)]), part.column("ids").flatten()
+        rank = ids.to_numpy(zero_copy_only=False) if pa.types.is_integer(ids.type) else pc.rank(ids, tiebreaker="first").to_numpy()
+        order = np.lexsort((rank, block, group[row]))
+        row, block = row[order], block[order]
+        starts = _starts(group[row], block)
+        tf, dl = _flat(part, "tfs")[order], _flat(part, "dls")[order]
+        heads = part.select(["bucket", "term", "tier", "bits"]).take(pa.array(row[starts])).columns
+        numbers = [block[starts], np.diff(np.append(starts, len(row))), np.maximum.reduceat(tf, starts), np.minimum.reduceat(dl, starts)]
+        lists = [_lists(x, starts, k.type) for x, k in zip((ids.take(pa.array(order)), pa.array(tf), pa.array(dl)), list(arrow)[8:], strict=True)]
+        return pa.RecordBatch.from_arrays([*heads, *(pa.array(x, pa.int32()) for x in numbers), *lists], schema=arrow)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
+        for part in parts:
+            if not part.num_rows:
+                continue
+            whole = pa.concat_batches([*held, part])
+            term = whole.column("term").dictionary_encode().indices.to_numpy()
+            starts = _starts(term, whole.column("tier").to_numpy(), whole.column("part").to_numpy())
+            group = np.zeros(whole.num_rows, "i8")
+            group[starts] = 1
+            if starts[-1]:
+                yield blocks(whole.slice(0, starts[-1]), np.cumsum(group)[: starts[-1]])
+            held = [whole.slice(starts[-1])]
+        if held:
+            yield blocks(held[0], np.zeros(held[0].num_rows, "i8"))
+
+    return run
+
+
 def _by_term(values: dict[str, Column]) -> Column:
     out = None
     for term, value in values.items():

@@ -8,9 +8,11 @@ are those of functions.text.tokens (tests hold both against each other).
 from __future__ import annotations
 
 import string
+from array import array
 from collections import Counter
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
@@ -32,6 +34,8 @@ _DIGIT = regex.compile("[0-9]")
 _MARKS = "".join(c for c in string.punctuation if c != "'")
 #: Words a worker remembers before it starts anew; words longer than this many characters are never remembered.
 CACHED_WORDS, CACHED_CHARS = 200_000, 64
+#: Postings that a task gathers by term before it sends them on.
+RUN = 1_000_000
 
 
 def terms_of(text: str | None) -> list[str]:
@@ -68,6 +72,14 @@ class Terms(dict):
         return out
 
 
+class Codes(dict):
+    """Numbers of terms, in the order in which they are first met."""
+
+    def __missing__(self, term: str) -> int:
+        self[term] = n = len(self)
+        return n
+
+
 def _over_texts(chunks: DataFrame, id_col: str, text_col: str, columns: str, rows_of: Callable[[list, list], list[tuple]]) -> DataFrame:
     """(id, columns): rows_of(ids, counted terms) over some chunks at a time."""
     rows = chunks.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -97,6 +109,51 @@ def postings(chunks: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return each.where("x is not null").select(id_col, F.col("x.terms").alias("term"), F.col("x.tfs").cast("long").alias("tf"))
 
 
+def runs(chunks: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(term, n, total, nulls, ids, hashes, tfs, dls): the postings of some chunks at a time, gathered by term, so that a term
+    gives a row for RUN postings rather than for each chunk; hashes are the leading 32 bits of the hashes of the ids. A row
+    without a term says of its chunks how many they are, how many terms they have in all and how many lack an id. No shuffle.
+    """
+    rows = chunks.select(F.col(id_col).alias("id"), F.shiftrightunsigned(F.xxhash64(id_col), 32).alias("hash"), F.col(text_col).cast("string").alias("text"))
+    schema = T.StructType([*T.StructType.fromDDL("term string, n int, total long, nulls int"), T.StructField("ids", T.ArrayType(rows.schema["id"].dataType)), *T.StructType.fromDDL("hashes array<long>, tfs array<int>, dls array<int>")])
+    arrow = to_arrow_schema(schema)
+
+    def gathered(ids: list, hashes: list, dls: array, sizes: array, codes: array, tfs: array, terms: list[str]) -> pa.RecordBatch:
+        ids, hashes, dls, codes = pa.concat_arrays(ids), pa.concat_arrays(hashes), np.array(dls), np.array(codes)
+        order = np.argsort(codes, kind="stable")
+        at = np.repeat(np.arange(len(ids)), sizes)[order]
+        counts = np.bincount(codes, minlength=len(terms))
+        ends = pa.array(np.concatenate([[0], np.cumsum(counts), [len(codes)]]), pa.int32())  # the last row is that of the chunks
+        lists = [ids.take(pa.array(at)), hashes.take(pa.array(at)), pa.array(np.array(tfs)[order]), pa.array(dls[at])]
+        heads = [[*terms, None], [*counts.tolist(), len(ids)], [0] * len(terms) + [int(dls.sum(dtype="i8"))], [0] * len(terms) + [ids.null_count]]
+        columns = [pa.array(c, k.type) for c, k in zip(heads, arrow, strict=False)]
+        return pa.RecordBatch.from_arrays([*columns, *(pa.ListArray.from_arrays(ends, x.cast(k.type.value_type)).cast(k.type) for x, k in zip(lists, list(arrow)[4:], strict=True))], schema=arrow)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache, code = Terms(), Codes()
+        held = ids, hashes, dls, sizes, codes, tfs = [], [], array("i"), array("i"), array("i"), array("i")
+        for whole in parts:
+            for begin in range(0, whole.num_rows, 500):
+                part = whole.slice(begin, 500)
+                ids.append(part.column("id"))
+                hashes.append(part.column("hash"))
+                for text in part.column("text").to_pylist():
+                    found = cache.count(text)
+                    dls.append(sum(found.values()))
+                    sizes.append(len(found))
+                    codes.extend(map(code.__getitem__, found))
+                    tfs.extend(found.values())
+                if len(codes) >= RUN:
+                    yield gathered(*held, list(code))
+                    code.clear()
+                    for x in held:
+                        del x[:]
+        if ids:
+            yield gathered(*held, list(code))
+
+    return rows.mapInArrow(run, schema)
+
+
 def lengths(chunks: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, dl): terms of each chunk, chunks without terms included."""
     found = _over_texts(chunks, id_col, text_col, "dl int", lambda ids, found: [(i, sum(c.values())) for i, c in zip(ids, found, strict=True)])

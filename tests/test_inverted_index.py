@@ -106,3 +106,26 @@ def test_adding_rewrites_nothing(spark, index, corpus, tmp_path):
         made.add(spark.createDataFrame([(None, "x")], "doc_id long, text string"))
     made.add(corpus.limit(0))
     assert made.search("the rare", 5).result.collect() == before
+
+
+def test_texts_become_runs_of_terms(corpus):
+    """A term gives a row for each run, not for each chunk, and the statistics come along."""
+    got = lexical.runs(corpus.coalesce(2)).collect()
+    terms, whole = [r for r in got if r["term"] is not None], [r for r in got if r["term"] is None]
+    want = {(r["id"], t): (n, r["dl"]) for r in lexical.cut(corpus).collect() for t, n in zip(r["terms"], r["tfs"], strict=True)}
+    assert {(i, r["term"]): (f, d) for r in terms for i, f, d in zip(r["ids"], r["tfs"], r["dls"], strict=True)} == want
+    assert len(terms) <= 2 * 402 and sum(r["n"] for r in terms) == len(want)
+    assert sum(r["n"] for r in whole) == 3000 and sum(r["nulls"] for r in whole) == 0
+
+
+def test_what_a_killed_job_left_is_replaced(spark, corpus, tmp_path):
+    """A batch that was written but does not count leaves its number to the next; ids of strings."""
+    some = corpus.where("doc_id % 5 = 0").withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    made = inverted_index.InvertedIndex(spark, f"file://{tmp_path}")
+    made.add(corpus.where("doc_id % 5 = 1").withColumn("doc_id", F.concat(F.lit("d"), "doc_id")))
+    (tmp_path / "batches").rename(tmp_path / "never")
+    assert made.add(some) == 1
+    got = [(r["doc_id"], round(r["score"], 8)) for r in made.search("the rare w3", 5).result.collect()]
+    want = lexical.bm25(some, "the rare w3").orderBy(F.desc(F.round("lex_score", 9)), "doc_id").limit(5).collect()
+    assert got == [(r["doc_id"], round(r["lex_score"], 8)) for r in want]
+    assert made.blocks().agg(F.sum("n")).first()[0] == lexical.postings(some).count()
