@@ -1,3 +1,7 @@
+import math
+import random
+from collections import Counter
+
 from pyspark.sql import functions as F
 
 from sediment.functions import formats as fm
@@ -68,3 +72,48 @@ def test_model_match_covers_all_parts(spark):
     sf = "/root/testdata/sf0.01"
     got = {r["p_partkey"]: (r["best"], r["priority"]) for r in registry.QUERIES["model_match"](spark, sf).collect()}
     assert len(got) == spark.read.parquet(f"{sf}/part.parquet").where("p_name is not null").count()
+
+
+def test_hybrid_equals_plain_scores(spark):
+    """Both legs against a plain restatement: ties by id, copies, vectors of other lengths, zero and null components, no terms."""
+    rng = random.Random(5)
+    words = [f"w{n}" for n in range(30)]
+    rows = []
+    for n in range(900):
+        text = " ".join(rng.choices(words, weights=[1 / (k + 1) for k in range(30)], k=rng.choice([0, 2, 9, 40])))
+        rows.append((n * 37 % 1009, text, [float(rng.randint(-2, 2)) for _ in range(3)]))
+    rows += [(2000 + n, rows[7][1] + " w3", [1.0, 1.0, 0.0]) for n in range(100)]
+    rows += [(3000, "w1 w2", [0.0, 0.0, 0.0]), (3001, "w1", [1.0, None, 1.0]), (3002, "w2", [1.0, 2.0]), (3003, "w2 w2", []), (3004, "w3", None)]
+    chunks = spark.createDataFrame(rows, "chunk_id long, content string, embedding array<double>").repartition(6)
+    asked = [(n, " ".join(rng.sample(words, 4)), [float(rng.randint(-1, 2)) for _ in range(3)], 1 + n % 4, 0.3, n == 5) for n in range(12)]
+    asked += [(50, "nothing", [1.0, 1.0, 0.0], 3, 0.2, False), (51, "w2", [1.0, 2.0], 2, 0.2, False), (52, "nothing", None, 2, 0.2, False)]
+    kind = "question_id long, query string, vector array<double>, top_k int, threshold double, skip_retrieval boolean"
+    got = {(r[0], r[1]): r[2] for r in context.batch_hybrid(spark.createDataFrame(asked, kind), chunks).collect()}
+
+    def norm(v):
+        return math.sqrt(sum(x * x for x in v))
+
+    rows = [r for r in rows if r[2]]
+    counts = {i: Counter(t.split()) for i, t, _ in rows}
+    avg = sum(sum(c.values()) for c in counts.values()) / len(rows)
+    df = Counter(t for c in counts.values() for t in c)
+    want = {}
+    for q, query, v, k, least, skip in asked:
+        if skip:
+            continue
+        near = {i: (sum(a * b for a, b in zip(e, v)) / (norm(e) * norm(v)) if norm(e) * norm(v) else 0.0) for i, _, e in rows if v and len(e) == len(v) and None not in e}
+        near = {i: s for i, s in near.items() if s >= least}
+        lex = {i: sum(math.log(1 + (len(rows) - df[t] + 0.5) / (df[t] + 0.5)) * c[t] * 2.5 / (c[t] + 1.5 * (0.25 + 0.75 * sum(c.values()) / avg)) for t in sorted(set(query.split())) if t in c) for i, c in counts.items()}
+        lex = {i: s for i, s in lex.items() if s}
+        legs = [{i: r + 1 for r, i in enumerate(sorted(x, key=lambda i: (-x[i], i))[: 4 * k])} for x in (near, lex)]
+        fused = {i: sum(1 / (60 + g[i]) for g in legs if i in g) for i in legs[0] | legs[1]}
+        want |= {(q, i): s / max(fused.values()) if legs[1] else near[i] for i, s in fused.items()}
+    assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-9 for x in want)
+
+
+def test_no_pairs_are_made(spark):
+    """A task sends on the best of each question, not a row for each question and chunk."""
+    chunks = spark.range(0, 4000, 1, 2).selectExpr("id as chunk_id", "concat('engine part ', id) as content", "array(1.0D, id / 4000.0D) as embedding")
+    asked = spark.createDataFrame([(n, "the engine part", [1.0, 0.0], 2, 0.1, False) for n in range(20)], "question_id long, query string, vector array<double>, top_k int, threshold double, skip_retrieval boolean")
+    found = context.batch_hybrid(asked, chunks)
+    assert found.count() <= 20 * 16 and "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
