@@ -2,6 +2,7 @@ import io
 import time
 import zipfile
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from sediment.operators import catalog, chunking, citations, edits, repo
@@ -155,3 +156,15 @@ def test_import_bundle(spark):
     }
     got = exports.import_bundle(bundle, ids)
     assert [tuple(r) for r in got["chunks"].select("id", "project_id", "document_id", "conversation_id").collect()] == [("n1", "np", "nd", None)]
+
+
+def test_compress_holds_few_texts(spark):
+    """A batch is worked through in slices of bounded bytes; the result is that of each text."""
+    texts = ["a" * 10, None, "", "b" * chunking.SLICE_BYTES, "c", "d" * (2 * chunking.SLICE_BYTES), *["e"] * 1100]
+    cuts = list(chunking.slices(pa.array(texts)))
+    assert [at for at, _ in cuts] == [0, *(sum(n for _, n in cuts[:k]) for k in range(1, len(cuts)))] and sum(n for _, n in cuts) == len(texts)
+    assert all(n == 1 or n <= chunking.SLICE and sum(len(t or "") for t in texts[at : at + n]) <= chunking.SLICE_BYTES for at, n in cuts)
+    some = [None, "", "One engine here. Two is far. Three is far. Four is far. Five is far. Six is far. Seven is far."] * 300
+    rows = spark.createDataFrame([(n, t) for n, t in enumerate(some)], "id long, text string").coalesce(1)
+    got = {r["id"]: r["t"] for r in rows.select("id", chunking.compress_chunk("text", F.lit("engine")).alias("t")).collect()}
+    assert got == {n: None if t is None else chunking.compress(t, "engine") for n, t in enumerate(some)} and len(got[2]) < len(some[2])
