@@ -6,6 +6,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from sediment.operators import catalog, chunking, citations, edits, repo
+from sediment.plans import registry, retrieval
 from sediment.sources import embedding, exports, logs, office
 
 CODE = "import os\n\ndef one():\n    a = 1\n    b = 2\n    return a + b + 1000000000\n\nclass Two:\n    x = 1\n    y = 2\n    def z(self):\n        return 3\n"
@@ -168,3 +169,24 @@ def test_compress_holds_few_texts(spark):
     rows = spark.createDataFrame([(n, t) for n, t in enumerate(some)], "id long, text string").coalesce(1)
     got = {r["id"]: r["t"] for r in rows.select("id", chunking.compress_chunk("text", F.lit("engine")).alias("t")).collect()}
     assert got == {n: None if t is None else chunking.compress(t, "engine") for n, t in enumerate(some)} and len(got[2]) < len(some[2])
+
+
+def test_compress_counts_words_of_three_letters(spark):
+    """Of the question all words but function words count, in whatever text; the table is that of a plain restatement."""
+    text = "Intro here. Cats sleep. A fox bit the hen. Birds sing with joy. Fish swim deep. Cows eat grass. Hens lay eggs. Owls hoot."
+    assert chunking.compress(text, "the fox") == "Intro here.\nCats sleep.\nA fox bit the hen.\nBirds sing with joy."
+    assert chunking.compress(text, "foxes") == chunking.compress(text, "fox") != text
+    assert chunking.compress(text, "the with a") == text == chunking.compress(text, "")
+    asked = ["est", "ouble", "que", "tion"]
+    assert sorted(chunking.content_terms(retrieval.ASKED)) == asked
+    sf = "/root/testdata/sf0.001"
+    got = {r["doc_id"]: r["text"] for r in registry.QUERIES["compress_passages"](spark, sf).collect()}
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    assert got.keys() == texts.keys()
+    for n, whole in texts.items():
+        parts = chunking.sentences_of(whole or "")
+        hits = [k for k, part in enumerate(parts) if any(t.startswith(a) or a.startswith(t) for t in chunking.content_terms(part) for a in asked)]
+        short = "\n".join(part for k, part in enumerate(parts) if k == 0 or any(abs(k - h) <= 1 for h in hits))
+        table = sum("\t" in x or x.strip().startswith("|") for x in (whole or "").split("\n")) > 1
+        assert got[n] == (short if hits and len(parts) > 3 and not table and len(short) < 0.8 * len(whole) else whole)
+    assert sum(got[n] != texts[n] for n in texts) > 20
